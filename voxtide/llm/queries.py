@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxtide.llm import nearest, splits, turns
+from voxtide.llm import mixing, nearest, packing, repetition, splits, turns
 from voxtide.llm.sql import SQL as _ALL_SQL
 from voxtide.sources.tables import table
 
@@ -77,4 +77,59 @@ def p5_words(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d, False)
 
 
+def _repetition(spark: SparkSession, d: str) -> DataFrame:
+    labels = turns.vocabulary(table(spark, d, "speaker_label"), "label", "speaker_role")
+    return repetition.repetition(table(spark, d, "asr_segment"), "segment_id", "text", labels, turns.vocabulary(table(spark, d, "nonword_form"), "form"))
+
+
+#: Texts that are sound beyond this probability are not looked at again.
+SURELY_SOUND = 0.95
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that the rules don't jointly hold for sound, then checked exactly: a third of the words at least."""
+    r = _repetition(spark, d).where(F.col("p_sound") <= SURELY_SOUND)
+    return r.where("n_words > 0 and repeated_words * 3 >= n_words").select("segment_id")
+
+
+@query
+def p6_share(spark: SparkSession, d: str) -> DataFrame:
+    return _repetition(spark, d).select("segment_id", "n_words", "repeated_words", F.round("share", 9).alias("share"))
+
+
+@query
+def p6_quality(spark: SparkSession, d: str) -> DataFrame:
+    """The posterior that each text is sound."""
+    return _repetition(spark, d).select("segment_id", F.round("share", 9).alias("share"), F.round("p_sound", 6).alias("p_sound"))
+
+
+@query
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), "doc_id", "text", packing.read_specs(table(spark, d, "container_spec")))
+
+
+@query
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    specs = packing.read_specs(table(spark, d, "container_spec"))
+    each = p7_pack(spark, d).groupBy("spec_name", "container_id").agg(F.sum("n_tokens").alias("n"))
+    cap = F.create_map(*(F.lit(x) for kv in specs.items() for x in kv))
+    return each.groupBy("spec_name").agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest")).withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.try_element_at(cap, F.col("spec_name"))), 6))
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, d, "documents"), "doc_id", "source", "text", mixing.read_targets(table(spark, d, "mix_target")))
+
+
+@query
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+@query
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1].withColumns({c: F.round(c, 6) for c in ("rate", "actual_share")})
+
+
 SQL = {k: v for k, v in _ALL_SQL.items() if k in QUERIES}

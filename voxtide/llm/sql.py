@@ -76,3 +76,16 @@ near AS (
 """
 SQL["p5_found"] = _NEAR + "SELECT word_id, turn_id FROM near WHERE k = 1"
 SQL["p5_words"] = _NEAR + "SELECT word_id, turn_id FROM w LEFT JOIN (SELECT * FROM near WHERE k = 1) USING (word_id)"
+
+_P6 = f"""WITH {_CLEAN},
+w AS (SELECT segment_id, list_transform(words, lambda p: regexp_replace(p, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')) AS words FROM clean),
+grams AS (SELECT segment_id, unnest(generate_series(1, len(words) - 2)) AS i, words FROM w WHERE len(words) > 2),
+run AS (SELECT segment_id, i, i > min(i) OVER (PARTITION BY segment_id, words[i], words[i + 1], words[i + 2]) AS again FROM grams),
+marked AS (SELECT segment_id, count(DISTINCT k) AS n FROM (SELECT segment_id, unnest([i, i + 1, i + 2]) AS k FROM run WHERE again) GROUP BY 1),
+share AS (SELECT segment_id, len(words)::INT AS n_words, coalesce(n, 0)::INT AS repeated_words FROM w LEFT JOIN marked USING (segment_id))
+"""
+SQL["p6_found"] = _P6 + "SELECT segment_id FROM share WHERE n_words > 0 AND repeated_words * 3 >= n_words"
+SQL["p6_share"] = (
+    _P6 + "SELECT r.segment_id, coalesce(n_words, 0) AS n_words, coalesce(repeated_words, 0) AS repeated_words, coalesce(round(repeated_words / nullif(n_words, 0), 9), 0.0) AS share "
+    "FROM (SELECT DISTINCT segment_id FROM asr_segment) r LEFT JOIN share USING (segment_id)"
+)
