@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtide.llm.transcript import CLUSTER_PREFIXES, Cleaner, fold
 from voxtide.operators.intervals import carry_in
-from voxtide.operators.lookup import lookup
 from voxtide.session import materialise
 
 #: Segments of one recording that a window sees at once; a longer recording is cut and its cuts are joined again.
 SEGMENTS_PER_BUCKET = 4096
+#: Keys that one recording becomes in joins with its entries, roles or classes.
+SALTS = 16
 #: Time buckets of the overlap ranks.
 BUCKET_MS = 600_000
 #: Labels and forms are configuration: more than this many are refused.
@@ -63,7 +64,9 @@ def overlap_by_class(spans: DataFrame, turns: DataFrame) -> DataFrame:
     ends before x, so prefix sums at both ends of a span give its overlap.
     """
     classes = turns.select("entity", "class").distinct().groupBy("entity").agg(F.collect_set("class").alias("classes"))
-    q = lookup(spans, classes, "entity").select("id", "entity", F.explode("classes").alias("class"), "start", "end")
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    q = spans.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(classes, ["entity", "salt"])
+    q = q.select("id", "entity", F.explode("classes").alias("class"), "start", "end")
     point = lambda t, sign: F.struct(F.col(t).alias("t"), F.lit(sign).alias("sign"))
     ask = q.select("entity", "class", "id", F.explode(F.array(point("start", -1), point("end", 1))).alias("p")).select("entity", "class", "id", "p.*")
     tell = turns.select("entity", "class", F.lit(None).cast("long").alias("id"), F.explode(F.array(point("start", 1), point("end", -1))).alias("p")).select("entity", "class", "id", "p.*")
@@ -95,30 +98,28 @@ def speaker_turns(segments: DataFrame, results: DataFrame, diarization: DataFram
     seg, _ = materialise(cl.select(*keep, *([F.col("__clean.words").alias("words")] if with_text else [])).where("n_words > 0"), "segments")
     seg = seg.dropDuplicates(["segment_id"])
 
+    # A recording's roles and entries meet its segments by recording and salt, so a hot recording is many keys; each
+    # salted row holds the entries of its own segments only.
     by_label = {fold(a): r for a, r in roles}
     res = results.where("recording_id is not null").dropDuplicates(["recording_id"])
-    said = res.select("recording_id", "cluster_to_role", F.posexplode("utterance_speakers").alias("segment_no", "entry"))
-    said = said.select("recording_id", "segment_no", named_role(F.col("entry"), by_label, F.col("cluster_to_role")).alias("entry_role")).where("entry_role is not null")
-    key = F.concat_ws("\x1f", "recording_id", "number")
-    role_of = res.select("recording_id", F.explode("cluster_to_role").alias("number", "cluster_role")).select(key.alias("key"), "cluster_role").where("cluster_role is not null").dropDuplicates(["key"])
-
-    # A label that names a cluster needs the roles of its recording; the few such rows never gather by recording alone.
+    res = res.select("recording_id", "cluster_to_role", "utterance_speakers", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    res = res.select("recording_id", "cluster_to_role", "salt", F.filter("utterance_speakers", lambda _, i: i % SALTS == F.col("salt")).alias("entries"))
+    named = seg.withColumn("salt", F.pmod("segment_no", F.lit(SALTS)).cast("int")).join(res, ["recording_id", "salt"], "left")
+    entry = F.get("entries", F.floor(F.col("segment_no") / SALTS).cast("int"))
     number = F.when(F.col("label").startswith("#"), F.substring("label", 2, 20))
-    seg = seg.withColumn("number", number)
-    named = lookup(seg.withColumn("key", F.when(F.col("number").isNotNull(), key)), role_of, "key")
-    named = named.join(said, ["recording_id", "segment_no"], "left")
-    speaker = F.coalesce(F.when(~F.col("label").startswith("#"), F.col("label")), F.col("cluster_role"), F.col("entry_role"))
+    speaker = F.coalesce(F.when(number.isNull(), F.col("label")), F.try_element_at("cluster_to_role", number), named_role(entry, by_label, F.col("cluster_to_role")))
     cols = ["segment_id", "recording_id", "segment_no", "start_ms", "end_ms", "n_words", *(["words"] if with_text else [])]
-    named, _ = materialise(named.select(*cols, speaker.alias("speaker")), "named")
+    named = named.select(*cols, speaker.alias("speaker"), "cluster_to_role")
+    named, _ = materialise(named.withColumn("cluster_to_role", F.when(F.col("speaker").isNull(), F.col("cluster_to_role"))), "named")
 
     mute = named.where("speaker is null and end_ms > start_ms")
     turns = diarization.select("turn_id", F.col("recording_id").alias("entity"), cluster(F.col("cluster_id")).alias("class"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
     turns = turns.where("end > start and class is not null").dropDuplicates(["turn_id"]).join(mute.select(F.col("recording_id").alias("entity")).distinct(), "entity", "left_semi")
     heard = overlap_by_class(mute.select(F.col("segment_id").alias("id"), F.col("recording_id").alias("entity"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end")), turns)
     best = heard.groupBy("id").agg(F.max(F.struct("overlap", (-F.col("class").cast("long")).alias("order"))).alias("m")).select(F.col("id").alias("segment_id"), (-F.col("m.order")).cast("string").alias("number"))
-    heard_role = lookup(named.where("speaker is null").drop("speaker").join(best, "segment_id").withColumn("key", key), role_of, "key")
-    done = named.where("speaker is not null").select(*cols, "speaker").unionByName(heard_role.select(*cols, F.col("cluster_role").alias("speaker")).where("speaker is not null"))
-    return build_turns(done, with_text)
+    found = named.where("speaker is null").drop("speaker").join(best, "segment_id").withColumn("speaker", F.try_element_at("cluster_to_role", F.col("number")))
+    done = named.where("speaker is not null").select(*cols, "speaker").unionByName(found.where("speaker is not null").select(*cols, "speaker"))
+    return build_turns(materialise(done.drop("start_ms", "end_ms"), "spoken")[0], with_text)
 
 
 def build_turns(seg: DataFrame, with_text: bool) -> DataFrame:
