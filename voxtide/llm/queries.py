@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxtide.llm import mixing, nearest, packing, repetition, splits, turns
+from voxtide.llm import mixing, nearest, packing, repetition, splits, topics, turns
 from voxtide.llm.sql import SQL as _ALL_SQL
 from voxtide.sources.tables import table
 
@@ -132,4 +132,21 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1].withColumns({c: F.round(c, 6) for c in ("rate", "actual_share")})
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    names = sorted(n for n, *_ in turns.vocabulary(table(spark, d, "subject_area"), "subject"))
+    fillers = topics.filler_pattern([f for f, *_ in turns.vocabulary(table(spark, d, "nonword_form"), "form")])
+    return topics.subjects(table(spark, d, "documents"), "doc_id", "text", names, 0.25, fillers=fillers)
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+@query
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents are about each subject, and the mean share of their sentences that is."""
+    return _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("share"), 4).alias("mean_share"))
+
+
 SQL = {k: v for k, v in _ALL_SQL.items() if k in QUERIES}
