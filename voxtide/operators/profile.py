@@ -13,13 +13,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from voxtide.operators.intervals import carry_in
 from voxtide.session import materialise
 
 #: Rules are configuration: more than this many are refused, as each becomes part of the plan.
 MAX_RULES = 2_000
+#: Rows of a few dozen bytes that may be broadcast: some 10 MB.
+BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -80,23 +81,29 @@ def quartiles(counts: DataFrame) -> DataFrame:
     mag = F.when(F.col("x") == 0, F.lit(0)).otherwise(F.floor(F.least(F.log2(F.abs("x")), F.lit(2000.0)) * 64) + 80_000)
     v = v.withColumn("__b", (F.signum("x") * mag).cast("long"))
     # log2 rounds alike for equal values and never decreases, so buckets never cross.
-    v = carry_in(v, keys, "__b", {"n0": F.sum("n")})
-    tot = v.groupBy(*keys).agg(F.sum("n").alias("total"))
-    per = v.groupBy(*keys, "__b").agg(F.first("n0").alias("lo"), (F.first("n0") + F.sum("n")).alias("hi"))
+    per = v.groupBy(*keys, "__b").agg(F.sum("n").alias("m"))
+    w = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per = per.withColumn("hi", F.sum("m").over(w)).withColumn("lo", F.col("hi") - F.col("m"))
+    tot = per.groupBy(*keys).agg(F.sum("m").alias("total"))
     want = tot.select(*keys, F.explode(F.array(*(F.struct(F.lit(i).alias("q"), ((F.col("total") - 1) * p).alias("at")) for i, p in ((1, 0.25), (2, 0.5), (3, 0.75))))).alias("w"))
     want = want.select(*keys, "w.q", F.floor("w.at").alias("below"), (F.col("w.at") - F.floor("w.at")).alias("frac"))
     want = want.select(*keys, "q", "frac", F.explode(F.array(F.col("below"), F.when(F.col("frac") > 0, F.col("below") + 1))).alias("r"), F.col("below")).where("r is not null")
-    # Six ranks a group at most, so this join grows with loads and columns only.
-    hits = per.join(want, keys).where("r >= lo and r < hi").select(*keys, "__b", "q", "frac", "r", "below")
-    need = hits.select(*keys, "__b").distinct()
+    # Six ranks a group at most, so these tables grow with loads and columns only.
+    hits, _ = materialise(per.join(want, keys).where("r >= lo and r < hi").select(*keys, "__b", "lo", "q", "frac", "r", "below"), "ranks")
+    need = hits.select(*keys, "__b", F.col("lo").alias("n0")).distinct()
     w = Window.partitionBy(*keys, "__b").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = v.join(need, [*keys, "__b"], "left_semi").withColumn("hi", F.col("n0") + F.sum("n").over(w))
-    got = ranked.join(hits, [*keys, "__b"]).where("r < hi and r >= hi - n")
+    ranked = v.join(_small(need), [*keys, "__b"]).withColumn("hi", F.col("n0") + F.sum("n").over(w))
+    got = ranked.join(hits.drop("lo"), [*keys, "__b"]).where("r < hi and r >= hi - n")
     got = got.groupBy(*keys, "q").agg(F.first("frac").alias("f"), F.max(F.when(F.col("r") == F.col("below"), F.col("x"))).alias("a"), F.max(F.when(F.col("r") > F.col("below"), F.col("x"))).alias("b"))
     value = F.when(F.col("f") > 0, F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).otherwise(F.col("a"))
     return got.groupBy(*keys).agg(*(F.max(F.when(F.col("q") == i, value)).alias(f"q{i}") for i in (1, 2, 3)))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast if its rows, once counted, are at most BROADCAST_ROWS; else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def column_figures(counts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per load and column with its figures; violations count rows, tested once per distinct value."""
     bad_pattern = bad_range = F.lit(False)
@@ -119,8 +126,6 @@ def column_figures(counts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         F.count(F.when(there, F.lit(1))).alias("n_distinct"),
         F.min("x").alias("min_value"),
         F.max("x").alias("max_value"),
-        F.min("s").alias("min_text"),
-        F.max("s").alias("max_text"),
         F.sum(F.when(there & F.coalesce(bad_pattern, F.lit(False)), F.col("n")).otherwise(0)).alias("n_pattern"),
         F.sum(F.when(there & F.coalesce(bad_range, F.lit(False)), F.col("n")).otherwise(0)).alias("n_range"),
     )
@@ -137,13 +142,16 @@ def previous_loads(runs: DataFrame) -> DataFrame:
     return runs.select("load_id", "stream_name", "seq").distinct().join(lagged, ["stream_name", "seq"]).where("prev_id is not null").groupBy("load_id").agg(F.max("prev_id").alias("prev_id"))
 
 
-def distribution_changes(counts: DataFrame, figures: DataFrame, before: DataFrame) -> DataFrame:
+def distribution_changes(counts: DataFrame, figures: DataFrame, before: DataFrame, numbers: bool = True) -> DataFrame:
     """(load_id, column_name, tv, chi2, psi) against the load before.
 
     Text columns compare the shares of every value; number columns the shares of
     the four ranges cut at the quartiles of the load before.  PSI counts a share
-    of 0 as 0.0001.  Null where either load has no values.
+    of 0 as 0.0001.  Null where either load has no values.  Without ``numbers``
+    only text columns are compared.
     """
+    if not numbers:
+        counts, figures = counts.where("not num"), figures.where("not num")
     keys = ["load_id", "column_name"]
     qb = figures.select(F.col("load_id").alias("prev_id"), "column_name", F.col("q1").alias("c1"), F.col("q2").alias("c2"), F.col("q3").alias("c3"))
     cuts = before.join(qb, "prev_id").select("load_id", "prev_id", "column_name", "c1", "c2", "c3")
@@ -152,7 +160,7 @@ def distribution_changes(counts: DataFrame, figures: DataFrame, before: DataFram
     role_cur = cuts.select("load_id", F.col("load_id").alias("in_load"), "column_name", "c1", "c2", "c3", F.lit(False).alias("prev"))
     role_prev = cuts.select("load_id", F.col("prev_id").alias("in_load"), "column_name", "c1", "c2", "c3", F.lit(True).alias("prev"))
     roles = role_cur.unionByName(role_prev)
-    both = values.withColumnRenamed("load_id", "in_load").join(roles, ["in_load", "column_name"])
+    both = values.withColumnRenamed("load_id", "in_load").join(_small(roles), ["in_load", "column_name"])
     cell = F.when(F.col("num"), ((F.col("x") > F.col("c1")).cast("int") + (F.col("x") > F.col("c2")).cast("int") + (F.col("x") > F.col("c3")).cast("int")).cast("string")).otherwise(F.col("s"))
     cells = both.groupBy("load_id", "column_name", cell.alias("cell")).agg(F.sum(F.when(~F.col("prev"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("prev"), F.col("n")).otherwise(0)).alias("b"))
     tot = figures.select("load_id", "column_name", (F.col("n_rows") - F.col("n_null")).alias("m"))
@@ -169,9 +177,11 @@ def distribution_changes(counts: DataFrame, figures: DataFrame, before: DataFram
     )
 
 
-def profile(df: DataFrame, load: str, rules: Sequence[Rule], runs: DataFrame, table: str) -> DataFrame:
+def profile(df: DataFrame, load: str, rules: Sequence[Rule], runs: DataFrame, table: str, drift_of_numbers: bool = True) -> DataFrame:
     """Profile of every ruled column of every load, with the figures of the load before as ``prev_*``.
 
+    - ``tv``, ``chi2`` and ``psi`` compare distributions; those of number columns can be left out.
+
     - Null and NaN are both null, and left out of everything but the null share.
     - Rows without a load id belong to no load and are left out; loads missing in ``runs`` have no load before.
     - Columns without a rule, and ruled columns the table lacks, are not profiled; an empty table has no rows here.
@@ -179,7 +189,7 @@ def profile(df: DataFrame, load: str, rules: Sequence[Rule], runs: DataFrame, ta
     counts, _ = materialise(value_counts(df.where(F.col(load).isNotNull()), load, rules), f"counts-{table}")
     figures, _ = materialise(column_figures(counts, rules).join(quartiles(counts), ["load_id", "column_name"], "left"), f"figures-{table}")
     before = previous_loads(runs)
-    changes = distribution_changes(counts, figures, before)
+    changes = distribution_changes(counts, figures, before, drift_of_numbers)
     was = ["n_rows", "n_null", "n_distinct", "q1", "q2", "q3"]
     prev = before.join(figures.select(F.col("load_id").alias("prev_id"), "column_name", *(F.col(c).alias(f"prev_{c}") for c in was)), "prev_id").drop("prev_id")
     out = figures.join(prev, ["load_id", "column_name"], "left").join(changes, ["load_id", "column_name"], "left")
@@ -204,10 +214,10 @@ def findings(prof: DataFrame, no_mix: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def profile_tables(spark: SparkSession, tables: dict[str, DataFrame], load: str, rules: DataFrame, runs: DataFrame) -> DataFrame:
+def profile_tables(tables: dict[str, DataFrame], load: str, rules: DataFrame, runs: DataFrame, drift_of_numbers: bool = True) -> DataFrame:
     """Profiles of several tables, one below the other."""
     out = None
     for name, df in tables.items():
-        p = profile(df, load, read_rules(rules, name), runs, name)
+        p = profile(df, load, read_rules(rules, name), runs, name, drift_of_numbers)
         out = p if out is None else out.unionByName(p)
     return out
