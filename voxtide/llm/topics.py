@@ -16,9 +16,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+import zlib
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ MAX_SHARE = 0.15
 #: Topics drawn towards each subject, and free ones.
 PER_SUBJECT = 2
 FREE = 8
-ROUNDS = 12
-INNER = 8
+ROUNDS = 5
+INNER = 4
 ALPHA, ETA = 0.1, 0.05
 #: Weight of the inspected terms in the first rounds, against that of a topic's documents.
 DRAWN = 0.3
@@ -54,7 +54,8 @@ TERMS = {
 }
 
 _MARKS = re.compile(r"<\|[^|]*\|>|\x15[^\x15]*\x15|\(\([^()]*\)\)|\([^()]*\)|\[[^\[\]]*\]|<[^<>]*>|\{[^{}]*\}|♪[^♪]*♪|\*[^*\s:][^*:\n]{0,40}\*|&[=-]\S+|\d\d:\d\d:\d\d(?:\.\d+)?(?:\s*-->\s*)?")
-_TIER = re.compile(r"^[>\s-]*(?:\*[a-z]{3}:)?\s*")
+_HAS_MARK = re.compile(r"[<\x15(\[{♪*&]|\d\d:\d\d:\d\d")
+_TIER = re.compile(r"^(?:@.*|[>\s-]+(?=\S)|\*[a-z]{3}:\s*)", re.M)
 _STOP = re.compile(r"[.!?…;]+(?=\s|$)|\n+")
 _WORD = re.compile(r"[^\W\d_][\w'’-]*")
 
@@ -69,40 +70,100 @@ def sentences(text: str | None, fillers: re.Pattern | None = None) -> list[list[
     """Words of each sentence, without marks of tools, tier labels and header lines; none for a null or wordless text."""
     if not text:
         return []
-    t = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+    t = unicodedata.normalize("NFC", text).casefold()
+    if not t.isascii():
+        t = unicodedata.normalize("NFC", t)
+    t = _TIER.sub(" ", t)
+    if _HAS_MARK.search(t):
+        t = _MARKS.sub(" ", t)
+    if fillers is not None:
+        t = fillers.sub(" ", t)
     out: list[list[str]] = []
-    for line in t.split("\n"):
-        if line.startswith("@"):
-            continue
-        line = _TIER.sub("", _MARKS.sub(" ", line))
-        if fillers is not None:
-            line = fillers.sub(" ", line)
-        for s in _STOP.split(line):
-            words = _WORD.findall(s)
-            if len(words) <= LONG:
+    for s in _STOP.split(t):
+        words = _WORD.findall(s)
+        if len(words) <= LONG:
+            if words:
                 out.append(words)
-                continue
-            n = -(-len(words) // TYPICAL)  # sentences that ran together
-            step = len(words) / n
-            out.extend(words[round(i * step) : round((i + 1) * step)] for i in range(n))
-    return [s for s in out if s]
+            continue
+        n = -(-len(words) // TYPICAL)  # sentences that ran together
+        step = len(words) / n
+        out.extend(words[round(i * step) : round((i + 1) * step)] for i in range(n))
+    return out
+
+
+def word_hash(w: str) -> int:
+    """A word's number, from 1 to 2**32 - 1."""
+    return zlib.crc32(w.encode()) or 1
 
 
-def terms(words: Sequence[str]) -> list[str]:
-    """Words and pairs of neighbouring words."""
-    return [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]
+def term_hash(term: str) -> int:
+    """A word's number, or for a pair of words both numbers in one."""
+    a, _, b = term.partition(" ")
+    return (word_hash(a) << 32 | word_hash(b)) - (1 << 63) if b else word_hash(a)
+
+
+def term_hashes(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all words and neighbouring pairs of sentences laid end to end, and the sentence of each."""
+    sentence = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    w = words.astype(np.uint32).astype(np.uint64)
+    inside = sentence[1:] == sentence[:-1]
+    pairs = ((w[:-1] << np.uint64(32)) | w[1:])[inside]
+    # Pairs are shifted below zero, so they never meet a word's number.
+    pairs = (pairs ^ np.uint64(1 << 63)).astype(np.int64)
+    return np.concatenate([w.astype(np.int64), pairs]), np.concatenate([sentence, sentence[:-1][inside]])
+
+
+def hashed(docs: DataFrame, key: str, text: str, fillers: re.Pattern | None) -> DataFrame:
+    """(key, words, ends): the words of each document as numbers, and where each sentence ends."""
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            flat: list[int] = []
+            ends: list[int] = []
+            at, cut = [0], [0]
+            for t in b.column(1).to_pylist():
+                n0 = len(flat)
+                for s in sentences(t, fillers):
+                    for w in s:
+                        h = known.get(w)
+                        if h is None:
+                            if len(known) > 1_000_000:
+                                known.clear()
+                            h = word_hash(w)
+                            known[w] = h = h - (1 << 32) if h >= 1 << 31 else h
+                        flat.append(h)
+                    ends.append(len(flat) - n0)
+                at.append(len(flat))
+                cut.append(len(ends))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32())), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ends, pa.int32()))], names=["key", "words", "ends"]
+            )
+
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, words array<int>, ends array<int>")
+
+
+def _laid_out(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Term numbers of a batch with the sentence of each; the document of each sentence; sentences by document."""
+    words, ends = b.column("words"), b.column("ends")
+    n_words, n_ends = words.value_lengths().to_numpy(), ends.value_lengths().to_numpy()
+    base = np.repeat(np.cumsum(n_words) - n_words, n_ends)
+    doc = np.repeat(np.arange(b.num_rows), n_ends)
+    h, s = term_hashes(words.flatten().to_numpy(), ends.flatten().to_numpy() + base) if len(base) else (np.empty(0, np.int64), np.empty(0, np.int64))
+    return h, s, doc, n_ends
 
 
 @dataclass
 class Model:
-    """``weights``: topics by terms, summing to 1 by topic; ``subject``: of each topic, -1 for none; ``share``: of each topic."""
+    """``terms``: numbers of the terms, ascending; ``weights``: topics by terms, summing to 1 by topic;
+    ``subject``: of each topic, -1 for none; ``share``: of each topic."""
 
-    index: dict[str, int]
+    terms: np.ndarray
     names: list[str]
     weights: np.ndarray
     subject: np.ndarray
     share: np.ndarray
-    top: list[list[str]] = field(default_factory=list)
 
 
 def inspected(names: Sequence[str]) -> list[list[str]]:
@@ -110,39 +171,60 @@ def inspected(names: Sequence[str]) -> list[list[str]]:
     return [[w for w in TERMS.get(n, "|").split("|")[0].split()] + [w.strip() for w in TERMS.get(n, "|").split("|")[1].split(",") if w.strip()] for n in names]
 
 
-def document_frequencies(docs: DataFrame, text: str, fillers: re.Pattern | None = None) -> DataFrame:
+def document_frequencies(words: DataFrame) -> DataFrame:
     """(term, n): in how many documents each term stands; counted in each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter[str] = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                c.update({x for s in sentences(t, fillers) for x in terms(s)})
-            if len(c) > 400_000:
-                yield pa.RecordBatch.from_pydict({"term": list(c), "n": list(c.values())})
-                c = Counter()
-        yield pa.RecordBatch.from_pydict({"term": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
-
-    return docs.select(text).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
+        def sums() -> tuple[np.ndarray, np.ndarray]:
+            t, n = (np.concatenate(x) for x in zip(*held))
+            u, at = np.unique(t, return_inverse=True)
+            return u, np.bincount(at, weights=n).astype(np.int64)
 
-def _bags(docs: DataFrame, text: str, index: dict[str, int], fillers: re.Pattern | None) -> DataFrame:
+        for b in batches:
+            h, s, doc, _ = _laid_out(b)
+            if not len(h):
+                continue
+            d = doc[s]
+            order = np.lexsort((d, h))
+            h, d = h[order], d[order]
+            first = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))  # a document counts a term once
+            h = h[first]
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            held.append((h[at], np.diff(np.append(at, len(h)))))
+            size += len(at)
+            if size > 2_000_000:
+                u, n = sums()
+                held, size = [(u, n)], len(u)
+                if size > 1_000_000:
+                    yield pa.RecordBatch.from_pydict({"term": pa.array(u), "n": pa.array(n)})
+                    held, size = [], 0
+        if held:
+            u, n = sums()
+            yield pa.RecordBatch.from_pydict({"term": pa.array(u), "n": pa.array(n)})
+
+    return words.select("words", "ends").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _bags(words: DataFrame, terms: np.ndarray) -> DataFrame:
     """(ids, n): the model's terms of each document and their counts."""
-    sc = docs.sparkSession.sparkContext
-    known = sc.broadcast(index)  # at most VOCABULARY terms
+    known = words.sparkSession.sparkContext.broadcast(terms)  # at most VOCABULARY numbers
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.value.get
+        vocabulary = known.value
         for b in batches:
-            ids, ns = [], []
-            for t in b.column(0).to_pylist():
-                c = Counter(i for s in sentences(t, fillers) for x in terms(s) if (i := get(x)) is not None)
-                if c:
-                    ids.append(list(c))
-                    ns.append(list(c.values()))
-            yield pa.RecordBatch.from_pydict({"ids": pa.array(ids, pa.list_(pa.int32())), "n": pa.array(ns, pa.list_(pa.int32()))})
+            h, s, doc, _ = _laid_out(b)
+            i = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+            there = vocabulary[i] == h
+            key = doc[s[there]] * len(vocabulary) + i[there]
+            key, n = np.unique(key, return_counts=True)
+            d = key // len(vocabulary)
+            at = np.searchsorted(d, np.arange(b.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(key % len(vocabulary), pa.int32())), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(n, pa.int32()))], names=["ids", "n"])
 
-    return docs.select(text).mapInArrow(bag, "ids array<int>, n array<int>")
+    return words.select("words", "ends").mapInArrow(bag, "ids array<int>, n array<int>").where(F.size("ids") > 0)
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -156,18 +238,40 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return r + np.log(y) - 0.5 / y - f * (1 / 12 - f * (1 / 120 - f / 252))
 
 
-def expected(ids: np.ndarray, n: np.ndarray, starts: np.ndarray, b: np.ndarray, inner: int = INNER) -> tuple[np.ndarray, np.ndarray]:
-    """One E-step over documents laid end to end: expected counts (topics of each entry), and the documents' gamma."""
-    doc = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-    bt = b[ids]  # entries by topics
-    n = n[:, None].astype(np.float32)
-    gamma = np.full((len(starts), b.shape[1]), 1.0, np.float32)
-    for _ in range(inner):
-        theta = np.exp(_digamma(gamma) - _digamma(gamma.sum(1, keepdims=True))).astype(np.float32)
-        phi = theta[doc] * bt
-        phi *= n / (phi.sum(1, keepdims=True) + 1e-30)
-        gamma = ALPHA + np.add.reduceat(phi, starts, axis=0)
-    return phi, gamma
+#: Entries (documents by terms) that one update holds.
+ENTRIES = 100_000
+
+
+def expected(ids: np.ndarray, n: np.ndarray, lengths: np.ndarray, b: np.ndarray, total: np.ndarray, inner: int = INNER) -> None:
+    """Add to ``total`` the expected counts of terms by topic of documents laid end to end.
+
+    Documents of like length are padded to one block, so that an update is two products of matrices.
+    """
+    starts = np.cumsum(lengths) - lengths
+    order = np.argsort(lengths, kind="stable")
+    padded = np.vstack([b, np.zeros((1, b.shape[1]), b.dtype)])
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi - lo + 1) * lengths[order[hi]] <= ENTRIES:
+            hi += 1
+        docs, lo = order[lo:hi], hi
+        width = int(lengths[docs[-1]])
+        inside = np.arange(width) < lengths[docs][:, None]
+        at = np.where(inside, starts[docs][:, None] + np.arange(width), 0)
+        i, c = np.where(inside, ids[at], len(b)), np.where(inside, n[at], 0).astype(np.float32)
+        block = padded[i]  # documents, terms, topics
+        gamma = np.full((len(docs), b.shape[1]), 1.0, np.float32)
+        for _ in range(inner):
+            theta = np.exp(_digamma(gamma) - _digamma(gamma.sum(1, keepdims=True))).astype(np.float32)
+            r = c / (np.matmul(block, theta[:, :, None])[:, :, 0] + 1e-30)
+            gamma = ALPHA + theta * np.matmul(r[:, None, :], block)[:, 0, :]
+        # Expected counts are b * sum over documents of r * theta: one sparse product, by sorted terms.
+        flat = i[inside]
+        by = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.diff(flat[by], prepend=-1))
+        d = np.repeat(np.arange(len(docs)), lengths[docs])[by]
+        total[flat[by][first]] += np.add.reduceat(r[inside][by][:, None] * theta[d], first, axis=0) * b[flat[by][first]]
 
 
 def _round(bags: DataFrame, b: np.ndarray) -> np.ndarray:
@@ -179,15 +283,9 @@ def _round(bags: DataFrame, b: np.ndarray) -> np.ndarray:
         w = sent.value
         total = np.zeros(w.shape)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                col = part.column("ids")
-                ids, n = col.flatten().to_numpy(), part.column("n").flatten().to_numpy()
-                starts = np.cumsum(np.append(0, col.value_lengths().to_numpy()))[:-1]
-                phi, _ = expected(ids, n, starts, w)
-                order = np.argsort(ids, kind="stable")
-                at = np.flatnonzero(np.diff(ids[order], prepend=-1))
-                total[ids[order][at]] += np.add.reduceat(phi[order], at, axis=0)
+            col = batch.column("ids")
+            if batch.num_rows:
+                expected(col.flatten().to_numpy(), batch.column("n").flatten().to_numpy(), col.value_lengths().to_numpy(), w, total)
         used = np.flatnonzero(total.sum(1) > 0)
         yield pa.RecordBatch.from_pydict({"term": pa.array(used, pa.int32()), **{f"t{j}": pa.array(total[used, j]) for j in range(k)}})
 
@@ -199,25 +297,26 @@ def _round(bags: DataFrame, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, text: str, names: Sequence[str], *, fillers: re.Pattern | None = None, rounds: int = ROUNDS, seed: int = 5) -> Model:
-    """Topics of all documents, each mapped to a subject of ``names`` or to none.
+def fit(words: DataFrame, names: Sequence[str], *, rounds: int = ROUNDS, seed: int = 5) -> Model:
+    """Topics of all documents (as from ``hashed``), each mapped to a subject of ``names`` or to none.
 
     A corpus too small for a vocabulary gives a model without terms, in which no sentence is about anything.
     """
     names = list(names)
-    df = document_frequencies(docs, text, fillers)
-    n_docs = docs.count()
-    kept = df.where((F.col("n") >= min(MIN_DOCUMENTS, max(2, n_docs // 200))) & (F.col("n") <= max(MAX_SHARE * n_docs, 2))).orderBy(F.desc("n"), "term").limit(VOCABULARY).collect()
-    index = {r.term: i for i, r in enumerate(kept)}
-    seeds = [[index[w] for w in ws if w in index] for ws in inspected(names)]
+    n_docs = words.count()
+    df = document_frequencies(words)
+    kept = df.where((F.col("n") >= min(MIN_DOCUMENTS, max(2, n_docs // 200))) & (F.col("n") <= max(MAX_SHARE * n_docs, 2))).orderBy(F.desc("n"), "term").limit(VOCABULARY).select("term").collect()
+    terms = np.sort(np.array([r.term for r in kept], np.int64))
+    index = {int(t): i for i, t in enumerate(terms)}
+    seeds = [[index[h] for w in ws if (h := term_hash(w)) in index] for ws in inspected(names)]
     k = len(names) * PER_SUBJECT + FREE
     if not index:
-        return Model({}, names, np.zeros((k, 0)), np.full(k, -1), np.full(k, 1 / k))
+        return Model(terms, names, np.zeros((k, 0)), np.full(k, -1), np.full(k, 1 / k))
     rng = np.random.default_rng(seed)
     seeded = np.zeros((len(index), k))
     for s, ids in enumerate(seeds):
         seeded[ids, s * PER_SUBJECT : (s + 1) * PER_SUBJECT] = 1.0
-    bags, path = materialise(_bags(docs, text, index, fillers), "bags")
+    bags, path = materialise(_bags(words, terms), "bags")
     size = float(bags.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0)
     prior = np.full((len(index), k), ETA)
     pull = DRAWN * size / k / max(1, len(seeds[0]) if seeds else 1)
@@ -226,7 +325,7 @@ def fit(docs: DataFrame, text: str, names: Sequence[str], *, fillers: re.Pattern
         b = np.exp(_digamma(lam) - _digamma(lam.sum(0, keepdims=True)))
         # The pull ends half-way, so that the topics are the documents' own in the end.
         lam = prior + _round(bags, b) + pull * seeded * max(0.0, 1 - 2 * (r + 1) / rounds)
-    drop_path(docs.sparkSession, path)
+    drop_path(words.sparkSession, path)
     mass = lam - prior
     weights = (lam / lam.sum(0, keepdims=True)).T
     # The subject of a topic: whose inspected terms weigh most in it, by what the documents gave, if they weigh at all.
@@ -236,61 +335,53 @@ def fit(docs: DataFrame, text: str, names: Sequence[str], *, fillers: re.Pattern
         score = np.array([given[ids, t].sum() for ids in seeds]) if seeds else np.zeros(0)
         if len(score) and score.max() > 0.02 and score.max() >= 2 * np.sort(score)[-2:][0]:
             subject[t] = int(score.argmax())
-    terms_by_id = [r.term for r in kept]
-    top = [[terms_by_id[i] for i in np.argsort(-weights[t])[:12]] for t in range(k)]
-    return Model(index, names, weights, subject, np.maximum(mass.sum(0), 1) / np.maximum(mass.sum(0), 1).sum(), top)
+    return Model(terms, names, weights, subject, np.maximum(mass.sum(0), 1) / np.maximum(mass.sum(0), 1).sum())
 
 
 #: A sentence is about a subject from this posterior on.
 ABOUT = 0.5
 
 
-def shares(docs: DataFrame, key: str, text: str, model: Model, about: float = ABOUT, fillers: re.Pattern | None = None) -> DataFrame:
-    """(key, sentences, subject, about): how many sentences of each document are about each subject, where any is.
-
-    Null and wordless texts have no sentences and no rows.
-    """
-    logw = np.log(model.weights.T + 1e-9).astype(np.float32) if model.index else np.zeros((0, len(model.share)), np.float32)
-    sent = docs.sparkSession.sparkContext.broadcast((model.index, logw, np.log(model.share).astype(np.float32), model.subject, model.names))
-    kinds = dict(docs.dtypes)
+def shares(words: DataFrame, model: Model, about: float = ABOUT) -> DataFrame:
+    """(key, sentences, subject, about): how many sentences of each document are about each subject, where any is."""
+    logw = np.log(model.weights.T + 1e-9).astype(np.float32)
+    sent = words.sparkSession.sparkContext.broadcast((model.terms, logw, np.log(model.share).astype(np.float32), model.subject, model.names))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, w, prior, subject, names = sent.value
-        get = index.get
+        vocabulary, w, prior, subject, names = sent.value
         member = np.stack([subject == s for s in range(len(names))], 1).astype(np.float32) if names else np.zeros((len(subject), 0), np.float32)
-        for b in batches:
-            doc, ids, starts, count = [], [], [], []
-            for d, t in enumerate(b.column(1).to_pylist()):
-                ss = sentences(t, fillers)
-                count.append(len(ss))
-                for s in ss:
-                    known = [i for x in terms(s) if (i := get(x)) is not None]
-                    if known:
-                        doc.append(d)
-                        starts.append(len(ids))
-                        ids.extend(known)
-            out = {"row": [], "subject": [], "about": []}
-            if ids and names:
-                like = np.add.reduceat(w[ids], starts, axis=0) + prior
+        for whole in batches:
+            for b in (whole.slice(lo, 2000) for lo in range(0, whole.num_rows, 2000)):
+                h, s, doc, count = _laid_out(b)
+                if not len(h) or not len(vocabulary) or not names:
+                    continue
+                i = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+                there = vocabulary[i] == h
+                i, s = i[there], s[there]
+                if not len(i):
+                    continue
+                by = np.argsort(s, kind="stable")
+                i, s = i[by], s[by]
+                at = np.flatnonzero(np.diff(s, prepend=-1))
+                like = np.add.reduceat(w[i], at, axis=0) + prior
                 like = np.exp(like - like.max(1, keepdims=True))
                 post = (like / like.sum(1, keepdims=True)) @ member
                 best = post.argmax(1)
                 sure = post[np.arange(len(best)), best] >= about
-                for (d, s), n in Counter(zip(np.array(doc)[sure].tolist(), best[sure].tolist())).items():
-                    out["row"].append(d)
-                    out["subject"].append(names[s])
-                    out["about"].append(n)
-            rows = pa.array(out["row"], pa.int64())
-            yield pa.RecordBatch.from_pydict({"key": b.column(0).take(rows), "sentences": pa.array(count, pa.int32()).take(rows), "subject": pa.array(out["subject"], pa.string()), "about": pa.array(out["about"], pa.int32())})
+                key, n = np.unique(doc[s[at]][sure] * len(names) + best[sure], return_counts=True)
+                d = pa.array(key // len(names))
+                yield pa.RecordBatch.from_pydict({"key": b.column("key").take(d), "sentences": pa.array(count, pa.int32()).take(d), "subject": pa.array([names[x] for x in key % len(names)], pa.string()), "about": pa.array(n, pa.int32())})
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(score, f"key {kinds[key]}, sentences int, subject string, about int").withColumnRenamed("key", key)
+    return words.mapInArrow(score, f"key {dict(words.dtypes)['key']}, sentences int, subject string, about int")
 
 
 def subjects(docs: DataFrame, key: str, text: str, names: Sequence[str], least: float = 0.25, *, fillers: re.Pattern | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(key, subject, share) of the subjects that at least ``least`` of a document's sentences are about: none, one or several.
 
-    Repeated rows (same key) count once in the result; a null key is left out.  An empty table gives an empty result.
+    - Null, blank and wordless texts are about nothing; whole texts are read, however long.
+    - Repeated rows (same key) count once in the result; a null key is left out.  An empty table gives an empty result.
+    - Names without inspected terms get no topic, so no document.
     """
-    d = docs.select(key, text).where(F.col(key).isNotNull())
-    got = shares(d, key, text, fit(d, text, names, fillers=fillers, rounds=rounds), fillers=fillers)
-    return got.where(F.col("about") >= F.lit(least) * F.col("sentences")).select(key, "subject", (F.col("about") / F.col("sentences")).alias("share")).dropDuplicates([key, "subject"])
+    words, _ = materialise(hashed(docs.where(F.col(key).isNotNull()), key, text, fillers), "words")
+    got = shares(words, fit(words, names, rounds=rounds))
+    return got.where(F.col("about") >= F.lit(least) * F.col("sentences")).select(F.col("key").alias(key), "subject", (F.col("about") / F.col("sentences")).alias("share")).dropDuplicates([key, "subject"])
