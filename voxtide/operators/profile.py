@@ -23,10 +23,15 @@ MAX_RULES = 2_000
 BROADCAST_ROWS = 100_000
 
 
+#: A profiled column of a load.
+KEYS = ["table_name", "load_id", "column_name"]
+
+
 @dataclass(frozen=True)
 class Rule:
     """What a column must hold: a text pattern for whole values, or an inclusive range."""
 
+    table: str
     column: str
     pattern: str | None = None
     low: float | None = None
@@ -39,11 +44,11 @@ def read_rules(rules: DataFrame, table: str) -> list[Rule]:
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} column rules")
     ok = lambda x: None if x is None or x != x else float(x)
-    return [Rule(r.column_name, r.value_pattern or None, ok(r.min_value), ok(r.max_value)) for r in rows]
+    return [Rule(table, r.column_name, r.value_pattern or None, ok(r.min_value), ok(r.max_value)) for r in rows]
 
 
-def value_counts(df: DataFrame, load: str, rules: Sequence[Rule]) -> DataFrame:
-    """(load_id, column_name, s, x, n): how often each value stands in each column of each load.
+def value_counts(df: DataFrame, table: str, load: str, rules: Sequence[Rule]) -> DataFrame:
+    """(table_name, load_id, column_name, num, s, x, n): how often each value stands in each column of each load.
 
     ``s`` holds text values, ``x`` numbers; both are null for a null or NaN cell.
     -0.0 counts as 0.0.  Rows as they lie: repeated rows count each time.
@@ -60,22 +65,23 @@ def value_counts(df: DataFrame, load: str, rules: Sequence[Rule]) -> DataFrame:
             v = c.cast("double")
             cells.append(F.struct(F.lit(r.column).alias("column_name"), F.lit(True).alias("num"), F.lit(None).cast("string").alias("s"), F.when(~F.isnan(v), v + F.lit(0.0)).alias("x")))
     if not cells:
-        return df.select(F.col(load).alias("load_id"), F.lit("").alias("column_name"), F.lit(False).alias("num"), F.lit("").alias("s"), F.lit(0.0).alias("x"), F.lit(1).cast("long").alias("n")).where("false")
+        return df.select(F.lit(table).alias("table_name"), F.col(load).alias("load_id"), F.lit("").alias("column_name"), F.lit(False).alias("num"), F.lit("").alias("s"), F.lit(0.0).alias("x"), F.lit(1).cast("long").alias("n")).where("false")
     return (
         df.select(F.col(load).alias("load_id"), F.explode(F.array(*cells)).alias("c"))
         .groupBy("load_id", "c.column_name", "c.num", "c.s", "c.x")
         .agg(F.count("*").alias("n"))
+        .select(F.lit(table).alias("table_name"), "*")
     )
 
 
 def quartiles(counts: DataFrame) -> DataFrame:
-    """(load_id, column_name, q1, q2, q3) of the number columns, exact and linearly interpolated.
+    """(table_name, load_id, column_name, q1, q2, q3) of the number columns, exact and linearly interpolated.
 
     Rank p*(n-1) lies between two neighbouring values.  Values are first counted
     by bucket (sign, exponent and leading bits, in order); only the buckets that
     hold a wanted rank are ranked value by value.
     """
-    keys = ["load_id", "column_name"]
+    keys = KEYS
     v = counts.where("num and x is not null").select(*keys, "x", "n")
     # Order-preserving bucket: about three decimal digits of the value.
     mag = F.when(F.col("x") == 0, F.lit(0)).otherwise(F.floor(F.least(F.log2(F.abs("x")), F.lit(2000.0)) * 64) + 80_000)
@@ -108,7 +114,7 @@ def column_figures(counts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per load and column with its figures; violations count rows, tested once per distinct value."""
     bad_pattern = bad_range = F.lit(False)
     for r in rules:
-        here = F.col("column_name") == r.column
+        here = (F.col("table_name") == r.table) & (F.col("column_name") == r.column)
         if r.pattern is not None:
             bad_pattern = F.when(here, ~F.col("s").rlike(rf"\A(?:{r.pattern})\z")).otherwise(bad_pattern)
         if r.low is not None or r.high is not None:
@@ -119,7 +125,7 @@ def column_figures(counts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                 out = out | (F.col("x") > r.high)
             bad_range = F.when(here, out).otherwise(bad_range)
     there = F.col("s").isNotNull() | F.col("x").isNotNull()
-    return counts.groupBy("load_id", "column_name").agg(
+    return counts.groupBy(*KEYS).agg(
         F.first("num").alias("num"),
         F.sum("n").alias("n_rows"),
         F.sum(F.when(~there, F.col("n")).otherwise(0)).alias("n_null"),
@@ -143,7 +149,7 @@ def previous_loads(runs: DataFrame) -> DataFrame:
 
 
 def distribution_changes(counts: DataFrame, figures: DataFrame, before: DataFrame, numbers: bool = True) -> DataFrame:
-    """(load_id, column_name, tv, chi2, psi) against the load before.
+    """(table_name, load_id, column_name, tv, chi2, psi) against the load before.
 
     Text columns compare the shares of every value; number columns the shares of
     the four ranges cut at the quartiles of the load before.  PSI counts a share
@@ -152,48 +158,52 @@ def distribution_changes(counts: DataFrame, figures: DataFrame, before: DataFram
     """
     if not numbers:
         counts, figures = counts.where("not num"), figures.where("not num")
-    keys = ["load_id", "column_name"]
-    qb = figures.select(F.col("load_id").alias("prev_id"), "column_name", F.col("q1").alias("c1"), F.col("q2").alias("c2"), F.col("q3").alias("c3"))
-    cuts = before.join(qb, "prev_id").select("load_id", "prev_id", "column_name", "c1", "c2", "c3")
+    qb = figures.select("table_name", F.col("load_id").alias("prev_id"), "column_name", F.col("q1").alias("c1"), F.col("q2").alias("c2"), F.col("q3").alias("c3"))
+    cuts = before.join(qb, "prev_id").select("table_name", "load_id", "prev_id", "column_name", "c1", "c2", "c3")
     values = counts.where("s is not null or x is not null")
     # Each count once as its own load's and once as "before" of the next load.
-    role_cur = cuts.select("load_id", F.col("load_id").alias("in_load"), "column_name", "c1", "c2", "c3", F.lit(False).alias("prev"))
-    role_prev = cuts.select("load_id", F.col("prev_id").alias("in_load"), "column_name", "c1", "c2", "c3", F.lit(True).alias("prev"))
+    role_cur = cuts.select("table_name", "load_id", F.col("load_id").alias("in_load"), "column_name", "c1", "c2", "c3", F.lit(False).alias("prev"))
+    role_prev = cuts.select("table_name", "load_id", F.col("prev_id").alias("in_load"), "column_name", "c1", "c2", "c3", F.lit(True).alias("prev"))
     roles = role_cur.unionByName(role_prev)
-    both = values.withColumnRenamed("load_id", "in_load").join(_small(roles), ["in_load", "column_name"])
+    both = values.withColumnRenamed("load_id", "in_load").join(_small(roles), ["table_name", "in_load", "column_name"])
     cell = F.when(F.col("num"), ((F.col("x") > F.col("c1")).cast("int") + (F.col("x") > F.col("c2")).cast("int") + (F.col("x") > F.col("c3")).cast("int")).cast("string")).otherwise(F.col("s"))
-    cells = both.groupBy("load_id", "column_name", cell.alias("cell")).agg(F.sum(F.when(~F.col("prev"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("prev"), F.col("n")).otherwise(0)).alias("b"))
-    tot = figures.select("load_id", "column_name", (F.col("n_rows") - F.col("n_null")).alias("m"))
-    cells = cells.join(tot.withColumnRenamed("m", "ma"), keys).join(cuts.select("load_id", "prev_id", "column_name"), keys).join(tot.select(F.col("load_id").alias("prev_id"), "column_name", F.col("m").alias("mb")), ["prev_id", "column_name"])
+    cells = both.groupBy(*KEYS, cell.alias("cell")).agg(F.sum(F.when(~F.col("prev"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("prev"), F.col("n")).otherwise(0)).alias("b"))
+    tot = figures.select(*KEYS, (F.col("n_rows") - F.col("n_null")).alias("m"))
+    sizes = tot.withColumnRenamed("m", "ma").join(cuts.select("table_name", "load_id", "prev_id", "column_name"), KEYS)
+    sizes = sizes.join(tot.select("table_name", F.col("load_id").alias("prev_id"), "column_name", F.col("m").alias("mb")), ["table_name", "prev_id", "column_name"]).drop("prev_id")
+    cells = cells.join(sizes, KEYS)
     cells = cells.where("ma > 0 and mb > 0")
     pa, pb = F.col("a") / F.col("ma"), F.col("b") / F.col("mb")
     ga, gb = F.greatest(pa, F.lit(1e-4)), F.greatest(pb, F.lit(1e-4))
     # Two-sample chi-square with unequal sizes; whole numbers inside, so tv is exact up to the last division.
     k = F.sqrt(F.col("mb") / F.col("ma"))
-    return cells.groupBy(*keys).agg(
+    return cells.groupBy(*KEYS).agg(
         (F.sum(F.abs(F.col("a") * F.col("mb") - F.col("b") * F.col("ma"))) / (2 * F.first("ma") * F.first("mb"))).alias("tv"),
         F.sum(F.pow(k * F.col("a") - F.col("b") / k, F.lit(2)) / (F.col("a") + F.col("b"))).alias("chi2"),
         F.sum((ga - gb) * F.log(ga / gb)).alias("psi"),
     )
 
 
-def profile(df: DataFrame, load: str, rules: Sequence[Rule], runs: DataFrame, table: str, drift_of_numbers: bool = True) -> DataFrame:
-    """Profile of every ruled column of every load, with the figures of the load before as ``prev_*``.
-
-    - ``tv``, ``chi2`` and ``psi`` compare distributions; those of number columns can be left out.
+def profile(tables: dict[str, DataFrame], load: str, rules: DataFrame, runs: DataFrame, drift_of_numbers: bool = True) -> DataFrame:
+    """Profile of every ruled column of every load of the tables, with the figures of the load before as ``prev_*``.
 
     - Null and NaN are both null, and left out of everything but the null share.
     - Rows without a load id belong to no load and are left out; loads missing in ``runs`` have no load before.
-    - Columns without a rule, and ruled columns the table lacks, are not profiled; an empty table has no rows here.
+    - Columns without a rule, and ruled columns that a table lacks, are not profiled; an empty table has no rows here.
+    - ``tv``, ``chi2`` and ``psi`` compare distributions; those of number columns can be left out.
     """
-    counts, _ = materialise(value_counts(df.where(F.col(load).isNotNull()), load, rules), f"counts-{table}")
-    figures, _ = materialise(column_figures(counts, rules).join(quartiles(counts), ["load_id", "column_name"], "left"), f"figures-{table}")
+    known = {t: read_rules(rules, t) for t in tables}
+    counts = None
+    for name, df in tables.items():
+        c = value_counts(df.where(F.col(load).isNotNull()), name, load, known[name])
+        counts = c if counts is None else counts.unionByName(c)
+    counts, _ = materialise(counts, "counts")
+    figures, _ = materialise(column_figures(counts, [r for rs in known.values() for r in rs]).join(quartiles(counts), KEYS, "left"), "figures")
     before = previous_loads(runs)
     changes = distribution_changes(counts, figures, before, drift_of_numbers)
     was = ["n_rows", "n_null", "n_distinct", "q1", "q2", "q3"]
-    prev = before.join(figures.select(F.col("load_id").alias("prev_id"), "column_name", *(F.col(c).alias(f"prev_{c}") for c in was)), "prev_id").drop("prev_id")
-    out = figures.join(prev, ["load_id", "column_name"], "left").join(changes, ["load_id", "column_name"], "left")
-    return out.select(F.lit(table).alias("table_name"), "*")
+    prev = before.join(figures.select("table_name", F.col("load_id").alias("prev_id"), "column_name", *(F.col(c).alias(f"prev_{c}") for c in was)), "prev_id").drop("prev_id")
+    return figures.join(prev, KEYS, "left").join(changes, KEYS, "left")
 
 
 def findings(prof: DataFrame, no_mix: Sequence[str] = ()) -> DataFrame:
@@ -212,12 +222,3 @@ def findings(prof: DataFrame, no_mix: Sequence[str] = ()) -> DataFrame:
     return (
         prof.select("table_name", "load_id", "column_name", F.explode(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items())))).alias("finding"))
     )
-
-
-def profile_tables(tables: dict[str, DataFrame], load: str, rules: DataFrame, runs: DataFrame, drift_of_numbers: bool = True) -> DataFrame:
-    """Profiles of several tables, one below the other."""
-    out = None
-    for name, df in tables.items():
-        p = profile(df, load, read_rules(rules, name), runs, name, drift_of_numbers)
-        out = p if out is None else out.unionByName(p)
-    return out

@@ -71,7 +71,7 @@ prof AS (
 
 
 def _profiles(spark: SparkSession, d: str, drift_of_numbers: bool) -> DataFrame:
-    return profile.profile_tables({t: table(spark, d, t) for t in PROFILED}, "load_id", table(spark, d, "column_rule"), table(spark, d, "load_run"), drift_of_numbers)
+    return profile.profile({t: table(spark, d, t) for t in PROFILED}, "load_id", table(spark, d, "column_rule"), table(spark, d, "load_run"), drift_of_numbers)
 
 
 @query(
