@@ -26,15 +26,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from voxtide.session import drop_path, materialise
 
-#: Terms of the model: those of most documents within the limits below.  This bounds the model, not the documents.
+#: Terms of the model: the most frequent ones within the limits below.  This bounds the model, not the documents.
 VOCABULARY = 20_000
-MIN_DOCUMENTS = 5
+#: A term stands at least so often, and at most so often for each document, else it tells no subject.
+MIN_TIMES = 5
 MAX_SHARE = 0.15
 #: Topics drawn towards each subject, and free ones.
 PER_SUBJECT = 2
 FREE = 8
-ROUNDS = 5
-INNER = 4
+ROUNDS = 4
+INNER = 3
 ALPHA, ETA = 0.1, 0.05
 #: Weight of the inspected terms in the first rounds, against that of a topic's documents.
 DRAWN = 0.3
@@ -56,39 +57,74 @@ TERMS = {
 _MARKS = re.compile(r"<\|[^|]*\|>|\x15[^\x15]*\x15|\(\([^()]*\)\)|\([^()]*\)|\[[^\[\]]*\]|<[^<>]*>|\{[^{}]*\}|♪[^♪]*♪|\*[^*\s:][^*:\n]{0,40}\*|&[=-]\S+|\d\d:\d\d:\d\d(?:\.\d+)?(?:\s*-->\s*)?")
 _HAS_MARK = re.compile(r"[<\x15(\[{♪*&]|\d\d:\d\d:\d\d")
 _TIER = re.compile(r"^(?:@.*|[>\s-]+(?=\S)|\*[a-z]{3}:\s*)", re.M)
-_STOP = re.compile(r"[.!?…;]+(?=\s|$)|\n+")
-_WORD = re.compile(r"[^\W\d_][\w'’-]*")
+#: A word, or what ends a sentence.
+_TOKEN = re.compile(r"[^\W\d_][\w'’-]*|[.!?…;]+(?=\s|$)|\n+")
+_ENDS = ".!?…;\n"
 
 
 def filler_pattern(forms: Sequence[str]) -> re.Pattern | None:
-    """The forms, any letter lengthened, with the pause that punctuation behind them writes."""
+    """The forms, any letter lengthened."""
     each = ["".join(re.escape(c) + "+" for c in unicodedata.normalize("NFC", f).casefold()) for f in forms if f and f.strip()]
-    return re.compile(r"(?<![\w'’-])(?:" + "|".join(each) + r")(?![\w'’-])[.,!?…]*") if each else None
-
-
-def sentences(text: str | None, fillers: re.Pattern | None = None) -> list[list[str]]:
-    """Words of each sentence, without marks of tools, tier labels and header lines; none for a null or wordless text."""
-    if not text:
-        return []
-    t = unicodedata.normalize("NFC", text).casefold()
-    if not t.isascii():
-        t = unicodedata.normalize("NFC", t)
-    t = _TIER.sub(" ", t)
-    if _HAS_MARK.search(t):
-        t = _MARKS.sub(" ", t)
-    if fillers is not None:
-        t = fillers.sub(" ", t)
-    out: list[list[str]] = []
-    for s in _STOP.split(t):
-        words = _WORD.findall(s)
-        if len(words) <= LONG:
-            if words:
-                out.append(words)
-            continue
-        n = -(-len(words) // TYPICAL)  # sentences that ran together
-        step = len(words) / n
-        out.extend(words[round(i * step) : round((i + 1) * step)] for i in range(n))
-    return out
+    return re.compile("|".join(each)) if each else None
+
+
+class Scanner:
+    """Texts into numbers of words and ends of sentences, without marks of tools, tier labels, header lines and fillers.
+
+    What punctuation behind a filler writes is a pause, no end.  A piece of more
+    than LONG words without an end counts as several sentences of like length.
+    """
+
+    def __init__(self, fillers: re.Pattern | None = None) -> None:
+        self.fillers = fillers
+        self.known: dict[str, int] = {}  # a word's number; 0 for a filler, -1 for an end
+
+    def _number(self, token: str) -> int:
+        if len(self.known) > 1_000_000:
+            self.known.clear()
+        n = -1 if token[0] in _ENDS else 0 if self.fillers is not None and self.fillers.fullmatch(token) else word_hash(token)
+        self.known[token] = n
+        return n
+
+    def scan(self, text: str | None, flat: list[int]) -> list[int]:
+        """Append the numbers of the words of ``text`` to ``flat``; where, counted from the first of them, its sentences end."""
+        if not text:
+            return []
+        t = unicodedata.normalize("NFC", text).casefold()
+        if not t.isascii():
+            t = unicodedata.normalize("NFC", t)
+        t = _TIER.sub(" ", t)
+        if _HAS_MARK.search(t):
+            t = _MARKS.sub(" ", t)
+        known, number, add = self.known.get, self._number, flat.append
+        base = start = len(flat)
+        ends: list[int] = []
+        pause = False
+        for token in _TOKEN.findall(t):
+            n = known(token)
+            if n is None:
+                n = number(token)
+            if n > 0:
+                add(n)
+                pause = False
+            elif n == 0:
+                pause = True
+            elif pause and token[0] != "\n":
+                pause = False
+            elif len(flat) > start:
+                self._cut(start - base, len(flat) - base, ends)
+                start = len(flat)
+        if len(flat) > start:
+            self._cut(start - base, len(flat) - base, ends)
+        return ends
+
+    @staticmethod
+    def _cut(a: int, b: int, ends: list[int]) -> None:
+        if b - a <= LONG:
+            ends.append(b)
+        else:
+            n = -(-(b - a) // TYPICAL)
+            ends.extend(a + round((i + 1) * (b - a) / n) for i in range(n))
 
 
 def word_hash(w: str) -> int:
@@ -105,7 +141,7 @@ def term_hash(term: str) -> int:
 def term_hashes(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all words and neighbouring pairs of sentences laid end to end, and the sentence of each."""
     sentence = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    w = words.astype(np.uint32).astype(np.uint64)
+    w = words.view(np.uint32).astype(np.uint64)
     inside = sentence[1:] == sentence[:-1]
     pairs = ((w[:-1] << np.uint64(32)) | w[1:])[inside]
     # Pairs are shifted below zero, so they never meet a word's number.
@@ -118,28 +154,17 @@ def hashed(docs: DataFrame, key: str, text: str, fillers: re.Pattern | None) ->
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        scanner = Scanner(fillers)
         for b in batches:
             flat: list[int] = []
             ends: list[int] = []
             at, cut = [0], [0]
             for t in b.column(1).to_pylist():
-                n0 = len(flat)
-                for s in sentences(t, fillers):
-                    for w in s:
-                        h = known.get(w)
-                        if h is None:
-                            if len(known) > 1_000_000:
-                                known.clear()
-                            h = word_hash(w)
-                            known[w] = h = h - (1 << 32) if h >= 1 << 31 else h
-                        flat.append(h)
-                    ends.append(len(flat) - n0)
+                ends.extend(scanner.scan(t, flat))
                 at.append(len(flat))
                 cut.append(len(ends))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32())), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ends, pa.int32()))], names=["key", "words", "ends"]
-            )
+            words = pa.array(np.array(flat, np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), words), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ends, pa.int32()))], names=["key", "words", "ends"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, words array<int>, ends array<int>")
 
@@ -150,7 +175,7 @@ def _laid_out(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     n_words, n_ends = words.value_lengths().to_numpy(), ends.value_lengths().to_numpy()
     base = np.repeat(np.cumsum(n_words) - n_words, n_ends)
     doc = np.repeat(np.arange(b.num_rows), n_ends)
-    h, s = term_hashes(words.flatten().to_numpy(), ends.flatten().to_numpy() + base) if len(base) else (np.empty(0, np.int64), np.empty(0, np.int64))
+    h, s = term_hashes(np.ascontiguousarray(words.flatten().to_numpy()), ends.flatten().to_numpy() + base) if len(base) else (np.empty(0, np.int64), np.empty(0, np.int64))
     return h, s, doc, n_ends
 
 
@@ -171,8 +196,8 @@ def inspected(names: Sequence[str]) -> list[list[str]]:
     return [[w for w in TERMS.get(n, "|").split("|")[0].split()] + [w.strip() for w in TERMS.get(n, "|").split("|")[1].split(",") if w.strip()] for n in names]
 
 
-def document_frequencies(words: DataFrame) -> DataFrame:
-    """(term, n): in how many documents each term stands; counted in each task before the shuffle."""
+def frequencies(words: DataFrame) -> DataFrame:
+    """(term, n): how often each term stands in all documents; counted in each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -184,17 +209,9 @@ def document_frequencies(words: DataFrame) -> DataFrame:
             return u, np.bincount(at, weights=n).astype(np.int64)
 
         for b in batches:
-            h, s, doc, _ = _laid_out(b)
-            if not len(h):
-                continue
-            d = doc[s]
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
-            first = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))  # a document counts a term once
-            h = h[first]
-            at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            held.append((h[at], np.diff(np.append(at, len(h)))))
-            size += len(at)
+            u, n = np.unique(_laid_out(b)[0], return_counts=True)
+            held.append((u, n))
+            size += len(u)
             if size > 2_000_000:
                 u, n = sums()
                 held, size = [(u, n)], len(u)
@@ -304,8 +321,8 @@ def fit(words: DataFrame, names: Sequence[str], *, rounds: int = ROUNDS, seed: i
     """
     names = list(names)
     n_docs = words.count()
-    df = document_frequencies(words)
-    kept = df.where((F.col("n") >= min(MIN_DOCUMENTS, max(2, n_docs // 200))) & (F.col("n") <= max(MAX_SHARE * n_docs, 2))).orderBy(F.desc("n"), "term").limit(VOCABULARY).select("term").collect()
+    df = frequencies(words)
+    kept = df.where((F.col("n") >= min(MIN_TIMES, max(2, n_docs // 200))) & (F.col("n") <= max(MAX_SHARE * n_docs, 2))).orderBy(F.desc("n"), "term").limit(VOCABULARY).select("term").collect()
     terms = np.sort(np.array([r.term for r in kept], np.int64))
     index = {int(t): i for i, t in enumerate(terms)}
     seeds = [[index[h] for w in ws if (h := term_hash(w)) in index] for ws in inspected(names)]
@@ -357,18 +374,20 @@ def shares(words: DataFrame, model: Model, about: float = ABOUT) -> DataFrame:
                     continue
                 i = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
                 there = vocabulary[i] == h
-                i, s = i[there], s[there]
-                if not len(i):
-                    continue
-                by = np.argsort(s, kind="stable")
-                i, s = i[by], s[by]
-                at = np.flatnonzero(np.diff(s, prepend=-1))
-                like = np.add.reduceat(w[i], at, axis=0) + prior
+                like = np.tile(prior, (len(doc), 1))
+                told = np.zeros(len(doc), bool)
+                pairs = len(b.column("words").flatten())  # words come first, then pairs, both in order of sentences
+                for part in (slice(0, pairs), slice(pairs, None)):
+                    ids, at = i[part][there[part]], s[part][there[part]]
+                    if len(ids):
+                        first = np.flatnonzero(np.diff(at, prepend=-1))
+                        like[at[first]] += np.add.reduceat(w[ids], first, axis=0)
+                        told[at[first]] = True
                 like = np.exp(like - like.max(1, keepdims=True))
                 post = (like / like.sum(1, keepdims=True)) @ member
                 best = post.argmax(1)
-                sure = post[np.arange(len(best)), best] >= about
-                key, n = np.unique(doc[s[at]][sure] * len(names) + best[sure], return_counts=True)
+                sure = told & (post[np.arange(len(best)), best] >= about)
+                key, n = np.unique(doc[sure] * len(names) + best[sure], return_counts=True)
                 d = pa.array(key // len(names))
                 yield pa.RecordBatch.from_pydict({"key": b.column("key").take(d), "sentences": pa.array(count, pa.int32()).take(d), "subject": pa.array([names[x] for x in key % len(names)], pa.string()), "about": pa.array(n, pa.int32())})
 
