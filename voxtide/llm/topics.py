@@ -41,6 +41,8 @@ ALPHA, ETA = 0.1, 0.05
 DRAWN = 0.3
 #: A piece without a full stop that is longer than LONG words counts as one sentence for each TYPICAL words.
 LONG, TYPICAL = 24, 13
+#: Words that a task lays out at once.
+WORDS = 400_000
 
 # Terms inspected among the top terms of fitted topics, by subject.
 TERMS = {
@@ -156,19 +158,34 @@ def hashed(docs: DataFrame, key: str, text: str, fillers: re.Pattern | None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(fillers)
         for b in batches:
-            flat: list[int] = []
-            ends: list[int] = []
-            at, cut = [0], [0]
-            for t in b.column(1).to_pylist():
-                ends.extend(scanner.scan(t, flat))
-                at.append(len(flat))
-                cut.append(len(ends))
-            words = pa.array(np.array(flat, np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), words), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ends, pa.int32()))], names=["key", "words", "ends"])
+            lo = 0
+            while lo < b.num_rows:
+                flat: list[int] = []
+                ends: list[int] = []
+                at, cut = [0], [0]
+                while lo + len(at) - 1 < b.num_rows and len(flat) < WORDS:
+                    ends.extend(scanner.scan(b.column(1)[lo + len(at) - 1].as_py(), flat))
+                    at.append(len(flat))
+                    cut.append(len(ends))
+                words = pa.array(np.array(flat, np.uint32).view(np.int32))
+                keys = b.column(0).slice(lo, len(at) - 1)
+                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(at, pa.int32()), words), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ends, pa.int32()))], names=["key", "words", "ends"])
+                lo += len(at) - 1
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, words array<int>, ends array<int>")
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about WORDS words, of one document at least."""
+    for b in batches:
+        total = np.cumsum(b.column("words").value_lengths().to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + WORDS)))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def _laid_out(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Term numbers of a batch with the sentence of each; the document of each sentence; sentences by document."""
     words, ends = b.column("words"), b.column("ends")
@@ -208,7 +225,7 @@ def frequencies(words: DataFrame) -> DataFrame:
             u, at = np.unique(t, return_inverse=True)
             return u, np.bincount(at, weights=n).astype(np.int64)
 
-        for b in batches:
+        for b in _parts(batches):
             u, n = np.unique(_laid_out(b)[0], return_counts=True)
             held.append((u, n))
             size += len(u)
@@ -231,7 +248,7 @@ def _bags(words: DataFrame, terms: np.ndarray) -> DataFrame:
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = known.value
-        for b in batches:
+        for b in _parts(batches):
             h, s, doc, _ = _laid_out(b)
             i = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
             there = vocabulary[i] == h
@@ -367,29 +384,28 @@ def shares(words: DataFrame, model: Model, about: float = ABOUT) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, w, prior, subject, names = sent.value
         member = np.stack([subject == s for s in range(len(names))], 1).astype(np.float32) if names else np.zeros((len(subject), 0), np.float32)
-        for whole in batches:
-            for b in (whole.slice(lo, 2000) for lo in range(0, whole.num_rows, 2000)):
-                h, s, doc, count = _laid_out(b)
-                if not len(h) or not len(vocabulary) or not names:
-                    continue
-                i = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-                there = vocabulary[i] == h
-                like = np.tile(prior, (len(doc), 1))
-                told = np.zeros(len(doc), bool)
-                pairs = len(b.column("words").flatten())  # words come first, then pairs, both in order of sentences
-                for part in (slice(0, pairs), slice(pairs, None)):
-                    ids, at = i[part][there[part]], s[part][there[part]]
-                    if len(ids):
-                        first = np.flatnonzero(np.diff(at, prepend=-1))
-                        like[at[first]] += np.add.reduceat(w[ids], first, axis=0)
-                        told[at[first]] = True
-                like = np.exp(like - like.max(1, keepdims=True))
-                post = (like / like.sum(1, keepdims=True)) @ member
-                best = post.argmax(1)
-                sure = told & (post[np.arange(len(best)), best] >= about)
-                key, n = np.unique(doc[sure] * len(names) + best[sure], return_counts=True)
-                d = pa.array(key // len(names))
-                yield pa.RecordBatch.from_pydict({"key": b.column("key").take(d), "sentences": pa.array(count, pa.int32()).take(d), "subject": pa.array([names[x] for x in key % len(names)], pa.string()), "about": pa.array(n, pa.int32())})
+        for b in _parts(batches):
+            h, s, doc, count = _laid_out(b)
+            if not len(h) or not len(vocabulary) or not names:
+                continue
+            i = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+            there = vocabulary[i] == h
+            like = np.tile(prior, (len(doc), 1))
+            told = np.zeros(len(doc), bool)
+            pairs = len(b.column("words").flatten())  # words come first, then pairs, both in order of sentences
+            for part in (slice(0, pairs), slice(pairs, None)):
+                ids, at = i[part][there[part]], s[part][there[part]]
+                if len(ids):
+                    first = np.flatnonzero(np.diff(at, prepend=-1))
+                    like[at[first]] += np.add.reduceat(w[ids], first, axis=0)
+                    told[at[first]] = True
+            like = np.exp(like - like.max(1, keepdims=True))
+            post = (like / like.sum(1, keepdims=True)) @ member
+            best = post.argmax(1)
+            sure = told & (post[np.arange(len(best)), best] >= about)
+            key, n = np.unique(doc[sure] * len(names) + best[sure], return_counts=True)
+            d = pa.array(key // len(names))
+            yield pa.RecordBatch.from_pydict({"key": b.column("key").take(d), "sentences": pa.array(count, pa.int32()).take(d), "subject": pa.array([names[x] for x in key % len(names)], pa.string()), "about": pa.array(n, pa.int32())})
 
     return words.mapInArrow(score, f"key {dict(words.dtypes)['key']}, sentences int, subject string, about int")
 
