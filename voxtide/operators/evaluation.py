@@ -107,12 +107,15 @@ def gate(part: Column, whole: Column, numerator: int = 95, denominator: int = 10
     return F.when(whole > 0, part * denominator >= whole * numerator)
 
 
-def select_arm(arms: DataFrame, groups: Sequence[str], rate: str, runtime: str, order: str, eligible: str, tie_points: float = 1.0) -> DataFrame:
-    """The eligible arm of the lowest rate; arms within ``tie_points`` percent of it are decided by runtime (a missing one loses), then order."""
-    e = arms.where(F.col(eligible))
+def select_arm(arms: DataFrame, groups: Sequence[str], rate: str, baseline: str, eligible: str, ties: Sequence[Column], tie_points: float = 1.0) -> DataFrame:
+    """The eligible arm, no worse than the baseline's rate, of the lowest rate.
+
+    Arms within ``tie_points`` percentage points of the lowest are decided by ``ties``, in order.  A null rate is no candidate.
+    """
+    e = arms.where(F.col(eligible) & (F.col(rate) <= F.col(baseline)))
     best = e.groupBy(*groups).agg(F.min(rate).alias("__best"))
     j = e.join(best, list(groups)).where(F.round((F.col(rate) - F.col("__best")) * 100, 9) <= tie_points)
-    w = Window.partitionBy(*groups).orderBy(F.col(runtime).asc_nulls_last(), F.col(order))
+    w = Window.partitionBy(*groups).orderBy(*ties)
     return j.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k", "__best")
 
 

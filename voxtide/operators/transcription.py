@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -55,22 +56,32 @@ def loops(tok: DataFrame, keys: Sequence[str], order: str, value: str, least: in
 
 
 def _retraces(key: tuple, rows: list[dict]) -> list[dict]:
-    words, i, out = [r["norm"] for r in rows], 0, []
+    """``again[n][i]``: how many words from the i-th on equal the word n further; a retrace of n words is n of them in a row."""
+    words = [r["norm"] if r["kind"] == "word" else None for r in rows]
+    size = len(words)
+    again = {}
+    for n in range(1, RETRACE + 1):
+        run, col = 0, [0] * size
+        for i in range(size - n - 1, -1, -1):
+            run = run + 1 if words[i] is not None and words[i] == words[i + n] else 0
+            col[i] = run
+        again[n] = col
     base = dict(zip(("recording_id", "speaker_id", "utt_idx"), key))
-    while i < len(words):
-        for n in range(min(RETRACE, (len(words) - i) // 2), 0, -1):
-            if words[i : i + n] == words[i + n : i + 2 * n]:
-                out.append(base | {"tok_idx": rows[i]["tok_idx"], "n": n, "text": " ".join(words[i : i + n])})
-                i += n
-                break
-        else:
-            i += 1
+    out, skip_to = [], 0
+    for i in range(size):
+        n = max((n for n, col in again.items() if col[i] >= n), default=0)
+        if n and i >= skip_to:
+            out.append(base | {"tok_idx": rows[i]["tok_idx"], "n": n, "text": " ".join(words[i : i + n])})
+            skip_to = i + n
     return out
 
 
 def retraces(tok: DataFrame) -> DataFrame:
-    """Sequences of up to four words said again at once, longest first, each utterance from left to right."""
-    t = tok.where("kind = 'word'").select("recording_id", "speaker_id", "utt_idx", "tok_idx", "norm")
+    """Sequences of up to four words said again at once, longest first, each utterance from left to right.
+
+    Fillers between don't matter; a token that is neither word nor filler ends a sequence.
+    """
+    t = tok.where("kind <> 'filler'").select("recording_id", "speaker_id", "utt_idx", "tok_idx", "norm", "kind")
     return each_group(t, ["recording_id", "speaker_id", "utt_idx"], ["tok_idx"], _retraces, "recording_id string, speaker_id string, utt_idx int, tok_idx int, n int, text string")
 
 
@@ -135,7 +146,8 @@ def spell_number(n: int) -> str:
         elif u and words:
             words.append("lẻ")
         if u:
-            words.append("mốt" if u == 1 and t > 1 else "lăm" if u == 5 and t > 0 else DIGITS[u])
+            after_tens = {1: "mốt", 4: "tư", 5: "lăm"} if t > 1 else {5: "lăm"} if t else {}
+            words.append(after_tens.get(u, DIGITS[u]))
         parts.append(" ".join([*words, scale[i]]).strip())
     return " ".join(parts)
 
@@ -149,3 +161,20 @@ def spelled(df: DataFrame, number: str, out: str = "spelled") -> DataFrame:
             yield pd.Series([spell_number(int(n)) if n is not None and n == n and 0 <= n < 10**12 else None for n in ns], dtype=object)
 
     return df.withColumn(out, spell(F.col(number)))
+
+
+_NUMERAL = re.compile(r"(?<!\S)(0|[1-9][0-9]{0,11})?(%?)(?=[.,!?…]*(?:\s|$))")
+
+
+def spelled_text(df: DataFrame, text: str, out: str = "spelled") -> DataFrame:
+    """Texts with bare whole numbers, and a % behind them, in words; decimals and numbers with leading zeros stay."""
+
+    def words(m: re.Match) -> str:
+        return " ".join(([spell_number(int(m[1]))] if m[1] else []) + (["phần trăm"] if m[2] else []))
+
+    @F.pandas_udf("string")
+    def spell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for ts in batches:
+            yield pd.Series([None if t is None else _NUMERAL.sub(words, t) for t in ts], dtype=object)
+
+    return df.withColumn(out, spell(F.col(text)))
