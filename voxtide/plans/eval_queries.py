@@ -84,7 +84,7 @@ def der_collar(spark: SparkSession, d: str) -> DataFrame:
     "coverage_retention",
     f"""WITH u AS (SELECT DISTINCT recording_id, start_ms, end_ms FROM reference_utterance WHERE end_ms > start_ms), w AS ({_merged_sql('diarization_turn', 'recording_id')}), m AS ({_merged_sql('u', 'recording_id')}),
 k AS (SELECT m.recording_id, sum(least(m.e, w.e) - greatest(m.s, w.s)) AS kept FROM m JOIN w ON m.recording_id = w.recording_id AND w.s < m.e AND w.e > m.s GROUP BY ALL),
-b AS (SELECT u.*, coalesce(sum(least(u.end_ms, w.e) - greatest(u.start_ms, w.s)), 0) AS kept FROM u LEFT JOIN w ON u.recording_id = w.recording_id AND w.s < u.end_ms AND w.e > u.start_ms GROUP BY ALL),
+b AS (SELECT u.*, coalesce(sum(CASE WHEN w.s IS NOT NULL THEN least(u.end_ms, w.e) - greatest(u.start_ms, w.s) END), 0) AS kept FROM u LEFT JOIN w ON u.recording_id = w.recording_id AND w.s < u.end_ms AND w.e > u.start_ms GROUP BY ALL),
 n AS (SELECT recording_id, count(*) AS utterances, count(*) FILTER (WHERE 2 * kept >= end_ms - start_ms) AS retained_utterances FROM b GROUP BY ALL),
 t AS (SELECT recording_id, sum(e - s)::BIGINT AS reference_ms FROM m GROUP BY ALL)
 SELECT recording_id, reference_ms, utterances, retained_utterances, coalesce(kept, 0)::BIGINT AS retained_ms, round(coalesce(kept, 0) / reference_ms, 6) AS coverage FROM t JOIN n USING (recording_id) LEFT JOIN k USING (recording_id)""",
