@@ -85,7 +85,7 @@ def overlap_by_class(spans: DataFrame, turns: DataFrame) -> DataFrame:
 def speaker_turns(segments: DataFrame, results: DataFrame, diarization: DataFrame, labels: DataFrame, nonwords: DataFrame, with_text: bool = True) -> DataFrame:
     """(recording_id, turn_no, speaker, first_segment_no, last_segment_no, n_words[, text]) of every recording.
 
-    - Repeated segments and turns count once (by id); segments without words (null or blank text too) are left out.
+    - Repeated segments and turns (rows alike in what is read) count once; segments without words (null or blank text too) are left out.
     - The speaker is named by the label at the head, failing that by the entry of the segment, failing that by the
       cluster whose turns overlap the segment longest (a tie goes to the smaller number); a null time has no overlap.
     - A segment whose speaker nothing names is left out, as is one without recording or number; the turn around it goes on.
@@ -96,7 +96,7 @@ def speaker_turns(segments: DataFrame, results: DataFrame, diarization: DataFram
     cl = cleaned(segments.select("segment_id", "recording_id", "segment_no", "start_ms", "end_ms", "text").where("text is not null and recording_id is not null and segment_no is not null"), "text", roles, vocabulary(nonwords, "form"))
     keep = ["segment_id", "recording_id", "segment_no", "start_ms", "end_ms", F.col("__clean.label").alias("label"), F.col("__clean.n_words").alias("n_words")]
     seg, _ = materialise(cl.select(*keep, *([F.col("__clean.words").alias("words")] if with_text else [])).where("n_words > 0"), "segments")
-    seg = seg.dropDuplicates(["segment_id"])
+    seg = seg.distinct()  # repeated rows are alike; all columns as keys let the hash aggregate do it
 
     # A recording's roles and entries meet its segments by recording and salt, so a hot recording is many keys; each
     # salted row holds the entries of its own segments only.
@@ -114,7 +114,7 @@ def speaker_turns(segments: DataFrame, results: DataFrame, diarization: DataFram
 
     mute = named.where("speaker is null and end_ms > start_ms")
     turns = diarization.select("turn_id", F.col("recording_id").alias("entity"), cluster(F.col("cluster_id")).alias("class"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
-    turns = turns.where("end > start and class is not null").dropDuplicates(["turn_id"]).join(mute.select(F.col("recording_id").alias("entity")).distinct(), "entity", "left_semi")
+    turns = turns.where("end > start and class is not null").distinct().join(mute.select(F.col("recording_id").alias("entity")).distinct(), "entity", "left_semi")
     heard = overlap_by_class(mute.select(F.col("segment_id").alias("id"), F.col("recording_id").alias("entity"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end")), turns)
     best = heard.groupBy("id").agg(F.max(F.struct("overlap", (-F.col("class").cast("long")).alias("order"))).alias("m")).select(F.col("id").alias("segment_id"), (-F.col("m.order")).cast("string").alias("number"))
     found = named.where("speaker is null").drop("speaker").join(best, "segment_id").withColumn("speaker", F.try_element_at("cluster_to_role", F.col("number")))
