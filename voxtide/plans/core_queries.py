@@ -34,7 +34,7 @@ _P2_VALUES = {
 }
 _P2_TEXT = {"speaker_id", "utterance_id", "feature", "code", "severity"}
 _P2_CELLS = " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, load_id, '{c}' AS column_name, {c if c in _P2_TEXT else 'NULL::VARCHAR'} AS s, {'NULL::DOUBLE' if c in _P2_TEXT else f'CASE WHEN NOT isnan({c}::DOUBLE) THEN {c}::DOUBLE END'} AS x FROM {t} WHERE load_id IS NOT NULL"
+    f"SELECT '{t}' AS table_name, load_id, '{c}' AS column_name, {c if c in _P2_TEXT else 'NULL::VARCHAR'} AS s, {'NULL::DOUBLE' if c in _P2_TEXT else f"CASE WHEN {c}::VARCHAR <> 'nan' THEN {c}::DOUBLE END"} AS x FROM {t} WHERE load_id IS NOT NULL"
     for t, cs in _P2_VALUES.items()
     for c in cs
 )

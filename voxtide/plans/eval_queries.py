@@ -340,10 +340,10 @@ def spectral_flux(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "vad_threshold",
-    f"""WITH {_FRAMES}, e AS (SELECT vec_id, label, list_sum(p) AS e FROM fr), m AS (SELECT label, avg(e) FILTER (WHERE e > 1e-6) AS m FROM e GROUP BY ALL) SELECT label, count(*) FILTER (WHERE e > 1e-6 AND e >= m) AS voiced_frames, count(*) AS frames FROM e JOIN m USING (label) GROUP BY ALL""",
+    f"""WITH {_FRAMES}, e AS (SELECT vec_id, label, round(list_sum(p[1:16]), 9) AS e FROM fr), m AS (SELECT label, avg(e) FILTER (WHERE e > 1e-6) AS m FROM e GROUP BY ALL) SELECT label, count(*) FILTER (WHERE e > 1e-6 AND e >= m) AS voiced_frames, count(*) AS frames FROM e JOIN m USING (label) GROUP BY ALL""",
 )
 def vad_threshold(spark: SparkSession, d: str) -> DataFrame:
-    f = _frames(spark, d).select("vec_id", "label", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x), 9).alias("e"))
+    f = _frames(spark, d).select("vec_id", "label", F.round(F.aggregate(F.slice("p", 1, 16), F.lit(0.0), lambda s, x: s + x), 9).alias("e"))
     v = fr.voiced(f, ["label"], "e")
     return v.groupBy("label").agg(F.sum(F.col("voiced").cast("long")).alias("voiced_frames"), F.count("*").alias("frames"))
 
