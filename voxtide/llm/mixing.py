@@ -95,7 +95,7 @@ def mix(docs: DataFrame, key: str, source: str, text: str, targets: list[Target]
     chosen = emitted.select(key, source, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"), "n_tokens")
     got = emitted.groupBy(F.col(source).alias("source")).agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("selected_tokens"), F.count("*").alias("documents"))
     spark = docs.sparkSession
-    rows = [(t.source, t.share, t.max_repeats, available.get(t.source, 0), rate.get(t.source, 0.0)) for t in targets]
+    rows = [(t.source, float(t.share), float(t.max_repeats), available.get(t.source, 0), rate.get(t.source, 0.0)) for t in targets]
     plan = spark.createDataFrame(rows, "source string, target_share double, max_repeats double, available_tokens long, rate double")
     both = plan.join(got, "source", "left").fillna(0, ["selected_tokens", "documents"])
     total = both.agg(F.sum("selected_tokens").alias("total"))

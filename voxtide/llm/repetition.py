@@ -50,10 +50,11 @@ def repeated_sentences(words: str) -> float:
     seen: set[str] = set()
     again = total = 0
     part: list[str] = []
-    for w in words.split() + ["."]:
+    pieces = words.split()
+    for i, w in enumerate(pieces):
         part.append(w.strip(".,!?…;:"))
-        if w[-1:] in ".!?…":
-            s = " ".join(part).strip()
+        if w[-1] in ".!?…" or i + 1 == len(pieces):
+            s = " ".join(part)
             total += len(part)
             again += len(part) if s in seen else 0
             seen.add(s)

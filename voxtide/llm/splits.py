@@ -79,7 +79,7 @@ def mixed_groups(grouped: DataFrame, record: str, split: str) -> DataFrame:
     s = canonical_id(F.col(split))
     seen = grouped.groupBy("group_id").agg(F.min(s).alias("lo"), F.max(s).alias("hi"))
     mixed = seen.where("lo <> hi").select("group_id", F.lit(True).alias("mixed"))
-    return lookup(grouped.select(record, "group_id"), mixed, "group_id").where("mixed").drop("mixed")
+    return lookup(grouped.select(record, "group_id"), mixed, "group_id").where("mixed").select(record, "group_id")
 
 
 def rendezvous(key: Column, shares: Mapping[str, float], seed: int = 0) -> Column:

@@ -339,7 +339,11 @@ def fit(words: DataFrame, names: Sequence[str], *, rounds: int = ROUNDS, seed: i
     names = list(names)
     n_docs = words.count()
     df = frequencies(words)
-    kept = df.where((F.col("n") >= min(MIN_TIMES, max(2, n_docs // 200))) & (F.col("n") <= max(MAX_SHARE * n_docs, 2))).orderBy(F.desc("n"), "term").limit(VOCABULARY).select("term").collect()
+    looked_at = sorted({term_hash(w) for ws in inspected(names) for w in ws})
+    common = F.col("n") <= max(MAX_SHARE * n_docs, 2)
+    if looked_at:
+        common = common | F.col("term").isin(looked_at)
+    kept = df.where((F.col("n") >= min(MIN_TIMES, max(2, n_docs // 200))) & common).orderBy(F.desc("n"), "term").limit(VOCABULARY).select("term").collect()
     terms = np.sort(np.array([r.term for r in kept], np.int64))
     index = {int(t): i for i, t in enumerate(terms)}
     seeds = [[index[h] for w in ws if (h := term_hash(w)) in index] for ws in inspected(names)]
