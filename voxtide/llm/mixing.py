@@ -58,7 +58,7 @@ def rates(available: dict[str, int], targets: list[Target]) -> dict[str, float]:
     if total == float("inf"):  # no cap at all: nothing has to be dropped
         total = max(available[t.source] / t.share for t in served)
     # The source that sets the total repeats exactly at its cap, whatever the rounding of the division.
-    return {t.source: min(t.max_repeats, t.share * total / available[t.source]) for t in served}
+    return {t.source: float(min(t.max_repeats, t.share * total / available[t.source])) for t in served}
 
 
 def _counted(docs: DataFrame, key: str, source: str, text: str, vocabulary: str) -> DataFrame:
