@@ -159,14 +159,18 @@ def paired_difference(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "arm_window_reuse",
-    """WITH f AS (SELECT recording_id, segment_no % 6 AS arm, md5(string_agg(start_ms::VARCHAR || '-' || end_ms::VARCHAR, ',' ORDER BY start_ms, end_ms)) AS fp FROM (SELECT DISTINCT segment_id, recording_id, segment_no, start_ms, end_ms FROM asr_segment WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL) GROUP BY ALL)
-SELECT recording_id, arm, fp, first_value(arm) OVER (PARTITION BY recording_id, fp ORDER BY arm) AS reused_from FROM f""",
+    """WITH f AS (SELECT recording_id, segment_no % 6 AS arm, concat_ws('-', count(*), sum(start_ms)::BIGINT, sum(end_ms)::BIGINT, sum((start_ms * 1000003 + end_ms) % 1000000007)::BIGINT) AS fp
+  FROM (SELECT DISTINCT segment_id, recording_id, segment_no, start_ms, end_ms FROM asr_segment WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL) GROUP BY ALL)
+SELECT recording_id, arm, fp, min(arm) OVER (PARTITION BY recording_id, fp) AS reused_from FROM f""",
 )
 def arm_window_reuse(spark: SparkSession, d: str) -> DataFrame:
-    """Arms of a recording with the same windows are decoded once: each with the first arm of its fingerprint."""
+    """Arms of a recording with the same windows are decoded once: each with the first arm of its fingerprint.
+
+    The fingerprint is made of sums, so no arm's windows are gathered.
+    """
     s = table(spark, d, "asr_segment").where("start_ms is not null and end_ms is not null").select("segment_id", "recording_id", "segment_no", "start_ms", "end_ms").distinct()
-    span = F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms"))), lambda x: F.concat(x["start_ms"].cast("string"), F.lit("-"), x["end_ms"].cast("string")))
-    f = s.groupBy("recording_id", (F.col("segment_no") % 6).alias("arm")).agg(F.md5(F.concat_ws(",", span)).alias("fp"))
+    mix = F.sum((F.col("start_ms") * 1000003 + F.col("end_ms")) % 1000000007)
+    f = s.groupBy("recording_id", (F.col("segment_no") % 6).alias("arm")).agg(F.concat_ws("-", *(x.cast("string") for x in (F.count("*"), F.sum("start_ms"), F.sum("end_ms"), mix))).alias("fp"))
     return f.join(f.groupBy("recording_id", "fp").agg(F.min("arm").alias("reused_from")), ["recording_id", "fp"]).select("recording_id", "arm", "fp", "reused_from")
 
 
@@ -397,3 +401,81 @@ def f0_moments(spark: SparkSession, d: str) -> DataFrame:
     from voxtide.functions.exprs import kurt, skew
 
     return rounded(_series(spark, d).groupBy("user_id").agg(skew("value").alias("skewness"), kurt("value").alias("kurtosis")))
+
+
+# Table utilities: the catalog, issues, targets and digests.
+
+
+def _catalog_values() -> str:
+    from voxtide import catalog
+
+    return ", ".join(f"('{f.key}', '{f.pack}', '{f.level}', '{f.domain}')" for f in catalog.features() if f.pack == "motor_neuro")
+
+
+@query("catalog_filter", f"SELECT * FROM (VALUES {_catalog_values()}) v(key, pack, level, domain) WHERE domain = 'articulation'")
+def catalog_filter(spark: SparkSession, d: str) -> DataFrame:
+    from voxtide import catalog
+
+    return catalog.table(spark, pack="motor_neuro", domain="articulation").drop("unit")
+
+
+_ISSUE_KEYS = ("audio_duration_s", "audio_rms_dbfs", "time_speech_ratio", "voice_f0_mean_hz", "voice_hnr_mean_db", "lex_token_ttr")
+
+
+@query(
+    "issues_long",
+    "WITH t AS (SELECT DISTINCT recording_id, speaker_id, load_id, row_id, " + ", ".join(f"CASE WHEN {c}::VARCHAR <> 'nan' THEN {c} END AS {c}" for c in _ISSUE_KEYS) + " FROM feature_recording)"
+    + " UNION ALL ".join(f" SELECT recording_id, speaker_id, row_id, '{c}' AS feature FROM t WHERE {c} IS NULL" for c in _ISSUE_KEYS),
+)
+def issues_long(spark: SparkSession, d: str) -> DataFrame:
+    """One issue for each value that is missing."""
+    t = table(spark, d, "feature_recording").select("recording_id", "speaker_id", "load_id", "row_id", *_ISSUE_KEYS).distinct()
+    gone = F.array_compact(F.array(*(F.when(F.col(c).isNull() | F.isnan(c), F.lit(c)) for c in _ISSUE_KEYS)))
+    return t.select("recording_id", "speaker_id", "row_id", F.explode(gone).alias("feature"))
+
+
+@query(
+    "manifest_targets",
+    "SELECT DISTINCT r.recording_id, cluster AS number, element_at(cluster_to_role, cluster)[1] AS role FROM speaker_result r, unnest(map_keys(cluster_to_role)) u(cluster)",
+)
+def manifest_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Each recording with each of its clusters and the role of it."""
+    return table(spark, d, "speaker_result").select("recording_id", F.explode("cluster_to_role").alias("number", "role")).distinct()
+
+
+@query("dedupe_digest", "SELECT session_id, participant_id, any_value(sha256(concat_ws('|', coalesce(audio_path, ''), sha256))) AS digest, count(*) AS n FROM (SELECT DISTINCT manifest_id, session_id, participant_id, audio_path, sha256 FROM manifest_row WHERE audio_path IS NOT NULL AND sha256 IS NOT NULL) GROUP BY session_id, participant_id HAVING count(DISTINCT concat_ws('|', audio_path, sha256)) = 1")
+def dedupe_digest(spark: SparkSession, d: str) -> DataFrame:
+    """One digest per asset, where all rows of a session and participant name the same."""
+    t = table(spark, d, "manifest_row").where("audio_path is not null and sha256 is not null").select("manifest_id", "session_id", "participant_id", "audio_path", "sha256").distinct()
+    asset = F.concat_ws("|", "audio_path", "sha256")
+    return t.groupBy("session_id", "participant_id").agg(F.sha2(F.min(asset), 256).alias("digest"), F.count("*").alias("n"), F.count_distinct(asset).alias("k")).where("k = 1").drop("k")
+
+
+@query(
+    "word_grouping",
+    f"""WITH {TOK_SQL}, s AS (SELECT recording_id, utt_idx, row_number() OVER (PARTITION BY recording_id, utt_idx ORDER BY tok_idx) - 1 AS p, start_s, end_s FROM tok),
+n AS (SELECT recording_id, utt_idx, count(*) AS n FROM s GROUP BY ALL), g AS (SELECT recording_id, utt_idx, p // 2 AS pos, min(start_s) AS start_ms, max(end_s) AS end_ms FROM s GROUP BY ALL)
+SELECT recording_id, utt_idx, pos::INT AS pos, CASE WHEN n % 2 = 0 THEN start_ms END AS start_ms, CASE WHEN n % 2 = 0 THEN end_ms END AS end_ms, n % 2 = 0 AS aligned FROM g JOIN n USING (recording_id, utt_idx)""",
+)
+def word_grouping(spark: SparkSession, d: str) -> DataFrame:
+    """Words of two syllables each; an utterance of an odd number of syllables doesn't add up."""
+    w = Window.partitionBy("recording_id", "utt_idx").orderBy("tok_idx")
+    s = tokens(spark, d).select("recording_id", "utt_idx", (F.row_number().over(w) - 1).alias("pos"), F.col("start_s").alias("start_ms"), F.col("end_s").alias("end_ms"))
+    words = s.select("recording_id", "utt_idx", F.floor(F.col("pos") / 2).cast("int").alias("pos")).distinct().withColumn("size", F.lit(2))
+    return tr.group_words(words, s, ["recording_id", "utt_idx"])
+
+
+@query("spelled_sessions")
+def spelled_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Numerals in documents as words."""
+    return tr.spelled_text(table(spark, d, "documents").select("doc_id", "text"), "text").where("spelled <> text").select("doc_id", "spelled")
+
+
+@query("cohort_model")
+def cohort_model(spark: SparkSession, d: str) -> DataFrame:
+    """Out-of-fold probabilities that a feature row belongs to the participant, folds by recording."""
+    t = table(spark, d, "feature_recording").distinct().where("speaker_id in ('PAR', 'INV')").withColumn("y", (F.col("speaker_id") == "PAR").cast("double"))
+    fs = ["time_words_per_min", "time_speech_ratio", "voice_f0_mean_hz", "lex_token_ttr"]
+    t = t.withColumns({f: F.when(~F.isnan(f), F.col(f)) for f in fs})
+    return rounded(ev.cross_validated(t, fs, "y", "recording_id", folds=3, strengths=(0.01, 1.0)))
+

@@ -26,7 +26,7 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     """
     w = table(spark, d, "word_timing").where("segment_id is not null").select("word_id", "segment_id", "word_no", "word", "start_ms", "end_ms").distinct()
     norm = F.lower(F.regexp_replace("word", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    forms = F.broadcast(table(spark, d, "nonword_form").select(F.col("form").alias("norm"), F.col("kind").alias("form_kind")).distinct())  # a fixed table of forms
+    forms = table(spark, d, "nonword_form").groupBy(F.col("form").alias("norm")).agg(F.min("kind").alias("form_kind"))
     t = w.withColumn("norm", norm).join(forms, "norm", "left")
     kind = F.when(F.col("form_kind") == "filler", "filler").when(F.col("form_kind").isNotNull(), "noise").when(F.col("word").endswith("-"), "fragment").otherwise("word")
     t = t.withColumn("kind", kind).join(utterances(spark, d).select("recording_id", "speaker_id", "utt_idx", F.col("utterance_id").alias("segment_id")), "segment_id")
