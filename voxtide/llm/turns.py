@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,13 +46,13 @@ def cleaned(segments: DataFrame, text: str, labels: list[tuple], nonwords: list[
 def cluster(c: Column, bare: bool = True) -> Column:
     """The cluster number of a spelling, as in ``transcript.cluster_number``."""
     prefix = "(?:" + "|".join(CLUSTER_PREFIXES) + ")[ _-]*"
-    n = F.regexp_extract(F.trim(F.lower(F.regexp_replace(c, r"[\s ]+", " "))), rf"\A(?:{prefix}){'?' if bare else ''}([0-9]{{1,9}})\z", 1)
+    n = F.regexp_extract(F.trim(F.lower(F.regexp_replace(c, r"[\s\x{a0}]+", " "))), rf"\A(?:{prefix}){'?' if bare else ''}([0-9]{{1,9}})\z", 1)
     return F.when(n != "", n.cast("long").cast("string"))
 
 
 def named_role(entry: Column, roles: dict[str, str], cluster_roles: Column) -> Column:
     """The role that an entry of utterance_speakers names itself or through its cluster; null if neither."""
-    plain = F.trim(F.lower(F.regexp_replace(F.regexp_replace(entry, r"[\s ]+", " "), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+    plain = F.trim(F.lower(F.regexp_replace(F.regexp_replace(entry, r"[\s\x{a0}]+", " "), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
     table = F.create_map(*(F.lit(x) for kv in roles.items() for x in kv)) if roles else F.lit(None).cast("map<string,string>")
     return F.coalesce(F.try_element_at(table, plain), F.try_element_at(cluster_roles, cluster(plain)))
 
@@ -100,7 +101,7 @@ def speaker_turns(segments: DataFrame, results: DataFrame, diarization: DataFram
 
     # A recording's roles and entries meet its segments by recording and salt, so a hot recording is many keys; each
     # salted row holds the entries of its own segments only.
-    by_label = {fold(a): r for a, r in roles}
+    by_label = {form: r for a, r in roles for form in (fold(a), unicodedata.normalize("NFD", fold(a)))}
     res = results.where("recording_id is not null").dropDuplicates(["recording_id"])
     res = res.select("recording_id", "cluster_to_role", "utterance_speakers", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     res = res.select("recording_id", "cluster_to_role", "salt", F.filter("utterance_speakers", lambda _, i: i % SALTS == F.col("salt")).alias("entries"))
