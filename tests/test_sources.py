@@ -101,6 +101,19 @@ def test_wav(spark):
         wav._mono(sound(x), 3)
 
 
+def test_models(spark):
+    from voxtide import adapters
+
+    t = np.arange(16000) / 16000
+    x = 0.5 * np.sin(2 * np.pi * 200 * t) * (t > 0.5)
+    f = spark.createDataFrame([("a", bytearray(sound(x))), ("b", bytearray(b"no"))], "path string, content binary")
+    r = {x.path: x for x in adapters.run("detector", "energy", f).collect()}
+    assert abs(r["a"].start_ms - 500) <= 30 and r["a"].end_ms <= 1010 and r["b"].error_code == "INVALID_AUDIO"
+    assert {x.error_code for x in adapters.run("asr", "nothing", f).collect()} == {"MODEL_UNAVAILABLE"}
+    with pytest.raises(ValueError):
+        adapters.register("other", "x", adapters.energy_detector)
+
+
 def test_resample():
     z = wav.resample(np.sin(2 * np.pi * 440 * np.arange(44100) / 44100), 44100)
     assert len(z) == 16000 and np.abs(z[200:-200] - np.sin(2 * np.pi * 440 * np.arange(16000) / 16000)[200:-200]).max() < 1e-4
