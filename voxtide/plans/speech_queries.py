@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxtide.operators import conversation as conv, lexical as lex
+from voxtide.operators import conversation as conv, legacy, lexical as lex
 from voxtide.plans.relations import DUR_SQL, TOK_SQL, UTT_SQL, durations, tokens, utterances
 from voxtide.sources.tables import table
 
@@ -277,3 +277,19 @@ def session_split_700ms(spark: SparkSession, d: str) -> DataFrame:
     w = tokens(spark, d).where("start_s is not null and end_s is not null").select("recording_id", "token_id", ms("start_s").alias("s"), ms("end_s").alias("e"))
     return conv.sessions(w, ["recording_id"], "s", "e", 700, order=["token_id"]).groupBy("recording_id", "session_no").agg(F.count("*").alias("words"), F.min("s").alias("start_ms"), F.max("e").alias("end_ms"))
 
+
+_FUNCTION_WORDS = ("the", "a", "and", "was", "not", "là", "rồi", "có", "cho")
+
+
+@query(
+    "legacy_lexical",
+    f"""WITH {TOK_SQL}, w AS (SELECT {KEY}, norm, lag(norm) OVER (PARTITION BY {KEY} ORDER BY utt_idx, tok_idx) AS p FROM tok WHERE kind = 'word'),
+r AS (SELECT {KEY}, count(*) FILTER (WHERE norm = p) AS again, count(*) FILTER (WHERE norm IN ({', '.join(repr(x) for x in _FUNCTION_WORDS)})) AS fw FROM w GROUP BY ALL),
+f AS (SELECT {KEY}, count(*) AS v, count(*) FILTER (WHERE f = 1) AS v1 FROM (SELECT {KEY}, norm, count(*) AS f FROM w GROUP BY ALL) GROUP BY ALL),
+c AS (SELECT {KEY}, count(*) AS n, count(*) FILTER (WHERE kind = 'word') AS w, coalesce(sum(length(norm)) FILTER (WHERE kind = 'word'), 0)::BIGINT AS ch, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS {k}" for k in ('filler', 'fragment', 'noise'))} FROM tok GROUP BY ALL)
+SELECT {KEY}, n AS lex_token_count, w AS lex_word_count, ch AS lex_char_count, {', '.join(f"{k} AS lex_{k}_count, round({k} / n, 6) AS lex_{k}_ratio" for k in ('filler', 'fragment', 'noise'))}, coalesce(v, 0) AS lex_unique_count, round(ch / nullif(w, 0), 6) AS lex_mean_token_length,
+  round(v / nullif(w, 0), 6) AS lex_ttr, round(v1 / nullif(w, 0), 6) AS lex_hapax_ratio, round(pow(v, 0.172), 6) AS lex_brunet_w, round(CASE WHEN v <> v1 THEN 100 * ln(w) / (1 - v1 / v) END, 6) AS lex_honore_r, round(again / nullif(w, 0), 6) AS lex_repetition_ratio, round(fw / nullif(w, 0), 6) AS lex_function_word_ratio
+FROM c LEFT JOIN f USING ({KEY}) LEFT JOIN r USING ({KEY})""",
+)
+def legacy_lexical(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(legacy.lexical(tokens(spark, d), _FUNCTION_WORDS))
