@@ -12,7 +12,7 @@ def words_of(text, fillers=None):
     s = topics.Scanner(fillers)
     flat = []
     ends = s.scan(text, flat)
-    names = {n: w for w, n in s.known.items() if n > 0}
+    names = {topics.word_hash(w): w for piece in s.known for w in topics._TOKEN.findall(piece)}
     cut = [0, *ends]
     return [[names[h] for h in flat[a:b]] for a, b in zip(cut, cut[1:])]
 
