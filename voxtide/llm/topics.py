@@ -57,11 +57,11 @@ TERMS = {
 }
 
 _MARKS = re.compile(r"<\|[^|]*\|>|\x15[^\x15]*\x15|\(\([^()]*\)\)|\([^()]*\)|\[[^\[\]]*\]|<[^<>]*>|\{[^{}]*\}|♪[^♪]*♪|\*[^*\s:][^*:\n]{0,40}\*|&[=-]\S+|\d\d:\d\d:\d\d(?:\.\d+)?(?:\s*-->\s*)?")
-_HAS_MARK = re.compile(r"[<\x15(\[{♪*&]|\d\d:\d\d:\d\d")
+_HAS_MARK = re.compile(r"[<\x15(\[{♪*&]|:\d\d:")
 _TIER = re.compile(r"^(?:@.*|[>\s-]+(?=\S)|\*[a-z]{3}:\s*)", re.M)
-#: A word, or what ends a sentence.
-_TOKEN = re.compile(r"[^\W\d_][\w'’-]*|[.!?…;]+(?=\s|$)|\n+")
-_ENDS = ".!?…;\n"
+#: A word, or what ends a sentence; and a piece that stands for the end of a line.
+_TOKEN = re.compile(r"[^\W\d_][\w'’-]*|[.!?…;]+$")
+_ENDS, _LINE = ".!?…;", "\x00"
 
 
 def filler_pattern(forms: Sequence[str]) -> re.Pattern | None:
@@ -75,18 +75,20 @@ class Scanner:
 
     What punctuation behind a filler writes is a pause, no end.  A piece of more
     than LONG words without an end counts as several sentences of like length.
+    Pieces between white space are parsed once and remembered.
     """
 
     def __init__(self, fillers: re.Pattern | None = None) -> None:
         self.fillers = fillers
-        self.known: dict[str, int] = {}  # a word's number; 0 for a filler, -1 for an end
+        #: Of a piece, its word's number, 0 for a filler, -1 for an end, -2 for that of a line; several of these where it holds more.
+        self.known: dict[str, int | tuple[int, ...]] = {_LINE: -2}
 
-    def _number(self, token: str) -> int:
+    def _parse(self, piece: str) -> int | tuple[int, ...]:
         if len(self.known) > 1_000_000:
-            self.known.clear()
-        n = -1 if token[0] in _ENDS else 0 if self.fillers is not None and self.fillers.fullmatch(token) else word_hash(token)
-        self.known[token] = n
-        return n
+            self.known = {_LINE: -2}
+        parts = tuple(-1 if t[0] in _ENDS else 0 if self.fillers is not None and self.fillers.fullmatch(t) else word_hash(t) for t in _TOKEN.findall(piece))
+        self.known[piece] = parts[0] if len(parts) == 1 else parts
+        return self.known[piece]
 
     def scan(self, text: str | None, flat: list[int]) -> list[int]:
         """Append the numbers of the words of ``text`` to ``flat``; where, counted from the first of them, its sentences end."""
@@ -98,24 +100,30 @@ class Scanner:
         t = _TIER.sub(" ", t)
         if _HAS_MARK.search(t):
             t = _MARKS.sub(" ", t)
-        known, number, add = self.known.get, self._number, flat.append
+        known, add = self.known.get, flat.append
         base = start = len(flat)
         ends: list[int] = []
         pause = False
-        for token in _TOKEN.findall(t):
-            n = known(token)
-            if n is None:
-                n = number(token)
-            if n > 0:
+        for piece in t.replace("\n", f" {_LINE} ").split():
+            n = known(piece)
+            if n.__class__ is int and n > 0:  # one word, as most pieces are
                 add(n)
                 pause = False
-            elif n == 0:
-                pause = True
-            elif pause and token[0] != "\n":
-                pause = False
-            elif len(flat) > start:
-                self._cut(start - base, len(flat) - base, ends)
-                start = len(flat)
+                continue
+            if n is None:
+                n = self._parse(piece)
+                known = self.known.get
+            for x in (n,) if n.__class__ is int else n:
+                if x > 0:
+                    add(x)
+                    pause = False
+                elif x == 0:
+                    pause = True
+                elif pause and x == -1:
+                    pause = False
+                elif len(flat) > start:
+                    self._cut(start - base, len(flat) - base, ends)
+                    start = len(flat)
         if len(flat) > start:
             self._cut(start - base, len(flat) - base, ends)
         return ends
