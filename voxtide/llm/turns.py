@@ -30,15 +30,16 @@ def vocabulary(df: DataFrame, *columns: str) -> list[tuple]:
     return [tuple(r) for r in rows if r[0] is not None]
 
 
-def cleaned(segments: DataFrame, text: str, labels: list[tuple], nonwords: list[tuple]) -> DataFrame:
-    """The segments with ``label`` (role, '#cluster' or null), ``words`` (spoken pieces) and ``n_words``."""
+def cleaned(segments: DataFrame, text: str, labels: list[tuple], nonwords: list[tuple], with_text: bool = True) -> DataFrame:
+    """The segments with ``label`` (role, '#cluster' or null), ``n_words`` and, if wanted, ``words`` (spoken pieces)."""
 
-    @F.pandas_udf("label string, words string, n_words int")
+    @F.pandas_udf("label string, n_words int" + ", words string" * with_text)
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         cleaner = Cleaner(labels, [f for f, *_ in nonwords])
         for texts in batches:
             got = [cleaner.split(t) for t in texts]
-            yield pd.DataFrame({"label": pd.Series([g[0] for g in got], dtype=object), "words": [" ".join(g[1]) for g in got], "n_words": pd.Series([len(g[1]) for g in got], dtype="int32")})
+            cols = {"label": pd.Series([g[0] for g in got], dtype=object), "n_words": pd.Series([len(g[1]) for g in got], dtype="int32")}
+            yield pd.DataFrame(cols | ({"words": [" ".join(g[1]) for g in got]} if with_text else {}))
 
     return segments.withColumn("__clean", clean(F.col(text)))
 
@@ -89,12 +90,12 @@ def speaker_turns(segments: DataFrame, results: DataFrame, diarization: DataFram
     - Repeated segments and turns (rows alike in what is read) count once; segments without words (null or blank text too) are left out.
     - The speaker is named by the label at the head, failing that by the entry of the segment, failing that by the
       cluster whose turns overlap the segment longest (a tie goes to the smaller number); a null time has no overlap.
-    - A segment whose speaker nothing names is left out, as is one without recording or number; the turn around it goes on.
+    - A role that no label has counts as none.  A segment whose speaker nothing names is left out, as is one without recording or number; the turn around it goes on.
     - Two segments of the same number stand in order of segment_id.
     - A recording without entries, roles or turns keeps what its labels name; empty tables give an empty result.
     """
     roles = vocabulary(labels, "label", "speaker_role")
-    cl = cleaned(segments.select("segment_id", "recording_id", "segment_no", "start_ms", "end_ms", "text").where("text is not null and recording_id is not null and segment_no is not null"), "text", roles, vocabulary(nonwords, "form"))
+    cl = cleaned(segments.select("segment_id", "recording_id", "segment_no", "start_ms", "end_ms", "text").where("text is not null and recording_id is not null and segment_no is not null"), "text", roles, vocabulary(nonwords, "form"), with_text)
     keep = ["segment_id", "recording_id", "segment_no", "start_ms", "end_ms", F.col("__clean.label").alias("label"), F.col("__clean.n_words").alias("n_words")]
     seg, _ = materialise(cl.select(*keep, *([F.col("__clean.words").alias("words")] if with_text else [])).where("n_words > 0"), "segments")
     seg = seg.distinct()  # repeated rows are alike; all columns as keys let the hash aggregate do it
@@ -120,7 +121,11 @@ def speaker_turns(segments: DataFrame, results: DataFrame, diarization: DataFram
     best = heard.groupBy("id").agg(F.max(F.struct("overlap", (-F.col("class").cast("long")).alias("order"))).alias("m")).select(F.col("id").alias("segment_id"), (-F.col("m.order")).cast("string").alias("number"))
     found = named.where("speaker is null").drop("speaker").join(best, "segment_id").withColumn("speaker", F.try_element_at("cluster_to_role", F.col("number")))
     done = named.where("speaker is not null").select(*cols, "speaker").unionByName(found.where("speaker is not null").select(*cols, "speaker"))
-    return build_turns(materialise(done.drop("start_ms", "end_ms"), "spoken")[0], with_text)
+    # Roles as numbers: windows and hash aggregates carry them without sorting by text.
+    names = sorted({r for _, r in roles})
+    known = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    done = done.drop("start_ms", "end_ms").withColumn("speaker", F.array_position(known, F.col("speaker")).cast("int")).where("speaker > 0")
+    return build_turns(materialise(done, "spoken")[0], with_text).withColumn("speaker", F.get(known, F.col("speaker") - 1))
 
 
 def build_turns(seg: DataFrame, with_text: bool) -> DataFrame:
