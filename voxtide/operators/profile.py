@@ -54,23 +54,23 @@ def value_counts(df: DataFrame, table: str, load: str, rules: Sequence[Rule]) ->
     -0.0 counts as 0.0.  Rows as they lie: repeated rows count each time.
     """
     kinds = dict(df.dtypes)
+    there = [r for r in rules if r.column in kinds]
     cells = []
-    for r in rules:
-        if r.column not in kinds:
-            continue
-        c = F.col(f"`{r.column}`")
+    for i, r in enumerate(there):  # a column is a number while its values are counted
+        c, i = F.col(f"`{r.column}`"), F.lit(i).cast("short").alias("i")
         if kinds[r.column] == "string":
-            cells.append(F.struct(F.lit(r.column).alias("column_name"), F.lit(False).alias("num"), c.alias("s"), F.lit(None).cast("double").alias("x")))
+            cells.append(F.struct(i, F.lit(False).alias("num"), c.alias("s"), F.lit(None).cast("double").alias("x")))
         else:
             v = c.cast("double")
-            cells.append(F.struct(F.lit(r.column).alias("column_name"), F.lit(True).alias("num"), F.lit(None).cast("string").alias("s"), F.when(~F.isnan(v), v + F.lit(0.0)).alias("x")))
+            cells.append(F.struct(i, F.lit(True).alias("num"), F.lit(None).cast("string").alias("s"), F.when(~F.isnan(v), v + F.lit(0.0)).alias("x")))
     if not cells:
         return df.select(F.lit(table).alias("table_name"), F.col(load).alias("load_id"), F.lit("").alias("column_name"), F.lit(False).alias("num"), F.lit("").alias("s"), F.lit(0.0).alias("x"), F.lit(1).cast("long").alias("n")).where("false")
+    name = F.element_at(F.array(*(F.lit(r.column) for r in there)), F.col("i") + 1)
     return (
         df.select(F.col(load).alias("load_id"), F.explode(F.array(*cells)).alias("c"))
-        .groupBy("load_id", "c.column_name", "c.num", "c.s", "c.x")
+        .groupBy("load_id", "c.i", "c.num", "c.s", "c.x")
         .agg(F.count("*").alias("n"))
-        .select(F.lit(table).alias("table_name"), "*")
+        .select(F.lit(table).alias("table_name"), "load_id", name.alias("column_name"), "num", "s", "x", "n")
     )
 
 

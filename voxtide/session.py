@@ -81,12 +81,14 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give every executor this package, once per application, so that no worker depends on its own search path."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
+    """Give every executor this package, once per application, unless the workers' search path has it.
+
+    The archive lies beside the driver only; Spark's own file server hands it out.
+    """
+    app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parent
+    if app in _shipped or str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     _shipped.add(app)
-    root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="voxtide-ship-")) / "voxtide.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
