@@ -173,6 +173,8 @@ def cross_validated(cohort: DataFrame, features: Sequence[str], label: str, grou
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    finite = {c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c)) for c in features}  # NaN sorts above all numbers, so it fails too
+    cohort = cohort.withColumns(finite)
     usable = cohort.agg(*(F.count_distinct(F.round(F.col(c), 12)).alias(c) for c in features)).first()
     cols = [c for c in features if usable[c] >= 2]
     data = cohort.select(group, F.col(label).cast("double").alias("label"), *(F.col(c).cast("double") for c in cols)).withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)))
