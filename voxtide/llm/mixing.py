@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from voxtide.llm.tokens import VOCABULARY, encoding
 from voxtide.session import materialise
@@ -98,5 +98,5 @@ def mix(docs: DataFrame, key: str, source: str, text: str, targets: list[Target]
     rows = [(t.source, float(t.share), float(t.max_repeats), available.get(t.source, 0), rate.get(t.source, 0.0)) for t in targets]
     plan = spark.createDataFrame(rows, "source string, target_share double, max_repeats double, available_tokens long, rate double")
     both = plan.join(got, "source", "left").fillna(0, ["selected_tokens", "documents"])
-    total = both.agg(F.sum("selected_tokens").alias("total"))
-    return chosen, both.join(F.broadcast(total)).select("*", F.expr("selected_tokens / nullif(total, 0)").alias("actual_share")).drop("total")
+    total = F.sum("selected_tokens").over(Window.partitionBy())  # one row a target, so one task is enough
+    return chosen, both.withColumn("actual_share", F.when(total > 0, F.col("selected_tokens") / total))
