@@ -34,8 +34,8 @@ MAX_SHARE = 0.15
 #: Topics drawn towards each subject, and free ones.
 PER_SUBJECT = 2
 FREE = 8
-ROUNDS = 4
-INNER = 3
+ROUNDS = 12
+INNER = 8
 ALPHA, ETA = 0.1, 0.05
 #: Weight of the inspected terms in the first rounds, against that of a topic's documents.
 DRAWN = 0.3
