@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import numpy as np
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxtide.operators import profile as p
+from voxtide.plans import core_queries
 
 RULES = [("t", "txt", "^[a-c]$", None, None), ("t", "num", None, 0.0, 10.0), ("t", "cnt", None, 0.0, float("nan")), ("u", "txt", "^x$", None, None)]
 
@@ -68,3 +70,31 @@ def test_repeated_rows_count_and_extra_names(spark):
     df, rules, runs = tables(spark, [(1, "a", 1.0, 1, 0, "")] * 4, [(1, "s", 0)])
     df = df.withColumn("column_name", F.lit("clash")).withColumn("table_name", F.lit("clash"))
     assert {r.n_rows for r in p.profile({"t": df}, "load_id", rules, runs).collect()} == {4}
+
+
+DATA = os.environ.get("VOXTIDE_TESTDATA", "/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_every_column_of_the_tables_against_sql(spark):
+    import duckdb
+
+    got = {(r.table_name, r.load_id, r.column_name): r for r in core_queries.p2_profile(spark, DATA).collect()}
+    before = {r.load_id: r.prev_id for r in p.previous_loads(spark.read.parquet(f"{DATA}/load_run.parquet")).collect()}
+    want = {}
+    for t in core_queries.PROFILED:
+        rel = duckdb.sql(f"select * from '{DATA}/{t}.parquet'")
+        for c, kind in zip(rel.columns, rel.types):
+            if c != "load_id":
+                v, no = (c, "NULL") if kind == "VARCHAR" else (f"CASE WHEN {c}::VARCHAR <> 'nan' THEN {c}::DOUBLE END", "NULL")
+                text, num = ("v", no) if kind == "VARCHAR" else (no, "v")
+                for load, *x in duckdb.sql(f"SELECT load_id, count(*), count(*) - count(v), count(DISTINCT v), min({num}), max({num}), min({text}), max({text}) FROM (SELECT load_id, {v} AS v FROM rel WHERE load_id IS NOT NULL) GROUP BY 1").fetchall():
+                    want[t, load, c] = tuple(x)
+    names = ["n_rows", "n_null", "n_distinct", "min_value", "max_value", "min_text", "max_text"]
+    assert {k: tuple(r[n] for n in names) for k, r in got.items()} == want
+    assert {("feature_recording", "row_id"), ("feature_recording", "recording_id"), ("feature_issue", "message"), ("feature_issue", "issue_id")} <= {(t, c) for t, _, c in want}
+    for (t, load, c), r in got.items():
+        assert tuple(r[f"prev_{n}"] for n in names) == want.get((t, before.get(load), c), (None,) * len(names))
+        assert c not in {"row_id", "message", "issue_id"} or r.n_pattern == r.n_range == 0
+    drift = {(r.table_name, r.column_name) for r in core_queries.p2_drift(spark, DATA).collect()}
+    assert drift == {(t, c) for t, _, c in want}

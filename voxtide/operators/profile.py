@@ -23,6 +23,8 @@ MAX_RULES = 2_000
 BROADCAST_ROWS = 100_000
 
 
+#: Types whose values are compared as numbers; all others as text.
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean", "timestamp")
 #: A profiled column of a load.
 KEYS = ["table_name", "load_id", "column_name"]
 
@@ -58,8 +60,8 @@ def value_counts(df: DataFrame, table: str, load: str, rules: Sequence[Rule]) ->
     cells = []
     for i, r in enumerate(there):  # a column is a number while its values are counted
         c, i = F.col(f"`{r.column}`"), F.lit(i).cast("short").alias("i")
-        if kinds[r.column] == "string":
-            cells.append(F.struct(i, F.lit(False).alias("num"), c.alias("s"), F.lit(None).cast("double").alias("x")))
+        if not kinds[r.column].startswith(NUMBERS):
+            cells.append(F.struct(i, F.lit(False).alias("num"), c.cast("string").alias("s"), F.lit(None).cast("double").alias("x")))
         else:
             v = c.cast("double")
             cells.append(F.struct(i, F.lit(True).alias("num"), F.lit(None).cast("string").alias("s"), F.when(~F.isnan(v), v + F.lit(0.0)).alias("x")))
@@ -110,8 +112,11 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def column_figures(counts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """One row per load and column with its figures; violations count rows, tested once per distinct value."""
+def column_figures(counts: DataFrame, rules: Sequence[Rule], texts: bool = False) -> DataFrame:
+    """One row per load and column with its figures; violations count rows, tested once per distinct value.
+
+    With ``texts`` the first and the last text by code point too (``min_text``, ``max_text``).
+    """
     bad_pattern = bad_range = F.lit(False)
     for r in rules:
         here = (F.col("table_name") == r.table) & (F.col("column_name") == r.column)
@@ -132,6 +137,7 @@ def column_figures(counts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         F.count(F.when(there, F.lit(1))).alias("n_distinct"),
         F.min("x").alias("min_value"),
         F.max("x").alias("max_value"),
+        *([F.min("s").alias("min_text"), F.max("s").alias("max_text")] if texts else []),
         F.sum(F.when(there & F.coalesce(bad_pattern, F.lit(False)), F.col("n")).otherwise(0)).alias("n_pattern"),
         F.sum(F.when(there & F.coalesce(bad_range, F.lit(False)), F.col("n")).otherwise(0)).alias("n_range"),
     )
@@ -184,24 +190,33 @@ def distribution_changes(counts: DataFrame, figures: DataFrame, before: DataFram
     )
 
 
-def profile(tables: dict[str, DataFrame], load: str, rules: DataFrame, runs: DataFrame, drift_of_numbers: bool = True) -> DataFrame:
+def profile(tables: dict[str, DataFrame], load: str, rules: DataFrame, runs: DataFrame, drift_of_numbers: bool = True, every: bool = False) -> DataFrame:
     """Profile of every ruled column of every load of the tables, with the figures of the load before as ``prev_*``.
 
+    With ``every``, of all columns but the load's own, ruled or not, and with the ranges of texts.
+
     - Null and NaN are both null, and left out of everything but the null share.
     - Rows without a load id belong to no load and are left out; loads missing in ``runs`` have no load before.
-    - Columns without a rule, and ruled columns that a table lacks, are not profiled; an empty table has no rows here.
+    - Columns without a rule are profiled with ``every`` only, and have no violations; ruled columns that a table lacks never.
+    - An empty table has no rows here.  Numbers are compared as doubles, so whole numbers beyond 2**53 may fall together.
     - ``tv``, ``chi2`` and ``psi`` compare distributions; those of number columns can be left out.
     """
     known = {t: read_rules(rules, t) for t in tables}
+    if every:
+        for name, df in tables.items():
+            ruled = {r.column for r in known[name]}
+            known[name] = known[name] + [Rule(name, c) for c in df.columns if c != load and c not in ruled]
     counts = None
     for name, df in tables.items():
         c = value_counts(df.where(F.col(load).isNotNull()), name, load, known[name])
         counts = c if counts is None else counts.unionByName(c)
     counts, _ = materialise(counts, "counts")
-    figures, _ = materialise(column_figures(counts, [r for rs in known.values() for r in rs]).join(quartiles(counts), KEYS, "left"), "figures")
+    figures, _ = materialise(column_figures(counts, [r for rs in known.values() for r in rs], every).join(quartiles(counts), KEYS, "left"), "figures")
     before = previous_loads(runs)
     changes = distribution_changes(counts, figures, before, drift_of_numbers)
     was = ["n_rows", "n_null", "n_distinct", "q1", "q2", "q3"]
+    if every:
+        was += ["n_pattern", "n_range", "min_value", "max_value", "min_text", "max_text"]
     prev = before.join(figures.select("table_name", F.col("load_id").alias("prev_id"), "column_name", *(F.col(c).alias(f"prev_{c}") for c in was)), "prev_id").drop("prev_id")
     return figures.join(prev, KEYS, "left").join(changes, KEYS, "left")
 

@@ -70,8 +70,8 @@ prof AS (
 """
 
 
-def _profiles(spark: SparkSession, d: str, drift_of_numbers: bool) -> DataFrame:
-    return profile.profile({t: table(spark, d, t) for t in PROFILED}, "load_id", table(spark, d, "column_rule"), table(spark, d, "load_run"), drift_of_numbers)
+def _profiles(spark: SparkSession, d: str, drift_of_numbers: bool, every: bool = False) -> DataFrame:
+    return profile.profile({t: table(spark, d, t) for t in PROFILED}, "load_id", table(spark, d, "column_rule"), table(spark, d, "load_run"), drift_of_numbers, every)
 
 
 @query(
@@ -98,14 +98,19 @@ SELECT table_name, load_id, column_name, n_rows, n_null, n_distinct, n_pattern,
        round(q1, 9) AS q1, round(q2, 9) AS q2, round(q3, 9) AS q3, CASE WHEN NOT num THEN round(tv, 6) END AS tv FROM prof""",
 )
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:
-    p = _profiles(spark, d, False)
-    return p.select("table_name", "load_id", "column_name", "n_rows", "n_null", "n_distinct", "n_pattern", "n_range", *(F.round(q, 9).alias(q) for q in ("q1", "q2", "q3")), F.when(~F.col("num"), F.round("tv", 6)).alias("tv"))
+    """Every column of the tables, ruled or not, with its range and the figures of the load before; the SQL has the ruled ones and no ranges."""
+    p = _profiles(spark, d, False, every=True)
+    counts, ends, cuts = ["n_rows", "n_null", "n_distinct", "n_pattern", "n_range"], ["min_value", "max_value", "min_text", "max_text"], ["q1", "q2", "q3"]
+    return p.select(
+        "table_name", "load_id", "column_name", *counts, *ends, *(F.round(q, 9).alias(q) for q in cuts), F.when(~F.col("num"), F.round("tv", 6)).alias("tv"),
+        *(f"prev_{c}" for c in counts + ends), *(F.round(f"prev_{q}", 9).alias(f"prev_{q}") for q in cuts),
+    )
 
 
 @query("p2_drift")
 def p2_drift(spark: SparkSession, d: str) -> DataFrame:
     """Chi-square and population stability index of every column against the load before."""
-    return _profiles(spark, d, True).where("psi is not null").select("table_name", "load_id", "column_name", F.round("chi2", 6).alias("chi2"), F.round("psi", 6).alias("psi"))
+    return _profiles(spark, d, True, every=True).where("psi is not null").select("table_name", "load_id", "column_name", F.round("chi2", 6).alias("chi2"), F.round("psi", 6).alias("psi"))
 
 
 def _islands_sql(t: str) -> str:
