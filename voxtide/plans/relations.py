@@ -23,6 +23,7 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     """(recording_id, speaker_id, utt_idx, tok_idx, token_id, norm, kind, word_id, start_s, end_s): timed words of segments, repeated ones once.
 
     ``word_id`` joins an article to the word after it, so that words of two tokens occur.
+    Words without a segment have no speaker and are left out here, so of all measures by speaker.
     """
     w = table(spark, d, "word_timing").where("segment_id is not null").select("word_id", "segment_id", "word_no", "word", "start_ms", "end_ms").distinct()
     norm = F.lower(F.regexp_replace("word", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))

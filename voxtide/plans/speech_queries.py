@@ -273,8 +273,9 @@ r AS (SELECT *, sum(cut) OVER (PARTITION BY recording_id ORDER BY s, e, token_id
 SELECT recording_id, session_no::BIGINT AS session_no, count(*) AS words, min(s) AS start_ms, max(e) AS end_ms FROM r GROUP BY recording_id, session_no""",
 )
 def session_split_700ms(spark: SparkSession, d: str) -> DataFrame:
-    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
-    w = tokens(spark, d).where("start_s is not null and end_s is not null").select("recording_id", "token_id", ms("start_s").alias("s"), ms("end_s").alias("e"))
+    """Sessions of all timed words, also those without a segment, which the SQL leaves out."""
+    w = table(spark, d, "word_timing").where("recording_id is not null and start_ms is not null and end_ms is not null")
+    w = w.select("recording_id", F.col("word_id").alias("token_id"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e")).distinct()
     return conv.sessions(w, ["recording_id"], "s", "e", 700, order=["token_id"]).groupBy("recording_id", "session_no").agg(F.count("*").alias("words"), F.min("s").alias("start_ms"), F.max("e").alias("end_ms"))
 
 
