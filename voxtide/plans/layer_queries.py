@@ -233,13 +233,14 @@ nr AS (SELECT norm, arg_min(key, key_pos) AS key FROM v, al WHERE norm NOT IN (S
 m AS (SELECT * FROM ex UNION ALL SELECT * FROM nr)"""
 
 
-def _ascii_words(spark: SparkSession, d: str) -> DataFrame:
-    return tokens(spark, d).where("kind = 'word' and norm rlike '^[a-z]+$'")
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """Words of any letters; the SQL of ``alias_match`` and ``picture_coverage`` has those of a to z only."""
+    return tokens(spark, d).where("kind = 'word' and norm <> ''")
 
 
 @query("alias_match", f"WITH {_MATCH_SQL} SELECT norm, key FROM m")
 def alias_match(spark: SparkSession, d: str) -> DataFrame:
-    return tasks.match_aliases(_ascii_words(spark, d), "norm", _aliases(spark))
+    return tasks.match_aliases(_words(spark, d), "norm", _aliases(spark))
 
 
 @query(
@@ -248,14 +249,14 @@ def alias_match(spark: SparkSession, d: str) -> DataFrame:
 SELECT {KEY}, round(coalesce(u, 0) / {len(CONCEPTS)}, 6) AS task_picture_concept_coverage, round(coalesce(u, 0) / n, 6) AS task_picture_concept_density, round((h - u) / h, 6) AS task_repeat_ratio FROM n LEFT JOIN h USING ({KEY})""",
 )
 def picture_coverage(spark: SparkSession, d: str) -> DataFrame:
-    w = _ascii_words(spark, d)
+    w = _words(spark, d)
     hits = w.join(tasks.match_aliases(w, "norm", _aliases(spark)), "norm")
     return rounded(tasks.coverage(hits, w, len(CONCEPTS), "task_picture_concept"))
 
 
 @query("recall_order")
 def recall_order(spark: SparkSession, d: str) -> DataFrame:
-    w = _ascii_words(spark, d)
+    w = _words(spark, d)
     keys = _aliases(spark).select("key", "key_pos").distinct()
     return rounded(tasks.recall_order(w.join(tasks.match_aliases(w, "norm", _aliases(spark)), "norm").join(F.broadcast(keys), "key"), len(CONCEPTS)))
 
