@@ -107,3 +107,14 @@ def test_inner_updates_come_near_their_fixed_point():
     topics.expected(ids, n, lengths, b, got)
     topics.expected(ids, n, lengths, b, want, inner=300)
     assert np.abs(got - want).sum() < 0.12 * want.sum()  # 0.16 after three updates, 0.09 after eight
+
+
+def test_limits_count_documents_and_spare_inspected_terms(spark, monkeypatch):
+    monkeypatch.setattr(topics, "VOCABULARY", 40)
+    # "often" stands many times in a tenth of the documents, "court" once in most of them.
+    rows = [(i, ("often. " * 5 if i % 10 == 0 else "") + ("court. " if i % 4 else "") + " ".join(f"fill{(i + j) % 50}." for j in range(3))) for i in range(400)]
+    words = topics.hashed(spark.createDataFrame(rows, "k long, t string"), "k", "t", None)
+    n = {r.term: r.n for r in topics.document_frequencies(words).collect()}
+    assert n[topics.word_hash("often")] == 40 and n[topics.word_hash("court")] == 300
+    terms = set(topics.fit(words, NAMES, rounds=1).terms.tolist())
+    assert {topics.word_hash("often"), topics.word_hash("court")} <= terms and len(terms) == 41

@@ -3,7 +3,7 @@
 Topics are fitted by variational expectation-maximisation over all documents:
 each partition updates its documents' topic proportions and sends back expected
 counts of terms by topic, which are summed in Spark; the driver holds the terms by
-topics table only (at most ``VOCABULARY`` terms).  Some topics are drawn towards
+topics table only (at most ``VOCABULARY`` and the inspected terms).  Some topics are drawn towards
 inspected terms of a subject by their prior, others stay free and take up what
 is about nothing in particular.  After the fit each topic belongs to the subject
 whose inspected terms weigh most in it, or to none.
@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from voxtide.session import drop_path, materialise
 
-#: Terms of the model: the most frequent ones within the limits below.  This bounds the model, not the documents.
+#: Terms of the model: those in most documents within the limits below, and all inspected ones.  This bounds the model, not the documents.
 VOCABULARY = 20_000
-#: A term stands at least so often, and at most so often for each document, else it tells no subject.
-MIN_TIMES = 5
+#: A term stands in at least so many documents, and at most in such a share of them, else it tells no subject; inspected terms may stand in more.
+MIN_DOCUMENTS = 5
 MAX_SHARE = 0.15
 #: Topics drawn towards each subject, and free ones.
 PER_SUBJECT = 2
@@ -221,8 +221,8 @@ def inspected(names: Sequence[str]) -> list[list[str]]:
     return [[w for w in TERMS.get(n, "|").split("|")[0].split()] + [w.strip() for w in TERMS.get(n, "|").split("|")[1].split(",") if w.strip()] for n in names]
 
 
-def frequencies(words: DataFrame) -> DataFrame:
-    """(term, n): how often each term stands in all documents; counted in each task before the shuffle."""
+def document_frequencies(words: DataFrame) -> DataFrame:
+    """(term, n): in how many documents each term stands; counted in each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -234,7 +234,14 @@ def frequencies(words: DataFrame) -> DataFrame:
             return u, np.bincount(at, weights=n).astype(np.int64)
 
         for b in _parts(batches):
-            u, n = np.unique(_laid_out(b)[0], return_counts=True)
+            h, s, doc, _ = _laid_out(b)
+            if not len(h):
+                continue
+            d = doc[s]
+            order = np.lexsort((d, h))
+            h, d = h[order], d[order]
+            h = h[np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))]  # a document counts a term once
+            u, n = np.unique(h, return_counts=True)
             held.append((u, n))
             size += len(u)
             if size > 2_000_000:
@@ -346,12 +353,13 @@ def fit(words: DataFrame, names: Sequence[str], *, rounds: int = ROUNDS, seed: i
     """
     names = list(names)
     n_docs = words.count()
-    df = frequencies(words)
+    df = document_frequencies(words)
     looked_at = sorted({term_hash(w) for ws in inspected(names) for w in ws})
-    common = F.col("n") <= max(MAX_SHARE * n_docs, 2)
-    if looked_at:
-        common = common | F.col("term").isin(looked_at)
-    kept = df.where((F.col("n") >= min(MIN_TIMES, max(2, n_docs // 200))) & common).orderBy(F.desc("n"), "term").limit(VOCABULARY).select("term").collect()
+    inside, least = F.col("term").isin(looked_at), min(MIN_DOCUMENTS, max(2, n_docs // 200))
+    # Inspected terms, a few dozen a subject, are exempt from the share and from the size.
+    df = df.where((F.col("n") >= least) & ((F.col("n") <= max(MAX_SHARE * n_docs, 2)) | inside)).persist()
+    kept = df.where(~inside).orderBy(F.desc("n"), "term").limit(VOCABULARY).select("term").collect() + df.where(inside).select("term").collect()
+    df.unpersist()
     terms = np.sort(np.array([r.term for r in kept], np.int64))
     index = {int(t): i for i, t in enumerate(terms)}
     seeds = [[index[h] for w in ws if (h := term_hash(w)) in index] for ws in inspected(names)]
