@@ -1,5 +1,4 @@
 import random
-import re
 
 import numpy as np
 
@@ -23,20 +22,19 @@ def test_scanner():
     assert words_of("we ummm... went home. [noise] <|1.5|> The end… done", f) == [["we", "went", "home"], ["the", "end"], ["done"]]
     assert words_of("00:00:06.815 x-ray 17:20 don't") == [["x-ray", "don't"]]
     assert words_of(None) == words_of("") == words_of("12 34 ...") == []
-    long = words_of(" ".join(["a"] * 30))
-    assert len(long) == 3 and sum(map(len, long)) == 30
     assert topics.filler_pattern([]) is None
 
 
-def test_term_numbers():
-    flat = np.array([5, 6, 7, 2**32 - 1], np.uint32).view(np.int32)
-    h, s = topics.term_hashes(flat, np.array([2, 4]))
-    assert h[:4].tolist() == [5, 6, 7, 2**32 - 1] and s.tolist() == [0, 0, 1, 1, 0, 1] and len(set(h.tolist())) == 6
-    n = topics.Scanner()
-    flat = []
-    n.scan("kính hiển", flat)
-    w = np.array(flat, np.uint32).view(np.int32)
-    assert topics.term_hashes(w, np.array([2]))[0].tolist() == [topics.word_hash("kính"), topics.word_hash("hiển"), topics.term_hash("kính hiển")]
+def test_pieces_of_several_sentences():
+    ends = np.array([10, 20, 62, 63, 75])
+    assert topics.sentence_ends(ends, (10.0, 24.0)).tolist() == [10, 20, 30, 41, 52, 62, 63, 75]  # 42 words are four usual sentences
+    assert topics.sentence_ends(ends, (50.0, 42.0)).tolist() == ends.tolist() and topics.sentence_ends(np.empty(0, np.int64), (1.0, 1.0)).tolist() == []
+
+
+def test_usual_length(spark):
+    docs = spark.createDataFrame([(1, "a b c. a b. a b c d e"), (2, None), (3, "a b c")], "k long, t string")
+    assert topics.usual_length(topics.hashed(docs, "k", "t", None)) == (3.0, 3.5 + 3 * 0.75)
+    assert topics.usual_length(topics.hashed(docs.limit(0), "k", "t", None)) == (1.0, 1.0)
 
 
 def test_update_against_plain_loops():
@@ -59,9 +57,9 @@ def test_update_against_plain_loops():
 
 
 def corpus(n, seed):
-    """Made-up documents: sentences about subjects by their inspected and by further words, or about nothing."""
+    """Made-up documents: sentences about subjects, of made-up words and, one in four, an inspected one, or about nothing."""
     rng = random.Random(seed)
-    own = {s: re.split(r"[ ]", topics.TERMS[s].split("|")[0]) + [f"{s[:3]}word{i}" for i in range(40)] for s in NAMES}
+    own = {s: topics.TERMS[s].split()[:12] + [f"{s[:3]}word{i}" for i in range(36)] for s in NAMES}
     plain = [f"plain{i}" for i in range(40)]
     rows, truth = [], {}
     for i in range(n):
@@ -77,9 +75,12 @@ def corpus(n, seed):
     return rows, truth
 
 
-def test_held_out_accuracy(spark):
-    rows, truth = corpus(600, 3)
-    df = spark.createDataFrame(rows + [(1, rows[1][1], "x"), (9000, None, "x"), (9001, "", "x"), (None, rows[0][1], "x")], "k long, t string, share string")
+def test_fit_without_guidance_and_proportions(spark):
+    """Subjects are found by topics, not by listed words, and by how much of a document is about them."""
+    rows, truth = corpus(1000, 3)
+    unlisted = (9002, ". ".join(" ".join(f"spoword{(i + j) % 36}" for j in range(4)) for i in range(8)) + ".", "x")
+    passing = (9003, "the judge argued in court under oath with a witness. " + ". ".join(" ".join(f"cooword{(i + j) % 36}" for j in range(6)) for i in range(9)) + ".", "x")
+    df = spark.createDataFrame([*rows, unlisted, passing, (1, rows[1][1], "x"), (9000, None, "x"), (9001, "", "x"), (None, rows[0][1], "x")], "k long, t string, share string")
     got = {}
     out = topics.subjects(df, "k", "t", NAMES).collect()
     for r in out:
@@ -87,6 +88,7 @@ def test_held_out_accuracy(spark):
     assert len(out) == sum(map(len, got.values())) and not {9000, 9001, None} & set(got)
     hit = sum(len(truth[i] & got.get(i, set())) for i in truth)
     assert hit / sum(map(len, got.values())) > 0.95 and hit / sum(map(len, truth.values())) > 0.95
+    assert got[9002] == {"sport"} and got[9003] == {"cooking"}
 
 
 def test_empty_tiny_and_long(spark):
@@ -109,12 +111,22 @@ def test_inner_updates_come_near_their_fixed_point():
     assert np.abs(got - want).sum() < 0.12 * want.sum()  # 0.16 after three updates, 0.09 after eight
 
 
-def test_limits_count_documents_and_spare_inspected_terms(spark, monkeypatch):
-    monkeypatch.setattr(topics, "VOCABULARY", 40)
-    # "often" stands many times in a tenth of the documents, "court" once in most of them.
-    rows = [(i, ("often. " * 5 if i % 10 == 0 else "") + ("court. " if i % 4 else "") + " ".join(f"fill{(i + j) % 50}." for j in range(3))) for i in range(400)]
+def test_terms_have_no_upper_limit(spark):
+    """Terms in few documents go; common ones stay and weigh less, one of all documents weighs nothing."""
+    rows = [(i, "all. " + ("often. " if i % 4 else "") + " ".join(f"fill{(i + j) % 900}." for j in range(20)) + (" rare" if i < 4 else "")) for i in range(900)]
     words = topics.hashed(spark.createDataFrame(rows, "k long, t string"), "k", "t", None)
     n = {r.term: r.n for r in topics.document_frequencies(words).collect()}
-    assert n[topics.word_hash("often")] == 40 and n[topics.word_hash("court")] == 300
-    terms = set(topics.fit(words, NAMES, rounds=1).terms.tolist())
-    assert {topics.word_hash("often"), topics.word_hash("court")} <= terms and len(terms) == 41
+    assert n[topics.word_hash("often")] == 675 and n[topics.word_hash("rare")] == 4
+    m = topics.fit(words, NAMES, most_rounds=1)
+    weight = dict(zip(m.terms.tolist(), m.idf.tolist()))
+    assert len(weight) == 901 and not {topics.word_hash("rare"), topics.word_hash("all")} & set(weight)
+    assert weight[topics.word_hash("often")] < 0.3 < 3 < weight[topics.word_hash("fill7")]
+
+
+def test_top_terms_give_the_subject():
+    terms = np.sort([topics.word_hash(w) for w in ("court", "judge", "dough", "stove", "plain", "other")])
+    at = {w: int(np.searchsorted(terms, topics.word_hash(w))) for w in ("court", "judge", "dough", "stove", "plain", "other")}
+    p = np.full((6, 4), 0.02)
+    for k, ws in enumerate((("court", "judge"), ("dough", "stove"), ("plain", "other"), ("court", "dough"))):
+        p[[at[w] for w in ws], k] = 0.46
+    assert topics.topic_subjects(p, p.mean(1), terms, NAMES).tolist() == [NAMES.index("law"), NAMES.index("cooking"), -1, -1]

@@ -1,21 +1,22 @@
 """Subject areas of documents, by latent Dirichlet topics.
 
-Topics are fitted by variational expectation-maximisation over all documents:
-each partition updates its documents' topic proportions and sends back expected
-counts of terms by topic, which are summed in Spark; the driver holds the terms by
-topics table only (at most ``VOCABULARY`` and the inspected terms).  Some topics are drawn towards
-inspected terms of a subject by their prior, others stay free and take up what
-is about nothing in particular.  After the fit each topic belongs to the subject
-whose inspected terms weigh most in it, or to none.
-
-A document's proportions are those of its sentences: each is about the subject
-whose topics explain its terms best, or about none.
+Topics are fitted by variational expectation-maximisation over all documents, without
+any guidance: each task updates its documents' topic proportions and sends back the
+expected counts of terms by topic, which Spark sums; rounds go on until the topics stand
+still.  Terms are weighted by the logarithm of how rare they are, so common words need
+no list and no upper limit.  After the fit the top terms of each topic are looked up
+among inspected ones, which give the topic a subject, or none.
+
+A document's proportions are those of its sentences, each taken as a short document: its
+topic proportions are inferred under the fitted topics and summed by subject, and the
+sentence is about the subject that holds at least half of them.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import warnings
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -26,34 +27,32 @@ from pyspark.sql import DataFrame, functions as F
 
 from voxtide.session import drop_path, materialise
 
-#: Terms of the model: those in most documents within the limits below, and all inspected ones.  This bounds the model, not the documents.
-VOCABULARY = 20_000
-#: A term stands in at least so many documents, and at most in such a share of them, else it tells no subject; inspected terms may stand in more.
+#: A term stands in at least so many documents and such a share of them.  The share bounds the model:
+#: there are at most (mean of distinct words a document) / MIN_SHARE terms, however many documents.
 MIN_DOCUMENTS = 5
-MAX_SHARE = 0.15
-#: Topics drawn towards each subject, and free ones.
-PER_SUBJECT = 2
-FREE = 8
-ROUNDS = 12
+MIN_SHARE = 0.0005
+#: Topics for each subject; what is about nothing in particular takes some of them.
+PER_SUBJECT = 6
 INNER = 8
 ALPHA, ETA = 0.1, 0.05
-#: Weight of the inspected terms in the first rounds, against that of a topic's documents.
-DRAWN = 0.3
-#: A piece without a full stop that is longer than LONG words counts as one sentence for each TYPICAL words.
-LONG, TYPICAL = 24, 13
+#: Rounds end when the topics' distributions move by less than this (mean of the absolute differences summed
+#: over terms); a fit that still moves after MOST_ROUNDS is used, with a warning.
+STILL, MOST_ROUNDS = 0.01, 100
+#: Of a topic, so many top terms are looked up; a subject needs this share of their weight, and twice that of the next.
+TOP, TOP_SHARE = 30, 0.02
 #: Words that a task lays out at once.
 WORDS = 400_000
 
-# Terms inspected among the top terms of fitted topics, by subject.
+# Words inspected among the top terms of fitted topics, by subject.
 TERMS = {
-    "science": "microscope hypothesis telescope isotope chemistry observatory centrifuge electrons acid particles pendulum comet orbit fossil|thí nghiệm, giả thuyết, kính hiển, kính thiên, đồng vị, ly tâm, quang phổ, quỹ đạo, hóa thạch, phân tử, axit, trọng lực",
-    "law": "court judge lawsuit verdict defendant prosecutor jury notary custody statute bail affidavit|công chứng, bị cáo, thừa kế, kháng cáo, vụ kiện, luật sư, thẩm phán, phiên tòa, tuyên án, khế ước, nhân chứng, bồi thẩm",
-    "sport": "relay goalkeeper trophy penalty match coach sprint medal pitch overtime squad tennis|tiếp sức, thủ môn, phạt đền, hồ bơi, huy chương, chạy vòng, việt dã, trọng tài, cú sút, sân cỏ, kỷ lục, giao bóng",
-    "software": "database compiler server parser terminal release bug pointer spreadsheet login cache keyboard|máy chủ, kiểm thử, biên dịch, con trỏ, cấu hình, phiên bản, bàn phím, giao diện, dữ liệu, phần mềm, đoạn mã, vòng lặp",
-    "medicine": "insulin surgeon ward antibiotics pneumonia vaccine pharmacy stitches diagnosis fever migraine clinic|đơn thuốc, băng gạc, xét nghiệm, chẩn đoán, kháng sinh, cấp cứu, vắc xin, chứng đau, viêm phổi, bác sĩ, thổi tim, vết khâu",
-    "farming": "harvest barn pasture piglets grain barley greenhouse fertiliser orchard tractor weeds calves|chuồng gà, máy kéo, vụ gặt, kho thóc, mương tưới, thửa ruộng, vườn cây, bó rơm, vắt sữa, cỏ dại, đập lúa, ruộng lúa",
-    "cooking": "dough marinade caramel recipe oven garlic ginger sauce dumplings noodles pantry stew|nước mắm, căng tin, công thức, nướng bánh, cái chảo, củ tỏi, vỏ bánh, nước dùng, bếp lửa, gia vị, bóc tôm, cục bột",
-    "music": "melody harmony guitar choir conductor waltz drum chord tempo chorus violin bandstand|giai điệu, hòa âm, bộ trống, bè trầm, dàn đồng, phong cầm, điệp khúc, hợp âm, nhạc trưởng, phòng thu, buổi tập, điệu valse",
+    "science": "hypothesis telescope isotope centrifuge observatory orbit pendulum molecule vacuum chemistry physics theory thí nghiệm hóa ly thuyết tử đo sóng trắc quỹ thiên loãng",
+    "law": "court judge magistrate's notary's deed witness oath testified affidavit appeal verdict inheritance tòa án luật kiện cáo xử thẩm chứng chấp khiếu nại thừa",
+    "sport": "pitch penalty relay stadium lap match finals medal overtime coach hamstring goalkeeper chạy bơi vợt hiệp đội cú bóng cúp đền phạt hạng khán",
+    "software": "server code database parser branch release terminal test login compiler bug renamed lỗi mã dịch máy thử nhánh dữ trỏ hàm phiên lưu trình",
+    "medicine": "ward blood pharmacy clinic operation insulin dressing fever x-ray wrist dentist's pneumonia thuốc phổi mổ cứu sĩ tim băng khâu viêm máu vắc đau",
+    "farming": "barn grain paddy greenhouse cattle silo field bales barley sheep weeds tractor ruộng thóc bò lúa rào chuồng trâu rơm cày gieo chấu lợn",
+    "cooking": "dumplings caramel sauce dough stove pantry oven charcoal simmered garlic baked eggs bánh củ tỏi bún muỗng nồi vịt bếp nướng mắm tôm bột",
+    "music": "drum choir melody harmony concert waltz flute verse overture organ guitar piano nhạc đàn hát nhịp điệu giai khúc ca sáo trống cầm xướng",
 }
 
 _MARKS = re.compile(r"<\|[^|]*\|>|\x15[^\x15]*\x15|\(\([^()]*\)\)|\([^()]*\)|\[[^\[\]]*\]|<[^<>]*>|\{[^{}]*\}|♪[^♪]*♪|\*[^*\s:][^*:\n]{0,40}\*|&[=-]\S+|\d\d:\d\d:\d\d(?:\.\d+)?(?:\s*-->\s*)?")
@@ -73,9 +72,8 @@ def filler_pattern(forms: Sequence[str]) -> re.Pattern | None:
 class Scanner:
     """Texts into numbers of words and ends of sentences, without marks of tools, tier labels, header lines and fillers.
 
-    What punctuation behind a filler writes is a pause, no end.  A piece of more
-    than LONG words without an end counts as several sentences of like length.
-    Pieces between white space are parsed once and remembered.
+    What punctuation behind a filler writes is a pause, no end.  Pieces between
+    white space are parsed once and remembered.
     """
 
     def __init__(self, fillers: re.Pattern | None = None) -> None:
@@ -122,43 +120,18 @@ class Scanner:
                 elif pause and x == -1:
                     pause = False
                 elif len(flat) > start:
-                    self._cut(start - base, len(flat) - base, ends)
                     start = len(flat)
+                    ends.append(start - base)
         if len(flat) > start:
-            self._cut(start - base, len(flat) - base, ends)
+            ends.append(len(flat) - base)
         return ends
 
-    @staticmethod
-    def _cut(a: int, b: int, ends: list[int]) -> None:
-        if b - a <= LONG:
-            ends.append(b)
-        else:
-            n = -(-(b - a) // TYPICAL)
-            ends.extend(a + round((i + 1) * (b - a) / n) for i in range(n))
-
 
 def word_hash(w: str) -> int:
     """A word's number, from 1 to 2**32 - 1."""
     return zlib.crc32(w.encode()) or 1
 
 
-def term_hash(term: str) -> int:
-    """A word's number, or for a pair of words both numbers in one."""
-    a, _, b = term.partition(" ")
-    return (word_hash(a) << 32 | word_hash(b)) - (1 << 63) if b else word_hash(a)
-
-
-def term_hashes(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all words and neighbouring pairs of sentences laid end to end, and the sentence of each."""
-    sentence = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    w = words.view(np.uint32).astype(np.uint64)
-    inside = sentence[1:] == sentence[:-1]
-    pairs = ((w[:-1] << np.uint64(32)) | w[1:])[inside]
-    # Pairs are shifted below zero, so they never meet a word's number.
-    pairs = (pairs ^ np.uint64(1 << 63)).astype(np.int64)
-    return np.concatenate([w.astype(np.int64), pairs]), np.concatenate([sentence, sentence[:-1][inside]])
-
-
 def hashed(docs: DataFrame, key: str, text: str, fillers: re.Pattern | None) -> DataFrame:
     """(key, words, ends): the words of each document as numbers, and where each sentence ends."""
     kind = dict(docs.dtypes)[key]
@@ -194,31 +167,36 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo = hi
 
 
-def _laid_out(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Term numbers of a batch with the sentence of each; the document of each sentence; sentences by document."""
-    words, ends = b.column("words"), b.column("ends")
-    n_words, n_ends = words.value_lengths().to_numpy(), ends.value_lengths().to_numpy()
-    base = np.repeat(np.cumsum(n_words) - n_words, n_ends)
-    doc = np.repeat(np.arange(b.num_rows), n_ends)
-    h, s = term_hashes(np.ascontiguousarray(words.flatten().to_numpy()), ends.flatten().to_numpy() + base) if len(base) else (np.empty(0, np.int64), np.empty(0, np.int64))
-    return h, s, doc, n_ends
+def usual_length(words: DataFrame) -> tuple[float, float]:
+    """(median, upper fence) of the words of a sentence over all documents; the fence is three interquartile ranges above the upper quartile."""
+    size = F.transform("ends", lambda e, i: e - F.when(i == 0, 0).otherwise(F.get("ends", i - 1)))
+    counts = words.select(F.explode(size).alias("size")).groupBy("size").count()
+    q = counts.agg(F.percentile("size", [0.25, 0.5, 0.75], F.col("count")).alias("q")).first().q
+    return (float(q[1]), float(q[2] + 3 * (q[2] - q[0]))) if q else (1.0, 1.0)
+
+
+def sentence_ends(ends: np.ndarray, usual: tuple[float, float]) -> np.ndarray:
+    """The ends of sentences laid end to end, where a piece beyond the fence (several sentences without
+    marks between them) is cut into as many of like length as usual sentences are in it."""
+    median, fence = usual
+    size = np.diff(ends, prepend=0)
+    n = np.where(size > fence, np.maximum(1, np.rint(size / median)), 1).astype(np.int64)
+    at = np.repeat(np.arange(len(ends)), n)
+    k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + 1
+    return (ends - size)[at] + np.rint(k * size[at] / n[at]).astype(np.int64)
 
 
 @dataclass
 class Model:
-    """``terms``: numbers of the terms, ascending; ``weights``: topics by terms, summing to 1 by topic;
-    ``subject``: of each topic, -1 for none; ``share``: of each topic."""
+    """``terms``: numbers of the terms, ascending; ``idf``: weight of each; ``topics``: exp E[log] of terms by topic;
+    ``subject``: of each topic, -1 for none."""
 
     terms: np.ndarray
+    idf: np.ndarray
     names: list[str]
-    weights: np.ndarray
+    topics: np.ndarray
     subject: np.ndarray
-    share: np.ndarray
-
-
-def inspected(names: Sequence[str]) -> list[list[str]]:
-    """The inspected terms of each subject that has any."""
-    return [[w for w in TERMS.get(n, "|").split("|")[0].split()] + [w.strip() for w in TERMS.get(n, "|").split("|")[1].split(",") if w.strip()] for n in names]
+    rounds: int = 0
 
 
 def document_frequencies(words: DataFrame) -> DataFrame:
@@ -234,14 +212,11 @@ def document_frequencies(words: DataFrame) -> DataFrame:
             return u, np.bincount(at, weights=n).astype(np.int64)
 
         for b in _parts(batches):
-            h, s, doc, _ = _laid_out(b)
-            if not len(h):
-                continue
-            d = doc[s]
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
-            h = h[np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))]  # a document counts a term once
-            u, n = np.unique(h, return_counts=True)
+            col = b.column("words")
+            w = col.flatten().to_numpy().view(np.uint32).astype(np.uint64)
+            d = np.repeat(np.arange(b.num_rows, dtype=np.uint64), col.value_lengths().to_numpy(zero_copy_only=False))
+            # A document counts a term once.
+            u, n = np.unique((np.unique(w << np.uint64(32) | d) >> np.uint64(32)).astype(np.int64), return_counts=True)
             held.append((u, n))
             size += len(u)
             if size > 2_000_000:
@@ -254,26 +229,31 @@ def document_frequencies(words: DataFrame) -> DataFrame:
             u, n = sums()
             yield pa.RecordBatch.from_pydict({"term": pa.array(u), "n": pa.array(n)})
 
-    return words.select("words", "ends").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return words.select("words").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
 
+def _weighted(col: pa.Array, unit: np.ndarray, n_units: int, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Known terms of each unit (a document, a sentence), their weights, and how many each unit has; ``unit`` is that of each word."""
+    w = col.flatten().to_numpy().view(np.uint32).astype(np.int64)
+    i = np.minimum(np.searchsorted(terms, w), len(terms) - 1)
+    there = terms[i] == w
+    key, n = np.unique(unit[there] * len(terms) + i[there], return_counts=True)
+    ids = key % len(terms)
+    return ids, (n * idf[ids]).astype(np.float32), np.bincount(key // len(terms), minlength=n_units)
 
-def _bags(words: DataFrame, terms: np.ndarray) -> DataFrame:
-    """(ids, n): the model's terms of each document and their counts."""
-    known = words.sparkSession.sparkContext.broadcast(terms)  # at most VOCABULARY numbers
+
+def _bags(words: DataFrame, terms: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """(ids, n): the model's terms of each document and their weights."""
+    known = words.sparkSession.sparkContext.broadcast((terms, idf))  # two numbers a term
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = known.value
         for b in _parts(batches):
-            h, s, doc, _ = _laid_out(b)
-            i = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-            there = vocabulary[i] == h
-            key = doc[s[there]] * len(vocabulary) + i[there]
-            key, n = np.unique(key, return_counts=True)
-            d = key // len(vocabulary)
-            at = np.searchsorted(d, np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(key % len(vocabulary), pa.int32())), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(n, pa.int32()))], names=["ids", "n"])
+            col = b.column("words")
+            ids, n, size = _weighted(col, np.repeat(np.arange(b.num_rows), col.value_lengths().to_numpy(zero_copy_only=False)), b.num_rows, *known.value)
+            at = pa.array(np.append(0, np.cumsum(size)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(at, pa.array(n))], names=["ids", "n"])
 
-    return words.select("words", "ends").mapInArrow(bag, "ids array<int>, n array<int>").where(F.size("ids") > 0)
+    return words.select("words").mapInArrow(bag, "ids array<int>, n array<float>").where(F.size("ids") > 0)
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -291,13 +271,15 @@ def _digamma(x: np.ndarray) -> np.ndarray:
 ENTRIES = 100_000
 
 
-def expected(ids: np.ndarray, n: np.ndarray, lengths: np.ndarray, b: np.ndarray, total: np.ndarray, inner: int = INNER) -> None:
-    """Add to ``total`` the expected counts of terms by topic of documents laid end to end.
+def _inferred(ids: np.ndarray, n: np.ndarray, lengths: np.ndarray, b: np.ndarray, inner: int) -> Iterator[tuple]:
+    """Blocks of documents of like length, with what ``inner`` updates of their proportions give:
+    documents, what of the block is inside, terms, ratios of weights to expectations, exp E[log] of proportions, Dirichlet parameters.
 
-    Documents of like length are padded to one block, so that an update is two products of matrices.
+    Documents laid end to end are padded to one block, so that an update is two products of matrices.
     """
     starts = np.cumsum(lengths) - lengths
     order = np.argsort(lengths, kind="stable")
+    order = order[np.searchsorted(lengths[order], 1) :]  # documents without terms have nothing to infer from
     padded = np.vstack([b, np.zeros((1, b.shape[1]), b.dtype)])
     lo = 0
     while lo < len(order):
@@ -315,6 +297,12 @@ def expected(ids: np.ndarray, n: np.ndarray, lengths: np.ndarray, b: np.ndarray,
             theta = np.exp(_digamma(gamma) - _digamma(gamma.sum(1, keepdims=True))).astype(np.float32)
             r = c / (np.matmul(block, theta[:, :, None])[:, :, 0] + 1e-30)
             gamma = ALPHA + theta * np.matmul(r[:, None, :], block)[:, 0, :]
+        yield docs, inside, i, r, theta, gamma
+
+
+def expected(ids: np.ndarray, n: np.ndarray, lengths: np.ndarray, b: np.ndarray, total: np.ndarray, inner: int = INNER) -> None:
+    """Add to ``total`` the expected counts of terms by topic of documents laid end to end."""
+    for docs, inside, i, r, theta, _ in _inferred(ids, n, lengths, b, inner):
         # Expected counts are b * sum over documents of r * theta: one sparse product, by sorted terms.
         flat = i[inside]
         by = np.argsort(flat, kind="stable")
@@ -323,6 +311,14 @@ def expected(ids: np.ndarray, n: np.ndarray, lengths: np.ndarray, b: np.ndarray,
         total[flat[by][first]] += np.add.reduceat(r[inside][by][:, None] * theta[d], first, axis=0) * b[flat[by][first]]
 
 
+def proportions(ids: np.ndarray, n: np.ndarray, lengths: np.ndarray, b: np.ndarray, inner: int = 2 * INNER) -> np.ndarray:
+    """Topic proportions of documents laid end to end, without the prior's part; zeros where a document has no term."""
+    out = np.zeros((len(lengths), b.shape[1]), np.float32)
+    for docs, _, _, _, _, gamma in _inferred(ids, n, lengths, b, inner):
+        out[docs] = gamma - ALPHA
+    return out / np.maximum(out.sum(1, keepdims=True), 1e-30)
+
+
 def _round(bags: DataFrame, b: np.ndarray) -> np.ndarray:
     """Expected counts of terms by topic over all documents."""
     k = b.shape[1]
@@ -346,91 +342,84 @@ def _round(bags: DataFrame, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(words: DataFrame, names: Sequence[str], *, rounds: int = ROUNDS, seed: int = 5) -> Model:
+def topic_subjects(p: np.ndarray, common: np.ndarray, terms: np.ndarray, names: Sequence[str], inspected: dict[str, str] = TERMS) -> np.ndarray:
+    """The subject of each topic (a column of ``p``, its distribution over ``terms``), -1 for none, by its top terms.
+
+    Top terms are those that weigh most by how far the topic's share of them exceeds the share ``common`` to all topics.
+    """
+    known = [np.isin(terms, [word_hash(w) for w in inspected.get(n, "").split()]) for n in names]
+    weight = np.maximum(p * np.log(np.maximum(p, 1e-30) / np.maximum(common, 1e-30)[:, None]), 0)
+    subject = np.full(p.shape[1], -1)
+    for k in range(p.shape[1]):
+        top = np.argsort(-weight[:, k], kind="stable")[:TOP]
+        w = weight[top, k]
+        score = sorted(((w[m[top]].sum() / max(w.sum(), 1e-30), j) for j, m in enumerate(known)), reverse=True)
+        if score and score[0][0] >= TOP_SHARE and (len(score) == 1 or score[0][0] >= 2 * score[1][0]):
+            subject[k] = score[0][1]
+    return subject
+
+
+def fit(words: DataFrame, names: Sequence[str], *, most_rounds: int = MOST_ROUNDS, seed: int = 5) -> Model:
     """Topics of all documents (as from ``hashed``), each mapped to a subject of ``names`` or to none.
 
-    A corpus too small for a vocabulary gives a model without terms, in which no sentence is about anything.
+    A corpus too small for any term gives a model without terms, in which no sentence is about anything.
     """
     names = list(names)
     n_docs = words.count()
-    df = document_frequencies(words)
-    looked_at = sorted({term_hash(w) for ws in inspected(names) for w in ws})
-    inside, least = F.col("term").isin(looked_at), min(MIN_DOCUMENTS, max(2, n_docs // 200))
-    # Inspected terms, a few dozen a subject, are exempt from the share and from the size.
-    df = df.where((F.col("n") >= least) & ((F.col("n") <= max(MAX_SHARE * n_docs, 2)) | inside)).persist()
-    kept = df.where(~inside).orderBy(F.desc("n"), "term").limit(VOCABULARY).select("term").collect() + df.where(inside).select("term").collect()
-    df.unpersist()
-    terms = np.sort(np.array([r.term for r in kept], np.int64))
-    index = {int(t): i for i, t in enumerate(terms)}
-    seeds = [[index[h] for w in ws if (h := term_hash(w)) in index] for ws in inspected(names)]
-    k = len(names) * PER_SUBJECT + FREE
-    if not index:
-        return Model(terms, names, np.zeros((k, 0)), np.full(k, -1), np.full(k, 1 / k))
-    rng = np.random.default_rng(seed)
-    seeded = np.zeros((len(index), k))
-    for s, ids in enumerate(seeds):
-        seeded[ids, s * PER_SUBJECT : (s + 1) * PER_SUBJECT] = 1.0
-    bags, path = materialise(_bags(words, terms), "bags")
-    size = float(bags.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0)
-    prior = np.full((len(index), k), ETA)
-    pull = DRAWN * size / k / max(1, len(seeds[0]) if seeds else 1)
-    lam = prior + rng.gamma(100, 0.01, prior.shape) * size / k / len(index) + pull * seeded
-    for r in range(rounds):
-        b = np.exp(_digamma(lam) - _digamma(lam.sum(0, keepdims=True)))
-        # The pull ends half-way, so that the topics are the documents' own in the end.
-        lam = prior + _round(bags, b) + pull * seeded * max(0.0, 1 - 2 * (r + 1) / rounds)
+    df = document_frequencies(words).where((F.col("n") >= max(MIN_DOCUMENTS, MIN_SHARE * n_docs)) & (F.col("n") < n_docs)).toPandas().sort_values("term")
+    terms, idf = df["term"].to_numpy(np.int64), np.log(n_docs / np.maximum(df["n"].to_numpy(np.float64), 1))
+    k = max(1, len(names) * PER_SUBJECT)
+    if not len(terms) or not names:
+        return Model(terms[:0], idf[:0], names, np.zeros((0, k), np.float32), np.full(k, -1))
+    bags, path = materialise(_bags(words, terms, idf), "bags")
+    size = float(bags.agg(F.sum(F.aggregate("n", F.lit(0.0), lambda a, x: a + x))).first()[0] or 0)
+    lam = ETA + np.random.default_rng(seed).gamma(100, 0.01, (len(terms), k)) * size / k / len(terms)
+    before = lam / lam.sum(0)
+    for r in range(most_rounds):
+        lam = ETA + _round(bags, np.exp(_digamma(lam) - _digamma(lam.sum(0, keepdims=True))))
+        p = lam / lam.sum(0)
+        moved, before = np.abs(p - before).sum(0).mean(), p
+        if moved < STILL:
+            break
+    else:
+        warnings.warn(f"topics still move by {moved:.4f} after {most_rounds} rounds", stacklevel=2)
     drop_path(words.sparkSession, path)
-    mass = lam - prior
-    weights = (lam / lam.sum(0, keepdims=True)).T
-    # The subject of a topic: whose inspected terms weigh most in it, by what the documents gave, if they weigh at all.
-    subject = np.full(k, -1)
-    given = mass / np.maximum(mass.sum(0, keepdims=True), 1e-9)
-    for t in range(k):
-        score = np.array([given[ids, t].sum() for ids in seeds]) if seeds else np.zeros(0)
-        if len(score) and score.max() > 0.02 and score.max() >= 2 * np.sort(score)[-2:][0]:
-            subject[t] = int(score.argmax())
-    return Model(terms, names, weights, subject, np.maximum(mass.sum(0), 1) / np.maximum(mass.sum(0), 1).sum())
-
-
-#: A sentence is about a subject from this posterior on.
+    common = (lam - ETA).sum(1) / max((lam - ETA).sum(), 1e-30)
+    b = np.exp(_digamma(lam) - _digamma(lam.sum(0, keepdims=True)))
+    return Model(terms, idf, names, b.astype(np.float32), topic_subjects(before, common, terms, names), r + 1)
+
+
+#: A sentence is about a subject that holds this share of its topic proportions.
 ABOUT = 0.5
 
 
 def shares(words: DataFrame, model: Model, about: float = ABOUT) -> DataFrame:
     """(key, sentences, subject, about): how many sentences of each document are about each subject, where any is."""
-    logw = np.log(model.weights.T + 1e-9).astype(np.float32)
-    sent = words.sparkSession.sparkContext.broadcast((model.terms, logw, np.log(model.share).astype(np.float32), model.subject, model.names))
+    sent = words.sparkSession.sparkContext.broadcast((model, usual_length(words)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, w, prior, subject, names = sent.value
-        member = np.stack([subject == s for s in range(len(names))], 1).astype(np.float32) if names else np.zeros((len(subject), 0), np.float32)
+        m, usual = sent.value
+        member = np.stack([m.subject == s for s in range(len(m.names))], 1).astype(np.float32) if m.names else None
         for b in _parts(batches):
-            h, s, doc, count = _laid_out(b)
-            if not len(h) or not len(vocabulary) or not names:
+            col, cut = b.column("words"), b.column("ends")
+            if not len(m.terms) or member is None or not len(col.flatten()):
                 continue
-            i = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-            there = vocabulary[i] == h
-            like = np.tile(prior, (len(doc), 1))
-            told = np.zeros(len(doc), bool)
-            pairs = len(b.column("words").flatten())  # words come first, then pairs, both in order of sentences
-            for part in (slice(0, pairs), slice(pairs, None)):
-                ids, at = i[part][there[part]], s[part][there[part]]
-                if len(ids):
-                    first = np.flatnonzero(np.diff(at, prepend=-1))
-                    like[at[first]] += np.add.reduceat(w[ids], first, axis=0)
-                    told[at[first]] = True
-            like = np.exp(like - like.max(1, keepdims=True))
-            post = (like / like.sum(1, keepdims=True)) @ member
-            best = post.argmax(1)
-            sure = told & (post[np.arange(len(best)), best] >= about)
-            key, n = np.unique(doc[sure] * len(names) + best[sure], return_counts=True)
-            d = pa.array(key // len(names))
-            yield pa.RecordBatch.from_pydict({"key": b.column("key").take(d), "sentences": pa.array(count, pa.int32()).take(d), "subject": pa.array([names[x] for x in key % len(names)], pa.string()), "about": pa.array(n, pa.int32())})
+            n_words, n_cut = (x.value_lengths().to_numpy(zero_copy_only=False) for x in (col, cut))
+            ends = sentence_ends(cut.flatten().to_numpy() + np.repeat(np.cumsum(n_words) - n_words, n_cut), usual)
+            doc = np.searchsorted(np.cumsum(n_words), ends)  # documents without words end where the next begins
+            size = np.diff(ends, prepend=0)
+            count = np.bincount(doc, minlength=b.num_rows)
+            told = proportions(*_weighted(col, np.repeat(np.arange(len(ends)), size), len(ends), m.terms, m.idf), m.topics) @ member
+            best = told.argmax(1)
+            sure = told[np.arange(len(best)), best] >= about
+            key, n = np.unique(doc[sure] * len(m.names) + best[sure], return_counts=True)
+            d = pa.array(key // len(m.names))
+            yield pa.RecordBatch.from_pydict({"key": b.column("key").take(d), "sentences": pa.array(count, pa.int32()).take(d), "subject": pa.array([m.names[x] for x in key % len(m.names)], pa.string()), "about": pa.array(n, pa.int32())})
 
     return words.mapInArrow(score, f"key {dict(words.dtypes)['key']}, sentences int, subject string, about int")
 
 
-def subjects(docs: DataFrame, key: str, text: str, names: Sequence[str], least: float = 0.25, *, fillers: re.Pattern | None = None, rounds: int = ROUNDS) -> DataFrame:
+def subjects(docs: DataFrame, key: str, text: str, names: Sequence[str], least: float = 0.25, *, fillers: re.Pattern | None = None) -> DataFrame:
     """(key, subject, share) of the subjects that at least ``least`` of a document's sentences are about: none, one or several.
 
     - Null, blank and wordless texts are about nothing; whole texts are read, however long.
@@ -438,5 +427,5 @@ def subjects(docs: DataFrame, key: str, text: str, names: Sequence[str], least:
     - Names without inspected terms get no topic, so no document.
     """
     words, _ = materialise(hashed(docs.where(F.col(key).isNotNull()), key, text, fillers), "words")
-    got = shares(words, fit(words, names, rounds=rounds))
+    got = shares(words, fit(words, names))
     return got.where(F.col("about") >= F.lit(least) * F.col("sentences")).select(F.col("key").alias(key), "subject", (F.col("about") / F.col("sentences")).alias("share")).dropDuplicates([key, "subject"])
