@@ -41,3 +41,19 @@ def test_operator(spark):
     assert set(r) == {1, 2, 3, 4, 5, 6, *range(100, 160)} and r[1].share == r[2].share == 9 / 12 and r[6].repeated_words == 99_999
     assert r[3].n_words == 0 and r[3].share == 0.0 and r[1].p_repetitive > 0.9 and r[101].p_repetitive < 0.1
     assert rep.repetition(df.where("false"), "k", "t", [], []).count() == 0
+
+
+def test_wordless_texts_are_sound_even_among_loops(spark):
+    df = spark.createDataFrame([(i, "no no no no no no") for i in range(50)] + [(90, None), (91, "[noise]")], "k long, t string")
+    r = {x.k: x for x in rep.repetition(df, "k", "t", [], []).collect()}
+    assert r[90].p_sound == r[91].p_sound == 1.0 and r[7].p_repetitive > 0.9
+
+
+def test_posterior_decides(spark, monkeypatch):
+    """The query keeps what the posterior says, so a posterior of nothing keeps nothing."""
+    from tests.test_queries import DATA
+    from voxtide.llm import queries
+
+    assert queries.QUERIES["p6_found"](spark, DATA).count() > 0
+    monkeypatch.setattr(rep, "agreement", lambda patterns: dict.fromkeys(patterns, 0.0))
+    assert queries.QUERIES["p6_found"](spark, DATA).count() == 0

@@ -77,31 +77,26 @@ def p5_words(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d, False)
 
 
-def _repetition(spark: SparkSession, d: str) -> DataFrame:
+def _texts(spark: SparkSession, d: str) -> tuple:
     labels = turns.vocabulary(table(spark, d, "speaker_label"), "label", "speaker_role")
-    return repetition.repetition(table(spark, d, "asr_segment"), "segment_id", "text", labels, turns.vocabulary(table(spark, d, "nonword_form"), "form"))
-
-
-#: Texts that are sound beyond this probability are not looked at again.
-SURELY_SOUND = 0.95
+    return table(spark, d, "asr_segment"), "segment_id", "text", labels, turns.vocabulary(table(spark, d, "nonword_form"), "form")
 
 
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Texts that the rules don't jointly hold for sound, then checked exactly: a third of the words at least."""
-    r = _repetition(spark, d).where(F.col("p_sound") <= SURELY_SOUND)
-    return r.where("n_words > 0 and repeated_words * 3 >= n_words").select("segment_id")
+    """Texts that the rules, weighed by how far each is to be trusted, hold for repetitive rather than sound."""
+    return repetition.repetition(*_texts(spark, d)).where("p_repetitive >= 0.5").select("segment_id")
 
 
 @query
 def p6_share(spark: SparkSession, d: str) -> DataFrame:
-    return _repetition(spark, d).select("segment_id", "n_words", "repeated_words", F.round("share", 9).alias("share"))
+    return repetition.repeated_share(*_texts(spark, d)).select("segment_id", "n_words", "repeated_words", F.round("share", 9).alias("share"))
 
 
 @query
 def p6_quality(spark: SparkSession, d: str) -> DataFrame:
     """The posterior that each text is sound."""
-    return _repetition(spark, d).select("segment_id", F.round("share", 9).alias("share"), F.round("p_sound", 6).alias("p_sound"))
+    return repetition.repetition(*_texts(spark, d)).select("segment_id", F.round("share", 9).alias("share"), F.round("p_sound", 6).alias("p_sound"))
 
 
 @query

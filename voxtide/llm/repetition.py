@@ -3,9 +3,10 @@
 One pass measures a text in several ways.  Rules turn the measures into votes
 (repetitive, sound, or none at all); expectation-maximisation finds how far each
 rule is to be trusted from where the rules agree and differ over all texts; the
-posterior that a text is sound replaces a filter that every rule must pass.
+posterior that a text is sound replaces a filter that every rule must pass: a text is
+repetitive where the posterior says so, whatever any single rule voted.
 Votes are few patterns, so EM sees counts of patterns: at most 3 to the number of
-rules, however many texts there are.  A text without words gets no vote.
+rules, however many texts there are.  A text without words gets no vote and no part in EM.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from voxtide.llm.transcript import Cleaner, bare_words
 from voxtide.session import materialise
 
 RUN = 3
+#: What packing nothing takes.
+_EMPTY = len(zlib.compress(b"", 1))
 MEASURES = "n_words int, repeated_words int, distinct_words int, top_run int, period_words int, repeated_sentences double, packed double"
 
 
@@ -75,7 +78,7 @@ def measured(texts: DataFrame, text: str, labels: list[tuple], nonwords: list[tu
                 words = bare_words(pieces)
                 joined = " ".join(words)
                 raw = joined.encode()
-                packed = len(zlib.compress(raw, 1)) / len(raw) if len(raw) >= 80 else float("nan")
+                packed = (len(zlib.compress(raw, 1)) - _EMPTY) / len(raw) if raw else float("nan")
                 rows.append((*measures(words, run), repeated_sentences(" ".join(pieces)), packed))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in MEASURES.split(", ")])
 
@@ -90,9 +93,9 @@ def votes() -> dict[str, Column]:
         return F.when(n <= 0, 0).when(high, 1).when(low, -1).otherwise(0)
 
     return {
-        "runs": rule(F.col("m.repeated_words") * 3 >= n, F.col("m.repeated_words") * 10 <= n),
+        "runs": rule(F.col("m.repeated_words") * 3 >= n, F.col("m.repeated_words") * 3 < n),
         "loops": rule(F.col("m.period_words") * 4 >= n, F.col("m.period_words") * 20 <= n),
-        "distinct": rule(F.col("m.distinct_words") * 3 <= n * 2, (F.col("m.distinct_words") * 5 >= n * 4) | (n < 6)),
+        "distinct": rule(F.col("m.distinct_words") * 3 <= n * 2, F.col("m.distinct_words") * 5 >= n * 4),
         "commonest": rule(F.col("m.top_run") * 3 * 4 >= n + 9, F.col("m.top_run") <= 1),
         "sentences": rule(F.col("m.repeated_sentences") >= 0.3, F.lit(False)),
         "packed": rule(F.col("m.packed") < 0.45, F.col("m.packed") > 0.65),
@@ -134,21 +137,26 @@ def agreement(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> dict[t
     return post
 
 
-def repetition(texts: DataFrame, key: str, text: str, labels: list[tuple], nonwords: list[tuple], run: int = RUN) -> DataFrame:
-    """(key, n_words, repeated_words, share, p_repetitive, p_sound): one row per key.
+def repeated_share(texts: DataFrame, key: str, text: str, labels: list[tuple], nonwords: list[tuple], run: int = RUN) -> DataFrame:
+    """(key, n_words, repeated_words, share, votes): one row per key.
 
     - ``share`` is repeated_words / n_words, 0 without words; whole texts are measured, however long.
-    - Null and blank texts have no words and count as sound where the rules say so; a null key is left out.
-    - Repeated rows (same key) count once.  An empty table gives an empty result.
+    - Null and blank texts have no words.  A null key is left out; repeated rows (same key) count once.
     """
     v = votes()
     rows = measured(texts.select(key, text).where(F.col(key).isNotNull()), text, labels, nonwords, run)
-    rows = rows.select(key, "m.n_words", "m.repeated_words", F.array(*(F.coalesce(c, F.lit(0)).cast("byte") for c in v.values())).alias("votes")).dropDuplicates([key])
-    rows, _ = materialise(rows, "votes")
-    counts = rows.groupBy("votes").count()  # at most 3 ** len(v) rows
-    patterns = {tuple(r["votes"]): r["count"] for r in counts.collect()}
-    post = agreement(patterns)
-    spark = texts.sparkSession
-    table = spark.createDataFrame([(list(p), float(x)) for p, x in post.items()], "votes array<byte>, p_repetitive double")
-    share = F.when(F.col("n_words") > 0, F.col("repeated_words") / F.col("n_words")).otherwise(0.0)
-    return rows.join(F.broadcast(table), "votes").select(key, "n_words", "repeated_words", share.alias("share"), "p_repetitive", (1 - F.col("p_repetitive")).alias("p_sound"))
+    share = F.when(F.col("m.n_words") > 0, F.col("m.repeated_words") / F.col("m.n_words")).otherwise(0.0)
+    return rows.select(key, "m.n_words", "m.repeated_words", share.alias("share"), F.array(*(F.coalesce(c, F.lit(0)).cast("byte") for c in v.values())).alias("votes")).dropDuplicates([key])
+
+
+def repetition(texts: DataFrame, key: str, text: str, labels: list[tuple], nonwords: list[tuple], run: int = RUN) -> DataFrame:
+    """(key, n_words, repeated_words, share, p_repetitive, p_sound): the rows of ``repeated_share`` with their posterior.
+
+    A text without words is sound (``p_repetitive`` 0).  An empty table gives an empty result.
+    """
+    rows, _ = materialise(repeated_share(texts, key, text, labels, nonwords, run), "votes")
+    counts = rows.where("n_words > 0").groupBy("votes").count()  # at most 3 ** len(votes()) rows
+    post = agreement({tuple(r["votes"]): r["count"] for r in counts.collect()})
+    table = texts.sparkSession.createDataFrame([(list(p), float(x)) for p, x in post.items()], "votes array<byte>, p_repetitive double")
+    p = F.when(F.col("n_words") > 0, F.col("p_repetitive")).otherwise(0.0)
+    return rows.join(F.broadcast(table), "votes", "left").select(key, "n_words", "repeated_words", "share", p.alias("p_repetitive"), (1 - p).alias("p_sound"))
