@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from voxtide.operators import intervals
 from voxtide.operators.intervals import periods_and_gaps
 
 SCHEMA = "k string, s long, e long, kind string, island string"
@@ -50,6 +51,13 @@ def test_random_across_buckets(spark, seed):
     assert run(spark, rows, bucket_width=50) == brute(rows)
 
 
+def test_random_across_buckets_of_ranks(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "RANKS", 7)
+    rng = random.Random(9)
+    rows = [("hot", s := rng.randrange(0, 30_000), s + rng.choice([1, 20, 90])) for _ in range(300)]
+    assert run(spark, rows, bucket_width=1000) == brute(rows)
+
+
 def test_negative_and_long(spark):
     rows = [("a", -500, -400), ("a", -450, 10**12), ("a", 10**12 + 5, 10**12 + 6)]
     assert run(spark, rows) == brute(rows)

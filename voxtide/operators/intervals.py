@@ -1,14 +1,19 @@
 """Continuous periods and gaps of intervals per entity.
 
-Starts and ends are ranked independently of each other: with S(t) starts and
-E(t) ends up to t, the i-th end (i = E(t)) is followed by a gap exactly where
-the next-ranked start lies beyond it, which is where S(t) = E(t).  Equal times
-are counted together before anything is shuffled, so ranks are cumulative
-counts over distinct times.
+Starts and ends are sorted and ranked independently of each other.  A gap lies where
+the start of rank i + 1 exceeds the end of rank i; the first start and the last end
+stand alone.  Each such boundary closes one period and opens the next, so a period
+runs from what the boundary before opened to what this one closes.
+
+Equal times are counted together before ranks are given: a start then carries the rank
+before it, an end the rank that it reaches, and the two meet by equal ranks, for among
+equal ends only the last can lie before a gap, and among equal starts only the first
+after one.
 
 The ranking never puts an entity into one task: time is cut into buckets, ranks
 run inside a bucket, and per-bucket totals (one row a bucket) carry them over.
-With integer times a bucket has at most ``bucket_width`` distinct times.
+With integer times a bucket has at most ``bucket_width`` distinct times; boundaries
+are cut into buckets by rank.
 """
 
 from __future__ import annotations
@@ -17,12 +22,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-
-def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & a[n].eqNullSafe(b[n])
-    return cond
+from voxtide.session import materialise
 
 
 def carry_in(df: DataFrame, keys: Sequence[str], bucket: str, totals: dict[str, Column]) -> DataFrame:
@@ -39,36 +39,48 @@ def carry_in(df: DataFrame, keys: Sequence[str], bucket: str, totals: dict[str,
     return df.join(before, cond).drop(*(f"__b_{k}" for k in (*keys, bucket)))
 
 
+#: Ranks in a bucket of boundaries.
+RANKS = 100_000
+
+
 def boundaries(df: DataFrame, keys: Sequence[str], start: str, end: str, bucket_width: int = 600_000) -> DataFrame:
-    """(k0.., k, period_start, period_end, next_start): the k-th start and end boundary of each entity."""
+    """(k0.., i, closes, opens): per entity, the boundary behind rank i, with the end it closes (null before the
+    first period) and the start it opens (null behind the last)."""
     ks = [f"__k{i}" for i in range(len(keys))]
     iv = df.select(*(F.col(k).alias(a) for k, a in zip(keys, ks)), F.col(start).alias("__s"), F.col(end).alias("__e")).where("__e > __s")
-    ev = (
-        iv.select(*ks, F.explode(F.array(F.struct(F.col("__s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("__e").alias("t"), F.lit(-1).alias("d")))).alias("x"))
-        .groupBy(*ks, F.col("x.t").alias("t"))
-        .agg(F.sum("x.d").alias("d"))
+    times = (
+        iv.select(*ks, F.explode(F.array(F.struct(F.lit(True).alias("is_start"), F.col("__s").alias("t")), F.struct(F.lit(False).alias("is_start"), F.col("__e").alias("t")))).alias("x"))
+        .groupBy(*ks, "x.is_start", "x.t")
+        .agg(F.count("*").alias("c"))
         .withColumn("__b", F.floor(F.col("t") / bucket_width))
     )
-    # Ranks: open(t) = S(t) - E(t), and the same just before t.
-    ev = carry_in(ev, ks, "__b", {"d0": F.sum("d")})
-    w = Window.partitionBy(*ks, "__b").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ev = ev.withColumn("open", F.col("d0") + F.sum("d").over(w))
-    # A start boundary has nothing open before it, an end boundary nothing after it.
-    edge = ev.select(*ks, "__b", "t", (F.col("open") == 0).alias("is_end"), ((F.col("open") - F.col("d") == 0) & (F.col("d") > 0)).alias("is_start")).where("is_start or is_end")
-    edge = carry_in(edge, ks, "__b", {"n0": F.sum(F.col("is_start").cast("long"))})
-    edge = edge.withColumn("k", F.col("n0") + F.sum(F.col("is_start").cast("long")).over(w))
-    # Paired boundaries: the k-th start and the k-th end are one period, the k-th end and the start after it one gap.
-    pairs = edge.select(
-        *ks,
-        F.explode(
-            F.when(F.col("is_start"), F.array(F.struct(F.col("k").alias("k"), F.lit(0).alias("r"), "t"), F.struct((F.col("k") - 1).alias("k"), F.lit(2).alias("r"), "t")))
-            .otherwise(F.array(F.struct(F.col("k").alias("k"), F.lit(1).alias("r"), "t")))
-        ).alias("x"),
-    ).where("x.k > 0")
-    return (
-        pairs.groupBy(*ks, F.col("x.k").alias("k"))
-        .agg(*(F.max(F.when(F.col("x.r") == r, F.col("x.t"))).alias(n) for r, n in enumerate(("period_start", "period_end", "next_start"))))
-    )
+    times, _ = materialise(times, "times")
+    side = [*ks, "is_start"]
+    buckets = times.groupBy(*side, "__b").agg(F.sum("c").alias("c"))
+    over = Window.partitionBy(*side)
+    buckets = buckets.select(*(F.col(k).alias(f"__o{k}") for k in (*side, "__b")), F.coalesce(F.sum("c").over(over.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(over).alias("n"))
+    cond = F.lit(True)
+    for k in (*side, "__b"):
+        cond = cond & times[k].eqNullSafe(buckets[f"__o{k}"])
+    inside = Window.partitionBy(*side, "__b").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = times.join(buckets, cond).select(*side, "t", "c", "n", (F.col("before") + F.sum("c").over(inside)).alias("rank"))
+    # The start of rank i + 1 meets the end of rank i.
+    met = ranked.select(*ks, F.when(F.col("is_start"), F.col("rank") - F.col("c")).otherwise(F.col("rank")).alias("i"), "n", F.when(F.col("is_start"), F.col("t")).alias("opens"), F.when(~F.col("is_start"), F.col("t")).alias("closes"))
+    met = met.groupBy(*ks, "i").agg(F.max("n").alias("n"), F.max("closes").alias("closes"), F.max("opens").alias("opens"))
+    first, last = F.col("i") == 0, F.col("i") == F.col("n")
+    return met.where(first | last | (F.col("opens") > F.col("closes"))).select(*ks, "i", "closes", "opens")
+
+
+def _opened(edges: DataFrame, ks: Sequence[str]) -> DataFrame:
+    """The boundaries with ``since``: the start that the boundary before opened.  Starts rise with ranks, so it is the largest before."""
+    edges = edges.withColumn("__b", F.floor(F.col("i") / RANKS))
+    tops = edges.groupBy(*ks, "__b").agg(F.max("opens").alias("top"))
+    tops = tops.select(*(F.col(k).alias(f"__o{k}") for k in (*ks, "__b")), F.max("top").over(Window.partitionBy(*ks).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)).alias("top"))
+    cond = F.lit(True)
+    for k in (*ks, "__b"):
+        cond = cond & edges[k].eqNullSafe(tops[f"__o{k}"])
+    before = Window.partitionBy(*ks, "__b").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    return edges.join(tops, cond).select(*ks, "closes", "opens", F.greatest(F.max("opens").over(before), "top").alias("since"))
 
 
 def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, *, max_gap: int | None = None, bucket_width: int = 600_000) -> DataFrame:
@@ -80,17 +92,17 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, *
     - A null in a key is an entity of its own; an empty table gives an empty result; other columns are ignored.
     """
     ks = [f"__k{i}" for i in range(len(keys))]
-    b = boundaries(df.where(~F.isnan(F.col(start).cast("double")) & ~F.isnan(F.col(end).cast("double"))), keys, start, end, bucket_width)
-    gap = F.col("next_start").isNotNull()
+    edges, _ = materialise(boundaries(df.where(~F.isnan(F.col(start).cast("double")) & ~F.isnan(F.col(end).cast("double"))), keys, start, end, bucket_width), "edges")
+    gap = F.col("opens").isNotNull()
     if max_gap is not None:
-        gap = gap & (F.col("next_start") - F.col("period_end") <= max_gap)
-    rows = b.select(
+        gap = gap & (F.col("opens") - F.col("closes") <= max_gap)
+    rows = _opened(edges, ks).where("closes is not null").select(
         *ks,
         F.explode(
             F.array_compact(
                 F.array(
-                    F.struct(F.lit("period").alias("kind"), F.col("period_start").alias("s"), F.col("period_end").alias("e")),
-                    F.when(gap, F.struct(F.lit("gap").alias("kind"), F.col("period_end").alias("s"), F.col("next_start").alias("e"))),
+                    F.struct(F.lit("period").alias("kind"), F.col("since").alias("s"), F.col("closes").alias("e")),
+                    F.when(gap, F.struct(F.lit("gap").alias("kind"), F.col("closes").alias("s"), F.col("opens").alias("e"))),
                 )
             )
         ).alias("x"),
