@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxtide.operators import clinical, conversation as conv, evaluation as ev, frames as fr, lexical as lex, morphosyntax as morph, motor, tasks, transcription as tr
+from voxtide.operators import clinical, conversation as conv, evaluation as ev, frames as fr, intervals, lexical as lex, morphosyntax as morph, motor, nonlinear, order, tasks, transcription as tr
 
 TOK = "recording_id string, speaker_id string, utt_idx int, tok_idx int, token_id string, norm string, kind string, word_id string"
 
@@ -124,11 +124,83 @@ def brute_edits(a, b):
     return row[-1]
 
 
-def test_edits():
+def test_edits(spark):
     rng = random.Random(0)
-    for _ in range(60):
-        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(2))
-        assert ev.token_edits(a, b) == brute_edits(a, b)
+    text = lambda: " ".join(rng.choice(["a", "b", "cá", "d_e"]) for _ in range(rng.randrange(12)))
+    rows = [(i, text(), text()) for i in range(60)] + [(97, None, "a b"), (98, "", None), (99, " ".join(f"w{i}" for i in range(3000)), " ".join(f"w{i}" for i in range(1, 3000)))]
+    for r in ev.edit_counts(spark.createDataFrame(rows, "k long, g string, p string"), "g", "p", ["syer", "wer", "cer"]).collect():
+        g, p = r.g or "", r.p or ""
+        syllables = [x.replace("_", " ").split() for x in (g, p)]
+        if r.k == 99:
+            assert (r.wer_edits, r.wer_ref, r.syer_edits) == (1, 3000, 1)
+            continue
+        assert (r.wer_edits, r.wer_ref) == (brute_edits(g.split(), p.split()), len(g.split()))
+        assert (r.syer_edits, r.syer_ref) == (brute_edits(*syllables), len(syllables[0]))
+        assert (r.cer_edits, r.cer_ref) == (brute_edits(*("".join(x) for x in syllables)), len("".join(syllables[0])))
+
+
+def test_overlapping_hypotheses_count_twice_up_to_the_interval(spark):
+    s = "recording_id string, speaker string, start_ms long, end_ms long"
+    ref = spark.createDataFrame([("r", "A", 0, 2000), ("s", "A", 0, 400), ("t", None, 0, 1000)], s)
+    hyp = spark.createDataFrame([("r", "A", 0, 1500), ("r", "A", 500, 1500), ("u", "A", 0, 9), ("t", None, 0, 500), ("r", "A", 7, 7)], s)
+    got = {x.recording_id: (x.reference_ms, x.uncovered_ms, x.der) for x in ev.diarization_error(ref, hyp).collect()}
+    assert got == {"r": (1500, 0, 0.0), "s": (0, 0, 0.0), "t": (500, 250, 0.5), "u": (0, 0, 0.0)}
+
+
+def test_meeting_with_a_wrong_end_far_away(spark):
+    rng = random.Random(2)
+    iv = lambda n: [("r", i, s := rng.randrange(0, 5000), s + rng.choice([1, 50, 700])) for i in range(n)]
+    a, b = iv(60) + [("r", 900, 3, 10**15), (None, 901, 0, 10)], iv(60) + [("r", 800, 2, 1)]
+    got = intervals.meet(spark.createDataFrame(a, "k string, i long, s long, e long"), spark.createDataFrame(b, "k string, j long, t long, u long"), ["k"], ("s", "e"), ("t", "u"), 100).collect()
+    assert sorted((r.i, r.j, r.lo, r.hi) for r in got) == sorted((x[1], y[1], max(x[2], y[2]), min(x[3], y[3])) for x in a for y in b if x[0] == y[0] and max(x[2], y[2]) < min(x[3], y[3]))
+
+
+def test_windows_end_with_the_sound(spark):
+    w = spark.createDataFrame([("r", 0, 1000), ("q", 0, 1000), ("p", 5000, 6000)], "recording_id string, start_ms long, end_ms long")
+    sound = spark.createDataFrame([("r", 1010), ("p", 4000)], "recording_id string, sound_ms long")
+    assert {tuple(r) for r in tr.window_merge(w, sound=sound).collect()} == {("r", 0, 1010), ("q", 0, 1030)}
+
+
+SEG = "recording_id string, token_id long, segment_type string, segment_label string, start_s double, end_s double"
+
+
+def test_rhythm_of_sequences(spark):
+    """Neighbours of a class join across a gap, by summed lengths; another segment between them ends the interval."""
+    a = [("a", 0, "vowel", "i", 0.0, 1.0), ("a", 1, "vowel", "i", 1.5, 2.0), ("a", 2, "stop", "t", 2.0, 2.5), ("a", 3, "pause", "", 2.5, 2.5), ("a", 4, "stop", "t", 2.5, 2.75), ("a", 5, "vowel", "i", 3.0, 3.5)]
+    b, c = [("b", 0, "vowel", "i", 0.0, 1.0), ("b", 1, None, "i", 1.0, 2.0)], [("c", 0, "vowel", "i", 1.0, 1.0), ("c", 1, "stop", "t", 1.0, 2.0)]
+    r = {x.recording_id: x for x in motor.rhythm(spark.createDataFrame(a + b + c, SEG)).collect()}
+    assert math.isclose(r["a"].rhythm_percent_vocalic, 100 * 2 / 2.75) and math.isclose(r["a"].rhythm_rpvi_v, 1.0) and math.isclose(r["a"].rhythm_rpvi_c, 0.25) and math.isclose(r["a"].rhythm_npvi_v, 100.0)
+    assert r["b"].rhythm_percent_vocalic is None and r["c"].rhythm_varco_c is None
+
+
+def test_syllable_train(spark):
+    row = lambda k, i, s, e, x="pa": (k, i, "vowel", x, s, e)
+    rows = [row("a", 0, 0.0, 0.1), row("a", 1, 0.2, 0.9, "ta"), row("a", 2, 0.5, 0.6), row("tie", 0, 0.0, 0.1), row("tie", 1, 0.0, 0.2), row("one", 0, 0.0, 1.0), row("two", 0, 0.0, 0.1), row("two", 1, 0.5, 0.6, None), row("bad", 0, 0.0, 0.0), row("bad", 1, 1.0, 2.0)]
+    r = {x.recording_id: x for x in motor.syllable_train(spark.createDataFrame(rows, SEG)).collect()}
+    assert math.isclose(r["a"].task_ddk_rate_syllables_s, 3 / 0.6) and math.isclose(r["a"].task_ddk_decay_ratio, 0.2 / 0.3) and r["a"].task_ddk_sequential_alternating_ratio == 1.0
+    assert all(v is None for k in ("tie", "one", "bad") for n, v in r[k].asDict().items() if n != "recording_id")
+    assert r["two"].task_ddk_acceleration_syllables_s2 is None and r["two"].task_ddk_sequential_alternating_ratio is None and math.isclose(r["two"].task_ddk_inter_onset_mean_s, 0.5)
+
+
+def test_unknown_clause_types(spark):
+    s = "recording_id string, speaker_id string, sentence_id string, t_unit_id string, clause_id string, clause_type string, sentence_status string"
+    rows = [("a", "P", "1", "1", "1", "Embedded ", "reduced"), ("a", "P", "1", "1", "2", "main", "reduced"), ("b", "P", "1", "1", "1", "relative", "reduced"), ("c", "P", "1", "n/a", "1", "main", "odd"), ("d", "P", "none", "1", "1", "main", "reduced")]
+    r = {x.recording_id: x for x in clinical.units(spark.createDataFrame(rows, s)).collect()}
+    assert (r["a"].morph_embedding_count, r["a"].morph_dependent_clause_ratio) == (1, 0.5) and (r["b"].morph_embedding_count, r["b"].morph_dependent_clause_ratio) == (None, None)
+    assert r["b"].morph_reduced_sentence_ratio == 1.0 and r["c"].morph_reduced_sentence_ratio is None and r["c"].morph_t_unit_count is None and r["c"].morph_dependent_clause_ratio == 0.0
+    assert r["d"].morph_sentence_count is None and r["d"].morph_embedding_count is None
+
+
+def test_dependency_groups():
+    """Each relation's group, as published for these measures."""
+    want = {"root": "root", "nsubj": "subject", "nsubj:pass": "subject", "csubj": "subject", "csubj:pass": "subject", "obj": "object", "iobj": "object", "amod": "nominal_modifier", "nmod": "nominal_modifier", "nmod:poss": "nominal_modifier", "appos": "nominal_modifier", "compound": "nominal_modifier", "advmod": "adverbial_modifier", "obl": "adverbial_modifier", "obl:agent": "adverbial_modifier", "dislocated": "adverbial_modifier", "ccomp": "clausal_complement", "xcomp": "clausal_complement", "advcl": "clausal_complement", "acl": "clausal_complement", "acl:relcl": "clausal_complement", "conj": "coordination", "cc": "coordination", "case": "function", "mark": "function", "det": "function", "aux": "function", "aux:pass": "function", "cop": "function", "clf": "function"}
+    assert {r: g for g, rs in morph.DEP_GROUPS.items() for r in rs} == want
+    assert set(morph.CLAUSE_HEADS) == {"root", "ccomp", "xcomp", "advcl", "acl", "acl:relcl", "csubj", "csubj:pass"}
+
+
+def test_overlap_of_a_monologue_is_missing(spark):
+    u = spark.createDataFrame([("r", "A", 0, "a", 0.0, 10.0), ("s", "A", 0, "a", 0.0, 10.0), ("s", "B", 1, "b", 20.0, 30.0), ("t", "A", 0, "a", 0.0, 10.0), ("t", "B", 1, "b", 5.0, 30.0)], UTT)
+    assert {(x.recording_id, x.speaker_id): x.time_overlap_s for x in conv.island_overlap(u).collect()} == {("r", "A"): None, ("s", "A"): 0.0, ("s", "B"): 0.0, ("t", "A"): 5.0, ("t", "B"): 5.0}
 
 
 def test_diarization_error(spark):
@@ -202,9 +274,35 @@ def test_spectral_shape(spark):
     assert math.isclose(r[0].entropy, -(0.25 * math.log(0.25) + 0.75 * math.log(0.75)) / math.log(4))
 
 
-def test_kernels():
+def series(spark, **values):
+    return spark.createDataFrame([(k, float(i), None if x is None else float(x)) for k, xs in values.items() for i, x in enumerate(xs)], "k string, o double, v double")
+
+
+def test_nonlinear_measures(spark, monkeypatch):
     rng = np.random.default_rng(0)
-    assert abs(fr.dfa(rng.normal(size=4000)) - 0.5) < 0.08 and abs(fr.dfa(np.cumsum(rng.normal(size=4000))) - 1.5) < 0.15
-    assert fr.period_entropy(np.full(10, 0.01)) is None and fr.period_entropy(np.full(100, 0.01)) == 0.0
-    assert fr.rpde(np.zeros(50)) is None and 0 < fr.rpde(np.sin(np.arange(300) / 5)) < 1
-    assert abs(fr.correlation_dimension(rng.uniform(size=800)) - 2) < 0.4 and fr.correlation_dimension(rng.uniform(size=2000)) is None
+    noise = rng.normal(size=4000)
+    data = dict(white=10 + noise, brown=1000 + np.cumsum(noise), wave=2 + np.sin(np.arange(300) / 5), flat=np.full(100, 0.01), short=1 + rng.random(63), just=1 + rng.random(64), gap=[*(1 + rng.random(70)), None], low=[*(1 + rng.random(70)), 0.0], long=1 + rng.random(1500))
+    monkeypatch.setattr(nonlinear, "PLACES", 150)
+    r = {x.k: x for x in nonlinear.nonlinear(series(spark, **data), "k", "o", "v").collect()}
+    assert set(r) == set(data)
+    assert abs(r["white"].voice_dfa - 0.5) < 0.08 and abs(r["brown"].voice_dfa - 1.5) < 0.15
+    assert all(getattr(r[k], n) is None for k in ("short", "gap", "low") for n in nonlinear.NAMES) and all(getattr(r["just"], n) is not None for n in nonlinear.NAMES)
+    assert r["flat"].voice_pitch_period_entropy == 0.0 and r["flat"].voice_correlation_dimension is None and 0 < r["wave"].voice_rpde < 1
+    assert r["long"].voice_correlation_dimension is None and 1.5 < r["just"].voice_correlation_dimension < 2.2
+    # Against the formulas, written plainly.
+    x = data["wave"]
+    t = np.arange(len(x))
+    left = np.log(x) - np.polyval(np.polyfit(t, np.log(x), 1), t)
+    p = np.histogram(left, 32)[0] / len(x)
+    assert math.isclose(r["wave"].voice_pitch_period_entropy, -sum(q * math.log(q) for q in p if q) / math.log(32), rel_tol=1e-9)
+    c = np.array([sum(abs(x[i + k] - x[i]) <= 0.1 * x.std() for i in range(len(x) - k)) for k in range(1, 101)])
+    p = c / c.sum()
+    assert math.isclose(r["wave"].voice_rpde, -sum(q * math.log(q) for q in p if q) / math.log(100), rel_tol=1e-9)
+    assert nonlinear.nonlinear(series(spark, a=[1.0]).limit(0), "k", "o", "v").count() == 0
+
+
+def test_positions(spark):
+    rows = [("hot" if i % 3 else "k", i * 7919 % 1009, i) for i in range(1009)]
+    got = order.positions(spark.createDataFrame(rows, "k string, o long, v long").repartition(7), ["k"], ["o"], "at").collect()
+    for k in ("hot", "k"):
+        assert [r.o for r in sorted((r for r in got if r.k == k), key=lambda r: r.at)] == sorted(o for x, o, _ in rows if x == k) and sorted(r.at for r in got if r.k == k) == list(range(sum(x == k for x, *_ in rows)))

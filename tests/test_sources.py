@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from voxtide import catalog
-from voxtide.sources import documents, manifests, sinks, wav
+from voxtide.sources import documents, manifests, sinks, tiers, wav
 
 CHAT = (
     "@UTF8\n@Begin\n@Languages:\tvie\n@Participants:\tPAR Lan, INV Minh\n@ID:\tvie|PAR|Lan|Participant|\n@Media:\ta.wav | audio\n*INV:\tbạn thấy gì ? \x150_1500\x15\n*PAR:\ttôi tôi [/] thấy &-ờ cửa-sổ\n\tđẹp . \x151600_4000\x15\n"
@@ -41,8 +41,10 @@ def test_chat_round_trip(spark):
     assert sorted(map(tuple, again.utt.select("utt_idx", "start_s", "end_s").collect())) == sorted(map(tuple, d.utt.select("utt_idx", "start_s", "end_s").collect()))
 
 
-def test_roles():
-    assert documents.token_roles("<tôi đi> [//] tôi (.) &=ho xxx về- [: x y] .".split()) == ["retraced", "retraced", "skip", "word", "skip", "skip", "untranscribed", "skip", "skip", "skip", "skip", "word"]
+def test_roles(spark):
+    items = "<tôi đi> [//] tôi (.) &=ho xxx về- [: x y] .".split()
+    t = spark.createDataFrame([("u", i, x) for i, x in enumerate(items)], "u string, tok_idx int, text string")
+    assert [r.tier_role for r in tiers.tier_roles(t, ["u"]).orderBy("tok_idx").collect()] == ["retraced", "retraced", "skip", "word", "skip", "skip", "untranscribed", "skip", "skip", "skip", "skip", "word"]
 
 
 def doc(**kw):
@@ -142,3 +144,24 @@ def test_streams(spark, tmp_path):
     q = distinct_rows(stream, "word_id", "aligned_at").writeStream.format("memory").queryName("dis").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.awaitTermination(120)
     assert spark.table("dis").count() == 3
+
+
+@pytest.mark.parametrize(
+    "said, roles, words",
+    [
+        ("ba ba [/] bà &-ừm (1.5) đi", "w r s w f s w", "0ba 3bà 6đi"),
+        ("<con mèo> [: con chó] chạy .", "w w s s s w w", "0con 0chó 5chạy 6."),
+        ("mèoo [: mèo] [: mèo con] ngủ", "w s s s s s w", "0mèo 0con 6ngủ"),
+        ("một hai> [/] ba", "w r s w", "0một 3ba"),
+        ("[= cười [x] y] XXX, [: a]", "s s s w u s s", "3y]"),
+        ("đi [= nhanh quá] [//] chạy", "r s s s s w", "5chạy"),
+        ("<a b> (.) [/] a b", "r r s s w w", "4a 5b"),
+        ("[/] a &+uh &=x", "s w s s", "1a"),
+        ("một [: hai ba", "w s s s", "0hai 0ba"),
+    ],
+)
+def test_roles_and_words_of_tiers(spark, said, roles, words):
+    names = {"w": "word", "r": "retraced", "s": "skip", "f": "filler", "u": "untranscribed"}
+    t = tiers.tier_roles(spark.createDataFrame([("u", i, x) for i, x in enumerate(said.split())] + [("v", 0, "[/]")], "u string, tok_idx int, text string"), ["u"])
+    assert [r.tier_role for r in t.where("u = 'u'").orderBy("tok_idx").collect()] == [names[x] for x in roles.split()]
+    assert " ".join(f"{r.source}{r.surface}" for r in tiers.morphology_words(t, ["u"]).orderBy("source", "part").collect()) == words

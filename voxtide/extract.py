@@ -173,7 +173,7 @@ def acoustic_pack(docs: Documents, audio: DataFrame, who: DataFrame) -> DataFram
     s = conv.successive_variability(syl, KEY, ["utt_idx", "tok_idx"], "d", "time_syllable_duration").withColumnsRenamed({"time_syllable_duration_mean": "time_syllable_duration_mean_s", "time_syllable_duration_sd": "time_syllable_duration_sd_s"}).drop("time_syllable_duration_rpvi")
     quality = info.select("recording_id", "audio_duration_s", "audio_dc_offset", "audio_clipping_ratio", "audio_rms_dbfs")
     out = _join(who, [rows, conv.speech_segments(own, dur), conv.asof_latency(docs.utt), conv.island_overlap(docs.utt), conv.speech_rates(own, tok), conv.local_rate_max(own, tok), s])
-    return out.join(quality, "recording_id", "left").fillna(0.0, ["time_overlap_s"])
+    return out.join(quality, "recording_id", "left")
 
 
 def _shape(df: DataFrame, ids: Sequence[str], keys: Sequence[str]) -> DataFrame:

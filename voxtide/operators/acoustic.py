@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from voxtide.functions.exprs import count_if, cv, iqr, kurt, quantile, ratio, sd, skew
 from voxtide.operators import frames as fr
+from voxtide.operators.nonlinear import nonlinear
 from voxtide.session import materialise
 
 HOP_S = 0.01
@@ -76,7 +77,7 @@ def phonation(frames: DataFrame, duration: DataFrame) -> DataFrame:
     breaks = runs(frames, "pitched").where(~F.col("on") & F.col("inner") & (F.col("d") >= PAUSE_S)).groupBy(*KEY).agg(F.count("*").alias("voice_break_count"), F.sum("d").alias("break_s"))
     order = p.withColumn("t", F.col("region") * 1e6 + F.col("frame_idx")).withColumn("period", 1 / F.col("f0_hz"))
     out = duration.join(ratio_all, "path", "left")
-    for part in (f0, loud, tone, period, amp, breaks, fr.nonlinear(order, "path", "t", "period")):
+    for part in (f0, loud, tone, period, amp, breaks, nonlinear(order, "path", "t", "period")):
         out = out.join(materialise(part, "frames-part")[0], "path", "left")
     out = out.withColumn("voice_break_count", F.when(F.col("analysed_s") > 0, F.coalesce("voice_break_count", F.lit(0))))
     return out.withColumns({"voice_break_rate_per_min": ratio("voice_break_count", F.col("duration_s") / 60), "voice_break_proportion": ratio(F.coalesce("break_s", F.lit(0.0)), F.col("analysed_s"))}).drop("duration_s", "analysed_s", "break_s")

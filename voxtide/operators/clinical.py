@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtide.functions.exprs import count_if, ratio
 from voxtide.operators.annotations import binary, complete, consistent
@@ -10,30 +10,41 @@ from voxtide.operators.annotations import binary, complete, consistent
 KEY = ["recording_id", "speaker_id"]
 # Labels that the layers use.
 ERRORS = ("phonemic", "phonetic", "semantic", "visual", "morphological", "inflectional", "syntactic", "closed_class", "neologism", "perseveration", "circumlocution", "indefinite_term", "word_finding")
+CLAUSE_TYPES = ("main", "independent", "coordinate", "dependent", "embedded", "subordinate")
+SENTENCE_STATUSES = ("well_formed", "incomplete", "reduced")
+NO_LABEL = ("", "none", "null", "na", "n/a")
 PSYCHOLINGUISTIC = ("frequency", "log_frequency", "familiarity", "age_of_acquisition", "imageability", "concreteness")
 
 
+def label(c: str) -> Column:
+    """A label without regard to case and spaces at its ends; null where it says that there is none."""
+    x = F.lower(F.trim(F.col(c).cast("string")))
+    return F.when(~x.isin(list(NO_LABEL)), x)
+
+
 def units(words: DataFrame) -> DataFrame:
     """Sentences, T-units and clauses with words in each; null unless the layer is complete.
 
-    A clause is a (sentence, clause) pair; its type, and the status of a sentence, must agree inside it.
+    A clause is a (sentence, clause) pair; its type, and the status of a sentence, must agree inside it and be
+    among the known ones: an unknown type or status makes what counts them null, as does a missing one.
     """
+    words = words.withColumns({c: label(c) for c in ("sentence_id", "t_unit_id", "clause_id", "clause_type", "sentence_status")})
     s_ok, t_ok, c_ok = complete(F.col("sentence_id").isNotNull()), complete(F.col("t_unit_id").isNotNull()), complete(F.col("sentence_id").isNotNull() & F.col("clause_id").isNotNull())
     base = words.groupBy(*KEY).agg(
         F.count("*").alias("n"), F.when(s_ok, F.count_distinct("sentence_id")).alias("morph_sentence_count"), F.when(t_ok, F.count_distinct("t_unit_id")).alias("morph_t_unit_count"),
         F.when(c_ok, F.count_distinct("sentence_id", "clause_id")).alias("clauses"),
     )
-    typed = consistent(words, [*KEY, "sentence_id", "clause_id"], "clause_type").groupBy(*KEY).agg(
-        complete(F.col("one")).alias("ok"), count_if(F.col("clause_type") == "embedded").alias("embedded"), count_if(F.col("clause_type").isin("dependent", "embedded", "subordinate")).alias("dependent"), F.count("*").alias("m"),
+    typed = consistent(words.where("sentence_id is not null and clause_id is not null"), [*KEY, "sentence_id", "clause_id"], "clause_type").groupBy(*KEY).agg(
+        complete(F.col("one") & F.col("clause_type").isin(list(CLAUSE_TYPES))).alias("ok"), count_if(F.col("clause_type") == "embedded").alias("embedded"), count_if(F.col("clause_type").isin("dependent", "embedded", "subordinate")).alias("dependent"), F.count("*").alias("m"),
     )
     status = consistent(words, [*KEY, "sentence_id"], "sentence_status").groupBy(*KEY).agg(
-        complete(F.col("one")).alias("sok"), *(count_if(F.col("sentence_status") == s).alias(s) for s in ("well_formed", "incomplete", "reduced")), F.count("*").alias("k")
+        complete(F.col("one") & F.col("sentence_status").isin(list(SENTENCE_STATUSES))).alias("sok"), *(count_if(F.col("sentence_status") == s).alias(s) for s in SENTENCE_STATUSES), F.count("*").alias("k")
     )
-    j = base.join(typed, KEY).join(status, KEY)
+    j = base.join(typed, KEY, "left").join(status, KEY, "left")
     out = {
         "morph_words_per_sentence": ratio("n", "morph_sentence_count"), "morph_words_per_t_unit": ratio("n", "morph_t_unit_count"), "morph_words_per_clause": ratio("n", "clauses"),
-        "morph_clauses_per_sentence": ratio("clauses", "morph_sentence_count"), "morph_embedding_count": F.when(F.col("ok"), F.col("embedded")), "morph_dependent_clause_ratio": F.when(F.col("ok"), ratio("dependent", "m")),
-    } | {f"morph_{s}_sentence_ratio": F.when(F.col("sok"), ratio(s, "k")) for s in ("well_formed", "incomplete", "reduced")}
+        "morph_clauses_per_sentence": ratio("clauses", "morph_sentence_count"), "morph_embedding_count": F.when(F.col("ok") & F.col("clauses").isNotNull(), F.col("embedded")), "morph_dependent_clause_ratio": F.when(F.col("ok") & F.col("clauses").isNotNull(), ratio("dependent", "m")),
+    } | {f"morph_{s}_sentence_ratio": F.when(F.col("sok"), ratio(s, "k")) for s in SENTENCE_STATUSES}
     return j.select(*KEY, "morph_sentence_count", "morph_t_unit_count", *(e.alias(k) for k, e in out.items()))
 
 

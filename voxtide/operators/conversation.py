@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtide.functions.exprs import count_if, cv, iqr, quantile, ratio, sd
-from voxtide.operators.intervals import periods_and_gaps
+from voxtide.operators.intervals import meet, periods_and_gaps
 
 KEY = ["recording_id", "speaker_id"]
 
@@ -47,18 +47,11 @@ def union_lengths(iv: DataFrame, keys: list[str], start: str = "start_s", end: s
 
 
 def overlaps(utt: DataFrame, slice_s: float = 60.0) -> DataFrame:
-    """Every stretch that utterances of two speakers of a recording share: (recording_id, speaker_id, utt_idx, other, start_s, end_s).
-
-    Both sides meet in slices of time, so a recording is many keys; a pair is taken in the slice of its later start.
-    """
-    t = utt.where("end_s > start_s").select("recording_id", "speaker_id", "utt_idx", "start_s", "end_s")
-    t = t.withColumn("slice", F.explode(F.sequence(F.floor(F.col("start_s") / slice_s), F.floor(F.col("end_s") / slice_s))))
-    o = t.select("recording_id", "slice", F.col("speaker_id").alias("other"), F.col("start_s").alias("os"), F.col("end_s").alias("oe"))
-    a, b = F.greatest("start_s", "os"), F.least("end_s", "oe")
-    return (
-        t.join(o, ["recording_id", "slice"]).where((F.col("speaker_id") != F.col("other")) & (a < b) & (F.floor(a / slice_s) == F.col("slice")))
-        .select("recording_id", "speaker_id", "utt_idx", "other", a.alias("start_s"), b.alias("end_s"))
-    )
+    """Every stretch that utterances of two speakers of a recording share: (recording_id, speaker_id, utt_idx, other, start_s, end_s)."""
+    t = utt.select("recording_id", "speaker_id", "utt_idx", F.col("start_s").alias("s"), F.col("end_s").alias("e"))
+    o = utt.select("recording_id", F.col("speaker_id").alias("other"), F.col("start_s").alias("os"), F.col("end_s").alias("oe"))
+    met = meet(t, o, ["recording_id"], ("s", "e"), ("os", "oe"), slice_s).where("speaker_id <> other")
+    return met.select("recording_id", "speaker_id", "utt_idx", "other", F.col("lo").alias("start_s"), F.col("hi").alias("end_s"))
 
 
 def overlap_measures(utt: DataFrame) -> DataFrame:
@@ -70,11 +63,12 @@ def overlap_measures(utt: DataFrame) -> DataFrame:
 
 
 def island_overlap(utt: DataFrame) -> DataFrame:
-    """Sum of pairwise overlaps between a speaker's islands and the merged islands of all other speakers."""
+    """How long a speaker's islands and the merged islands of all others run together: 0 where they never do, null where nobody else speaks."""
     isl = periods_and_gaps(utt, KEY, "start_s", "end_s", bucket_width=600).where("kind = 'period'").select(*KEY, "start_s", "end_s")
-    isl = isl.withColumn("utt_idx", F.monotonically_increasing_id())
-    shared = overlaps(isl)
-    return union_lengths(shared, KEY).select(*KEY, F.col("length").alias("time_overlap_s"))
+    shared = union_lengths(overlaps(isl.withColumn("utt_idx", F.lit(0))), KEY).select(*KEY, "length")
+    others = utt.select(*KEY).distinct()
+    some = others.groupBy("recording_id").agg((F.count("*") > 1).alias("others"))
+    return others.join(some, "recording_id").join(shared, KEY, "left").select(*KEY, F.when(F.col("others"), F.coalesce("length", F.lit(0.0))).alias("time_overlap_s"))
 
 
 def speech_segments(utt: DataFrame, duration: DataFrame) -> DataFrame:

@@ -10,49 +10,46 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtide.functions.exprs import count_if, ratio
-from voxtide.operators.intervals import periods_and_gaps
+from voxtide.operators.intervals import meet, periods_and_gaps, shared_length
 
 #: Participants of a study are few; more rows than this are refused by the driver-side statistics.
 MAX_PARTICIPANTS = 100_000
 
 
-def token_edits(a: Sequence[str], b: Sequence[str]) -> int:
-    """Edit distance of two token lists, row by row; memory of the shorter one."""
-    if len(a) < len(b):
-        a, b = b, a
-    ids = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
-    y = np.array([ids[w] for w in b], np.int64)
-    row = np.arange(len(b) + 1)
-    steps = np.arange(1, len(b) + 1)
-    for i, w in enumerate(a, 1):
-        best = np.minimum(row[:-1] + (y != ids[w]), row[1:] + 1)
-        # Insertions run along the row: the running minimum of what is left after each step.
-        new = np.minimum.accumulate(np.append(i, best - steps)) + np.append(0, steps)
-        row = new
-    return int(row[-1])
+#: Tokens of a pair are numbered from here on and written as characters, of which there are so many.
+FIRST_CODE, CODES = 0x10000, 0x100000
+
+
+def token_edits(a: Column, b: Column) -> Column:
+    """Edit distance of two token lists: each distinct token becomes a character, and the texts of these are compared."""
+    known = F.array_distinct(F.concat(a, b))
+
+    def coded(x: Column) -> Column:
+        char = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) - 1 + FIRST_CODE), 8, "0")), "UTF-32")
+        return F.array_join(F.transform(x, char), "")
+
+    too_many = F.raise_error(F.lit(f"more than {CODES} different tokens in a pair of texts"))
+    return F.when(F.size(known) > CODES, too_many.cast("int")).otherwise(F.levenshtein(coded(a), coded(b))).cast("long")
 
 
 def edit_counts(pairs: DataFrame, gold: str, predicted: str, kinds: Sequence[str] = ("syer", "cer")) -> DataFrame:
-    """The pairs with edits and reference sizes: ``syer`` over white-space tokens, ``cer`` over characters without spaces.
+    """The pairs with edits and reference sizes: ``syer`` over white-space tokens, ``cer`` over characters without spaces,
+    ``wer`` over words, whose syllables are joined by ``_``.
 
+    For ``syer`` a word counts as its syllables, for ``cer`` the mark between them is no character.
     Null texts count as empty; whole texts are compared.
     """
-    schema = ", ".join(f"{k}_edits long, {k}_ref long" for k in kinds)
-
-    @F.pandas_udf(schema)
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for gs, ps in batches:
-            rows = []
-            for g, p in zip(gs, ps):
-                g, p = (g or "").split(), (p or "").split()
-                row = []
-                for k in kinds:
-                    a, b = (g, p) if k == "syer" else (list("".join(g)), list("".join(p)))
-                    row += [token_edits(a, b), len(a)]
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=[c for k in kinds for c in (f"{k}_edits", f"{k}_ref")])
-
-    return pairs.withColumn("__s", score(F.col(gold), F.col(predicted))).select("*", "__s.*").drop("__s")
+    split = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
+    syllables = lambda c: F.translate(F.coalesce(F.col(c), F.lit("")), "_", " ")
+    out = {}
+    for k in kinds:
+        if k == "cer":
+            g, p = (F.regexp_replace(syllables(c), r"\s+", "") for c in (gold, predicted))
+            out |= {"cer_edits": F.levenshtein(g, p).cast("long"), "cer_ref": F.char_length(g).cast("long")}
+        else:
+            g, p = (split(syllables(c) if k == "syer" else F.col(c)) for c in (gold, predicted))
+            out |= {f"{k}_edits": token_edits(g, p), f"{k}_ref": F.size(g).cast("long")}
+    return pairs.withColumns(out)
 
 
 def pooled_and_macro(sessions: DataFrame, participant: str, edits: str, ref: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -63,20 +60,18 @@ def pooled_and_macro(sessions: DataFrame, participant: str, edits: str, ref: str
 
 
 def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar: int = 250) -> DataFrame:
-    """Share of each recording's reference time, less a collar at both ends, that no hypothesis of the same speaker covers.
+    """Share of each recording's reference time, less a collar at both ends of each interval, that the hypothesis gives to another speaker or none.
 
-    Both sides: recording_id, speaker, start_ms, end_ms.  False alarms don't count and the rate is at most 1.  Union lengths
-    replace a range join: what is uncovered is the union of both sides less the union of the hypothesis alone.
+    Both sides: recording_id, speaker, start_ms, end_ms.  Each interval is matched by the sum of what it shares with every
+    hypothesis of its speaker, so overlapping hypotheses count twice, up to its length, and repeated rows count each time.
+    False alarms don't count and the rate is at most 1; it is 0 for a recording without reference time.
     """
     ref = reference.select("recording_id", "speaker", (F.col("start_ms") + collar).alias("start_ms"), (F.col("end_ms") - collar).alias("end_ms")).where("end_ms > start_ms")
-    k = ["recording_id", "speaker"]
-
-    def length(d: DataFrame, name: str) -> DataFrame:
-        return periods_and_gaps(d, k, "start_ms", "end_ms").where("kind = 'period'").groupBy(*k).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias(name))
-
-    hyp = hypothesis.select(*k, "start_ms", "end_ms")
-    j = length(ref, "ref").join(length(ref.unionByName(hyp), "both"), k).join(length(hyp, "hyp"), k, "left").fillna(0, ["hyp"])
-    return j.groupBy("recording_id").agg(F.sum("ref").alias("reference_ms"), F.sum(F.col("both") - F.col("hyp")).alias("uncovered_ms")).withColumn("der", F.least(F.lit(1.0), ratio("uncovered_ms", "reference_ms")))
+    each = shared_length(ref, hypothesis.select("recording_id", "speaker", "start_ms", "end_ms"), ["recording_id", "speaker"], "start_ms", "end_ms")
+    length = F.col("end_ms") - F.col("start_ms")
+    sums = each.groupBy("recording_id").agg(F.sum(F.col("n") * length).alias("reference_ms"), F.sum(F.col("n") * F.greatest(F.lit(0), length - F.col("shared"))).alias("uncovered_ms"))
+    out = reference.select("recording_id").union(hypothesis.select("recording_id")).distinct().join(sums, "recording_id", "left").fillna(0, ["reference_ms", "uncovered_ms"])
+    return out.withColumn("der", F.when(F.col("reference_ms") > 0, F.least(F.lit(1.0), ratio("uncovered_ms", "reference_ms"))).otherwise(0.0))
 
 
 def retention(reference: DataFrame, windows: DataFrame, slice_ms: int = 60_000) -> DataFrame:
@@ -85,13 +80,9 @@ def retention(reference: DataFrame, windows: DataFrame, slice_ms: int = 60_000)
     ``reference``: recording_id, start_ms, end_ms per utterance; ``windows`` likewise.  Utterances meet windows in time slices.
     """
     w = periods_and_gaps(windows, ["recording_id"], "start_ms", "end_ms").where("kind = 'period'").select("recording_id", F.col("start_ms").alias("ws"), F.col("end_ms").alias("we"))
-    cut = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / slice_ms), F.floor((F.col(e) - 1) / slice_ms)))
-    w = w.withColumn("slice", cut("ws", "we"))
 
     def covered(d: DataFrame, keys: list[str]) -> DataFrame:
-        d = d.withColumn("slice", cut("start_ms", "end_ms"))
-        lo, hi = F.greatest("start_ms", "ws", F.col("slice") * slice_ms), F.least("end_ms", "we", (F.col("slice") + 1) * slice_ms)
-        return d.join(w, ["recording_id", "slice"]).where(hi > lo).groupBy(*keys).agg(F.sum(hi - lo).alias("kept"))
+        return meet(d, w, ["recording_id"], ("start_ms", "end_ms"), ("ws", "we"), slice_ms).groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo")).alias("kept"))
 
     utt = reference.where("end_ms > start_ms").select("recording_id", "start_ms", "end_ms").distinct()
     merged = periods_and_gaps(utt, ["recording_id"], "start_ms", "end_ms").where("kind = 'period'").drop("kind")

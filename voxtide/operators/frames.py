@@ -1,11 +1,7 @@
-"""Measures over frames: spectral shape of power arrays, pitch and amplitude perturbation, and nonlinear kernels."""
+"""Measures over frames: spectral shape of power arrays, pitch and amplitude perturbation."""
 
 from __future__ import annotations
 
-
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtide.functions.exprs import iqr, quantile, ratio, sd
@@ -94,82 +90,3 @@ def pitch_summary(frames: DataFrame, keys: list[str], f0: str, time: str) -> Dat
         F.avg(f0).alias("voice_f0_mean_hz"), quantile(f0, 0.5).alias("voice_f0_median_hz"), sd(f0).alias("voice_f0_sd_hz"), iqr(f0).alias("voice_f0_iqr_hz"),
         (quantile(f0, 0.95) - quantile(f0, 0.05)).alias("voice_f0_range_5_95_hz"), F.regr_slope(f0, time).alias("voice_f0_slope_hz_per_s"), F.when(F.avg(f0) != 0, F.stddev_pop(f0) / F.avg(f0)).alias("voice_f0_cv"),
     )
-
-
-# --- kernels over the ordered series of one recording; a series is a recording's frames, bounded by its length ---
-
-
-def period_entropy(x: np.ndarray, bins: int = 32, least: int = 64) -> float | None:
-    """Entropy of the histogram of detrended log periods, over ln(bins)."""
-    x = np.log(x[x > 0])
-    if len(x) < least:
-        return None
-    t = np.arange(len(x))
-    r = x - np.polyval(np.polyfit(t, x, 1), t)
-    if r.max() - r.min() <= EPS:
-        return 0.0
-    h = np.histogram(r, bins=bins)[0] / len(r)
-    h = h[h > 0]
-    return float(-(h * np.log(h)).sum() / np.log(bins))
-
-
-def rpde(x: np.ndarray, most: int = 100, radius: float = 0.1) -> float | None:
-    """Entropy of how often the series comes back within ``radius`` deviations after each lag."""
-    n = min(most, len(x) // 2)
-    if n < 2 or x.std() <= EPS:
-        return None
-    c = np.array([(np.abs(x[k:] - x[:-k]) <= radius * x.std()).sum() for k in range(1, n + 1)], float)
-    if c.sum() == 0:
-        return None
-    p = c[c > 0] / c.sum()
-    return float(-(p * np.log(p)).sum() / np.log(n))
-
-
-def dfa(x: np.ndarray, sizes: tuple[int, ...] = (4, 8, 16, 32, 64)) -> float | None:
-    """Slope of log fluctuation on log box size of the detrended profile."""
-    y = np.cumsum(x - x.mean())
-    pts = []
-    for s in sizes:
-        m = len(y) // s
-        if m < 2:
-            continue
-        b = y[: m * s].reshape(m, s)
-        t = np.arange(s) - (s - 1) / 2
-        slope = (b * t).sum(1) / (t * t).sum()
-        r = b - b.mean(1, keepdims=True) - slope[:, None] * t
-        f = np.sqrt((r * r).mean())
-        if f > EPS:
-            pts.append((np.log(s), np.log(f)))
-    return float(np.polyfit(*zip(*pts), 1)[0]) if len(pts) >= 2 else None
-
-
-def correlation_dimension(x: np.ndarray, most_pairs: int = 1_000_000) -> float | None:
-    """Slope of log correlation sum on log radius of the delay-1 embedding; null beyond ``most_pairs`` pairs."""
-    e = np.column_stack([x[:-1], x[1:]])
-    n = len(e)
-    if n < 8 or n * (n - 1) // 2 > most_pairs:
-        return None
-    i, j = np.triu_indices(n, 1)
-    d = np.hypot(*(e[i] - e[j]).T)
-    lo, hi = np.percentile(d[d > 0], [10, 60]) if (d > 0).any() else (0, 0)
-    if lo <= 0 or hi <= lo:
-        return None
-    radii = np.geomspace(lo, hi, 8)
-    c = np.array([(d <= r).mean() for r in radii])
-    return float(np.polyfit(np.log(radii[c > 0]), np.log(c[c > 0]), 1)[0])
-
-
-KERNELS = {"voice_pitch_period_entropy": period_entropy, "voice_rpde": rpde, "voice_dfa": dfa, "voice_correlation_dimension": correlation_dimension}
-
-
-def nonlinear(frames: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Pitch-period entropy, recurrence entropy, detrended fluctuation and correlation dimension of each key's ordered series."""
-    kind = dict(frames.dtypes)[key]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].dropna().to_numpy(float)
-        return pd.DataFrame([{key: pdf[key].iloc[0], **{k: f(x) if len(x) > 3 else None for k, f in KERNELS.items()}}])
-
-    return frames.select(key, order, value).groupBy(key).applyInPandas(run, f"{key} {kind}, " + ", ".join(f"{k} double" for k in KERNELS))
-
-

@@ -108,3 +108,54 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, *
         ).alias("x"),
     )
     return rows.select(*(F.col(a).alias(k) for k, a in zip(keys, ks)), F.col("x.kind").alias("kind"), F.col("x.s").alias(start), F.col("x.e").alias(end))
+
+
+def shared_length(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str, bucket_width: int = 600_000) -> DataFrame:
+    """(keys, start, end, n, shared): each distinct interval of ``a``, how often it stands, and the sum of what it shares with each of ``b``.
+
+    What all intervals of ``b`` hold before a time is open * time - (sum of open starts), so both ends of an interval
+    need running sums only, and no pair is made.  Intervals of ``b`` count as often as they stand; those without
+    length, on either side, are left out.  Null keys meet null keys.
+    """
+    ks = list(keys)
+    q = a.where(F.col(end) > F.col(start)).groupBy(*ks, F.col(start).alias("__s"), F.col(end).alias("__e")).agg(F.count("*").alias("n"))
+    zero = F.col("__s") * 0
+    points = q.select(*ks, "__s", "__e", "n", F.explode(F.array(F.struct(F.col("__s").alias("t"), F.lit(-1).alias("sign")), F.struct(F.col("__e").alias("t"), F.lit(1).alias("sign")))).alias("x"), F.lit(0).cast("long").alias("open"), zero.alias("since"))
+    points = points.select(*ks, "__s", "__e", "n", "x.t", "x.sign", "open", "since")
+    ends = F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))
+    ev = b.where(F.col(end) > F.col(start)).select(*ks, F.explode(ends).alias("x")).groupBy(*ks, F.col("x.t").alias("t")).agg(F.sum("x.d").alias("open"), F.sum(F.col("x.d") * F.col("x.t")).alias("since"))
+    both = points.unionByName(ev, allowMissingColumns=True).withColumn("__b", F.floor(F.col("t") / bucket_width))
+    w = Window.partitionBy(*ks, "__b").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = carry_in(both, ks, "__b", {"__open": F.sum("open"), "__since": F.sum("since")})
+    held = (F.col("__open") + F.sum("open").over(w)) * F.col("t") - (F.col("__since") + F.sum("since").over(w))
+    return both.withColumn("held", held).where("sign is not null").groupBy(*ks, F.col("__s").alias(start), F.col("__e").alias(end), "n").agg(F.sum(F.col("sign") * F.col("held")).alias("shared"))
+
+
+def meet(a: DataFrame, b: DataFrame, keys: Sequence[str], a_ends: tuple[str, str], b_ends: tuple[str, str], width: float) -> DataFrame:
+    """All columns of both sides, and ``lo`` and ``hi``, for each pair of intervals with the same keys that share a stretch of time.
+
+    Both sides are laid into slices of time, of ``width`` or of the smallest doubling of it that is not
+    shorter than the interval, so even an interval with a wrong end lies in two slices at most.  A pair meets at
+    the level of its longer interval, in the slice of its later start.  Other columns' names must differ.
+    """
+    ks = list(keys)
+
+    def own(ends: tuple[str, str]) -> Column:
+        return F.greatest(F.lit(0), F.ceil(F.log2((F.col(ends[1]) - F.col(ends[0])) / F.lit(width)))).cast("int")
+
+    a, b = (x.where(F.col(e[1]) > F.col(e[0])).withColumn(n, own(e)) for x, e, n in ((a, a_ends, "__la"), (b, b_ends, "__lb")))
+    # At most one row for each doubling of time.
+    there = sorted(r[0] for r in a.select("__la").distinct().union(b.select("__lb").distinct()).distinct().collect())
+    if not there:
+        return a.join(b, ks).withColumns({"lo": F.col(a_ends[0]), "hi": F.col(a_ends[1])}).drop("__la", "__lb")
+
+    def laid(x: DataFrame, ends: tuple[str, str], level: str) -> DataFrame:
+        x = x.withColumn("__level", F.explode(F.array(*map(F.lit, there)))).where(F.col("__level") >= F.col(level))
+        size = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("__level"))
+        return x.withColumn("__slice", F.explode(F.sequence(F.floor(F.col(ends[0]) / size), F.floor(F.col(ends[1]) / size))))
+
+    lo, hi = F.greatest(a_ends[0], b_ends[0]), F.least(a_ends[1], b_ends[1])
+    size = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("__level"))
+    at = (F.col("__level") == F.greatest("__la", "__lb")) & (lo < hi) & (F.floor(lo / size) == F.col("__slice"))
+    j = laid(a, a_ends, "__la").join(laid(b, b_ends, "__lb"), [*ks, "__level", "__slice"]).where(at)
+    return j.withColumns({"lo": lo, "hi": hi}).drop("__la", "__lb", "__level", "__slice")

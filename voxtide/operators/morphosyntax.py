@@ -15,15 +15,15 @@ CONTENT = ("ADJ", "ADV", "NOUN", "PROPN", "VERB")
 FUNCTION = ("ADP", "AUX", "CCONJ", "DET", "PART", "PRON", "SCONJ")
 DEP_GROUPS = {
     "root": ("root",),
-    "subject": ("nsubj", "csubj", "nsubj:pass", "csubj:pass"),
-    "object": ("obj", "iobj", "dobj", "obl"),
-    "nominal_modifier": ("nmod", "amod", "nummod", "appos", "acl", "acl:relcl", "det", "clf"),
-    "adverbial_modifier": ("advmod", "advcl"),
-    "clausal_complement": ("ccomp", "xcomp"),
+    "subject": ("nsubj", "nsubj:pass", "csubj", "csubj:pass"),
+    "object": ("obj", "iobj"),
+    "nominal_modifier": ("amod", "nmod", "nmod:poss", "appos", "compound"),
+    "adverbial_modifier": ("advmod", "obl", "obl:agent", "dislocated"),
+    "clausal_complement": ("ccomp", "xcomp", "advcl", "acl", "acl:relcl"),
     "coordination": ("conj", "cc"),
-    "function": ("aux", "aux:pass", "cop", "mark", "case"),
+    "function": ("case", "mark", "det", "aux", "aux:pass", "cop", "clf"),
 }
-CLAUSE_HEADS = ("root", "csubj", "csubj:pass", "ccomp", "xcomp", "advcl", "acl", "acl:relcl", "parataxis")
+CLAUSE_HEADS = ("root", "ccomp", "xcomp", "advcl", "acl", "acl:relcl", "csubj", "csubj:pass")
 
 
 def tag_ratios(words: DataFrame) -> DataFrame:

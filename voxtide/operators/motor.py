@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from voxtide.functions.exprs import count_if, cv, quantile, ratio, sd
-from voxtide.operators.conversation import same_class_events
 
 KEY = ["recording_id"]
 
@@ -46,34 +45,49 @@ def consonants(seg: DataFrame, layers: dict[str, tuple[str, str]], keys: list[st
 
 
 def rhythm(seg: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """Share of vocalic time, and variability of merged vocalic and consonantal intervals."""
-    cls = F.when(F.col("segment_type") == "vowel", "v").when(F.col("segment_type").isin("consonant", "stop", "fricative"), "c")
-    ev = same_class_events(seg.withColumn("cls", cls).where("cls is not null"), keys, "cls", "start_s", "end_s", 1e-12).withColumn("d", F.col("end_s") - F.col("start_s"))
-    w = Window.partitionBy(*keys, "cls").orderBy("start_s", "end_s")
-    p = F.lag("d").over(w)
-    t = ev.withColumns({"a": F.abs(F.col("d") - p), "m": (F.col("d") + p) / 2})
+    """Share of vocalic time, and variability of vocalic and consonantal intervals.
+
+    Neighbouring segments of one class, in order of time, are one interval as long as all of them together; any other
+    segment ends it.  All is null unless every segment has a type and each interval's segments have positive lengths;
+    pairwise measures need two intervals of the class.
+    """
+    order = Window.partitionBy(*keys).orderBy("start_s", "token_id")
+    cls = F.when(F.col("segment_type") == "vowel", "v").when(F.col("segment_type").isin("consonant", "stop", "fricative"), "c").otherwise("-")
+    d = F.when(F.col("end_s") > F.col("start_s"), F.col("end_s") - F.col("start_s"))
+    t = seg.select(*keys, "start_s", "token_id", "segment_type", cls.alias("cls"), d.alias("d"))
+    ok = t.groupBy(*keys).agg(F.bool_and(F.col("segment_type").isNotNull() & (F.col("d").isNotNull() | (F.col("cls") == "-"))).alias("ok"))
+    t = t.withColumn("new", F.when(F.lag("cls").over(order) == F.col("cls"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    iv = t.where("cls <> '-'").groupBy(*keys, "run", "cls").agg(F.sum("d").alias("d"))
+    p = F.lag("d").over(Window.partitionBy(*keys, "cls").orderBy("run"))
+    iv = iv.withColumns({"a": F.abs(F.col("d") - p), "m": (F.col("d") + p) / 2}).join(ok.where("ok"), keys)
     out = []
     for c in "vc":
         here = F.col("cls") == c
-        x = F.when(here, F.col("d"))
-        out += [(100 * cv(x)).alias(f"rhythm_varco_{c}"), F.avg(F.when(here, F.col("a"))).alias(f"rhythm_rpvi_{c}"), (100 * F.avg(F.when(here & (F.col("m") > 0), F.col("a") / F.col("m")))).alias(f"rhythm_npvi_{c}")]
+        out += [(100 * cv(F.when(here, F.col("d")))).alias(f"rhythm_varco_{c}"), F.avg(F.when(here, F.col("a"))).alias(f"rhythm_rpvi_{c}"), (100 * F.avg(F.when(here, F.col("a") / F.col("m")))).alias(f"rhythm_npvi_{c}")]
     v = F.sum(F.when(F.col("cls") == "v", F.col("d")).otherwise(0.0))
-    return t.groupBy(*keys).agg((100 * ratio(v, F.sum("d"))).alias("rhythm_percent_vocalic"), *out)
+    return ok.select(*keys).join(iv.groupBy(*keys).agg((100 * ratio(v, F.sum("d"))).alias("rhythm_percent_vocalic"), *out), keys, "left")
 
 
 def syllable_train(tok: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """Rate, regularity, acceleration and decay of a train of syllables; ``tok``: start_s, end_s, segment_label, token_id."""
+    """Rate, regularity, acceleration and decay of a train of syllables; ``tok``: start_s, end_s, segment_label, token_id.
+
+    All is null unless there are two syllables at least, all with positive lengths, whose onsets rise strictly; instability and
+    acceleration need three, alternation a label on each.  The span runs from the first onset to the end of the last syllable.
+    """
+    order = F.struct("start_s", "token_id")
     w = Window.partitionBy(*keys).orderBy("start_s", "token_id")
     gap = F.lead("start_s").over(w) - F.col("start_s")
-    t = tok.where("end_s > start_s").withColumns({"g": gap, "mid": F.col("start_s") + gap / 2, "swap": F.when(F.lag("segment_label").over(w).isNotNull(), (F.lag("segment_label").over(w) != F.col("segment_label")).cast("int"))})
+    t = tok.withColumns({"g": gap, "mid": F.col("start_s") + gap / 2, "swap": (F.lead("segment_label").over(w) != F.col("segment_label")).cast("int")})
     t = t.withColumn("dg", F.abs(F.col("g") - F.lag("g").over(w)))
-    pos = F.when(F.col("g") > 0, F.col("g"))
-    return t.groupBy(*keys).agg(
-        ratio(F.count("*"), F.max("end_s") - F.min("start_s")).alias("task_ddk_rate_syllables_s"), F.avg("g").alias("task_ddk_inter_onset_mean_s"), quantile("g", 0.5).alias("task_ddk_inter_onset_median_s"), sd("g").alias("task_ddk_inter_onset_sd_s"),
-        cv("g").alias("task_ddk_inter_onset_cv"), F.avg("dg").alias("task_ddk_instability_s"), F.regr_slope(1 / pos, F.when(pos.isNotNull(), F.col("mid"))).alias("task_ddk_acceleration_syllables_s2"),
-        ratio(F.min_by("g", F.when(F.col("g").isNotNull(), F.struct("start_s", "token_id"))), F.max_by("g", F.when(F.col("g").isNotNull(), F.struct("start_s", "token_id")))).alias("task_ddk_decay_ratio"),
-        F.avg(F.col("end_s") - F.col("start_s")).alias("task_ddk_voiced_interval_mean_s"), F.avg("swap").alias("task_ddk_sequential_alternating_ratio"),
-    )
+    n, span = F.count("*"), F.max_by("end_s", order) - F.min("start_s")
+    ok = F.bool_and(F.coalesce(F.col("end_s") > F.col("start_s"), F.lit(False)) & F.coalesce(F.col("g") > 0, F.lit(True))) & (n >= 2) & (span > 0)
+    first, last = (f("g", F.when(F.col("g").isNotNull(), order)) for f in (F.min_by, F.max_by))
+    cols = {
+        "task_ddk_rate_syllables_s": ratio(n, span), "task_ddk_inter_onset_mean_s": F.avg("g"), "task_ddk_inter_onset_median_s": quantile("g", 0.5), "task_ddk_inter_onset_sd_s": F.stddev_pop("g"), "task_ddk_inter_onset_cv": cv("g"),
+        "task_ddk_instability_s": F.avg("dg"), "task_ddk_acceleration_syllables_s2": F.when(n >= 3, F.regr_slope(1 / F.when(F.col("g") > 0, F.col("g")), F.when(F.col("g") > 0, F.col("mid")))), "task_ddk_decay_ratio": ratio(first, last),
+        "task_ddk_voiced_interval_mean_s": F.avg(F.col("end_s") - F.col("start_s")), "task_ddk_sequential_alternating_ratio": F.when(F.count("segment_label") == n, F.avg("swap")),
+    }
+    return t.groupBy(*keys).agg(*(F.when(ok, e).alias(k) for k, e in cols.items()))
 
 
 def breath_groups(tok: DataFrame, keys: list[str] = KEY) -> DataFrame:

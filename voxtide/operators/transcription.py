@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from voxtide.functions.streams import each_group
-from voxtide.operators.intervals import periods_and_gaps
+from voxtide.operators.intervals import meet, periods_and_gaps
 
 LOOP = 8
 RETRACE = 4
@@ -23,12 +23,9 @@ def roles(turns: DataFrame) -> DataFrame:
 
 
 def overlap_argmax(spans: DataFrame, turns: DataFrame, slice_ms: int = 60_000) -> DataFrame:
-    """(id, cls, overlap_ms): the cluster whose turns overlap each span longest; spans and turns meet in slices of time."""
-    cut = F.explode(F.sequence(F.floor(F.col("start_ms") / slice_ms), F.floor((F.col("end_ms") - 1) / slice_ms))).alias("slice")
-    s = spans.where("end_ms > start_ms").select("recording_id", "id", "start_ms", "end_ms", cut)
-    t = turns.where("end_ms > start_ms").select("recording_id", "cls", "start_ms", "end_ms", cut).select("recording_id", "slice", "cls", F.col("start_ms").alias("ts"), F.col("end_ms").alias("te"))
-    lo, hi = F.greatest("start_ms", "ts", F.col("slice") * slice_ms), F.least("end_ms", "te", (F.col("slice") + 1) * slice_ms)
-    o = s.join(t, ["recording_id", "slice"]).where(hi > lo).groupBy("id", "cls").agg(F.sum(hi - lo).alias("overlap_ms"))
+    """(id, cls, overlap_ms): the cluster whose turns overlap each span longest (a tie goes to the smaller number)."""
+    t = turns.select("recording_id", "cls", F.col("start_ms").alias("ts"), F.col("end_ms").alias("te"))
+    o = meet(spans.select("recording_id", "id", "start_ms", "end_ms"), t, ["recording_id"], ("start_ms", "end_ms"), ("ts", "te"), slice_ms).groupBy("id", "cls").agg(F.sum(F.col("hi") - F.col("lo")).alias("overlap_ms"))
     return o.groupBy("id").agg(F.max_by("cls", F.struct("overlap_ms", -F.col("cls"))).alias("cls"), F.max("overlap_ms").alias("overlap_ms"))
 
 
@@ -93,11 +90,16 @@ def comma_cleanup(items: DataFrame, keys: Sequence[str], order: str, is_comma: s
     return items.withColumn("__keep", ~F.col(is_comma) | (before & ~double)).where("__keep").drop("__keep")
 
 
-def window_merge(windows: DataFrame, gap_ms: int = 700, pad_ms: int = 30, cap_ms: int = 20_000) -> DataFrame:
-    """Windows of speech joined over short gaps, padded and cut into pieces of at most ``cap_ms``."""
+def window_merge(windows: DataFrame, gap_ms: int = 700, pad_ms: int = 30, cap_ms: int = 20_000, sound: DataFrame | None = None) -> DataFrame:
+    """Windows of speech joined over short gaps, padded, kept within the sound and cut into pieces of at most ``cap_ms``.
+
+    ``sound``: (recording_id, sound_ms); a recording without one has no end.
+    """
     wide = windows.where("end_ms > start_ms").withColumn("end_ms", F.col("end_ms") + gap_ms)
     p = periods_and_gaps(wide, ["recording_id"], "start_ms", "end_ms").where("kind = 'period'")
     p = p.select("recording_id", F.greatest(F.lit(0), F.col("start_ms") - pad_ms).alias("s"), (F.col("end_ms") - gap_ms + pad_ms).alias("e"))
+    if sound is not None:
+        p = p.join(sound.groupBy("recording_id").agg(F.max("sound_ms").alias("sound_ms")), "recording_id", "left").withColumn("e", F.least("e", F.coalesce("sound_ms", "e"))).where("e > s")
     n = F.ceil((F.col("e") - F.col("s")) / cap_ms)
     c = p.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     return c.select("recording_id", (F.col("s") + F.col("i") * cap_ms).alias("start_ms"), F.least(F.col("e"), F.col("s") + (F.col("i") + 1) * cap_ms).alias("end_ms"))

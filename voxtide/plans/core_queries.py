@@ -29,26 +29,28 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 PROFILED = ("feature_recording", "feature_issue")
 
 _P2_VALUES = {
-    "feature_recording": ["speaker_id", "audio_duration_s", "audio_rms_dbfs", "audio_clipping_ratio", "time_speech_ratio", "time_words_per_min", "time_pause_mean_s", "time_long_pause_count", "voice_f0_mean_hz", "voice_jitter_local", "voice_hnr_mean_db", "lex_token_count", "lex_token_ttr"],
-    "feature_issue": ["speaker_id", "utterance_id", "feature", "code", "severity"],
+    "feature_recording": ["row_id", "recording_id", "speaker_id", "audio_duration_s", "audio_rms_dbfs", "audio_clipping_ratio", "time_speech_ratio", "time_words_per_min", "time_pause_mean_s", "time_long_pause_count", "voice_f0_mean_hz", "voice_jitter_local", "voice_hnr_mean_db", "lex_token_count", "lex_token_ttr"],
+    "feature_issue": ["issue_id", "recording_id", "speaker_id", "utterance_id", "feature", "code", "severity", "message"],
 }
-_P2_TEXT = {"speaker_id", "utterance_id", "feature", "code", "severity"}
+_P2_TEXT = {"recording_id", "speaker_id", "utterance_id", "feature", "code", "severity", "message"}
 _P2_CELLS = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, load_id, '{c}' AS column_name, {c if c in _P2_TEXT else 'NULL::VARCHAR'} AS s, {'NULL::DOUBLE' if c in _P2_TEXT else f"CASE WHEN {c}::VARCHAR <> 'nan' THEN {c}::DOUBLE END"} AS x FROM {t} WHERE load_id IS NOT NULL"
     for t, cs in _P2_VALUES.items()
     for c in cs
 )
+_P2_BEFORE = ("n_rows", "n_null", "n_distinct", "n_pattern", "n_range", "min_value", "max_value", "min_text", "max_text", "q1", "q2", "q3")
 _P2_FIGURES = f"""
 cells AS ({_P2_CELLS}),
 fig AS (
   SELECT c.table_name, c.load_id, c.column_name, count(*) AS n_rows,
          count(*) - count(s) - count(x) AS n_null, count(DISTINCT s) + count(DISTINCT x) AS n_distinct,
-         count(*) FILTER (WHERE s IS NOT NULL AND NOT regexp_full_match(s, r.value_pattern)) AS n_pattern,
+         count(*) FILTER (WHERE s IS NOT NULL AND r.value_pattern <> '' AND NOT regexp_full_match(s, r.value_pattern)) AS n_pattern,
          count(*) FILTER (WHERE x < r.min_value OR (x > r.max_value AND NOT isnan(r.max_value))) AS n_range,
          quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3,
-         any_value(r.value_pattern) IS NULL AS num
-  FROM cells c JOIN (SELECT DISTINCT * FROM column_rule) r USING (table_name, column_name)
-  GROUP BY ALL),
+         min(x) AS min_value, max(x) AS max_value, min(s) AS min_text, max(s) AS max_text,
+         c.column_name NOT IN ('recording_id', 'speaker_id', 'utterance_id', 'feature', 'code', 'severity', 'message') AS num, any_value(r.column_name) IS NOT NULL AS ruled
+  FROM cells c LEFT JOIN (SELECT DISTINCT * FROM column_rule) r USING (table_name, column_name)
+  GROUP BY c.table_name, c.load_id, c.column_name),
 runs AS (SELECT load_id, lag(load_id) OVER (PARTITION BY stream_name ORDER BY seq) AS prev_id FROM (SELECT DISTINCT load_id, stream_name, seq FROM load_run)),
 freq AS (SELECT table_name, load_id, column_name, s, count(*) AS n FROM cells WHERE s IS NOT NULL GROUP BY ALL),
 tv AS (
@@ -63,7 +65,7 @@ tv AS (
     JOIN fig g ON g.table_name = u.table_name AND g.load_id = r.prev_id AND g.column_name = u.column_name
     GROUP BY ALL) WHERE ma > 0 AND mb > 0 GROUP BY ALL),
 prof AS (
-  SELECT f.*, p.n_rows AS prev_n_rows, p.n_null AS prev_n_null, p.n_distinct AS prev_n_distinct, p.q1 AS prev_q1, p.q2 AS prev_q2, p.q3 AS prev_q3, tv.tv
+  SELECT f.*, {', '.join(f"p.{c} AS prev_{c}" for c in _P2_BEFORE)}, tv.tv
   FROM fig f LEFT JOIN runs r USING (load_id)
   LEFT JOIN fig p ON p.table_name = f.table_name AND p.column_name = f.column_name AND p.load_id = r.prev_id
   LEFT JOIN tv ON tv.table_name = f.table_name AND tv.column_name = f.column_name AND tv.load_id = f.load_id)
@@ -85,7 +87,7 @@ SELECT table_name, load_id, column_name, unnest(list_filter([
   CASE WHEN num AND abs(q2 - prev_q2) > least(q3 - q1, prev_q3 - prev_q1) THEN 'centre' END,
   CASE WHEN num AND (q3 - q1 < 0.5 * (prev_q3 - prev_q1) OR q3 - q1 > 2 * (prev_q3 - prev_q1)) THEN 'spread' END,
   CASE WHEN NOT num AND column_name <> 'utterance_id' AND tv > 0.25 + 1e-12 THEN 'mix' END], lambda v: v IS NOT NULL)) AS finding
-FROM prof""",
+FROM prof WHERE ruled""",
 )
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return profile.findings(_profiles(spark, d, False), no_mix=["utterance_id"])
@@ -94,11 +96,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "p2_profile",
     f"""WITH {_P2_FIGURES}
-SELECT table_name, load_id, column_name, n_rows, n_null, n_distinct, n_pattern, n_range,
-       round(q1, 9) AS q1, round(q2, 9) AS q2, round(q3, 9) AS q3, CASE WHEN NOT num THEN round(tv, 6) END AS tv FROM prof""",
+SELECT table_name, load_id, column_name, n_rows, n_null, n_distinct, n_pattern, n_range, min_value, max_value, min_text, max_text,
+       round(q1, 9) AS q1, round(q2, 9) AS q2, round(q3, 9) AS q3, CASE WHEN NOT num THEN round(tv, 6) END AS tv,
+       {', '.join(f"round(prev_{c}, 9) AS prev_{c}" if c in ("q1", "q2", "q3") else f"prev_{c}" for c in _P2_BEFORE)} FROM prof""",
 )
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Every column of the tables, ruled or not, with its range and the figures of the load before; the SQL has the ruled ones and no ranges."""
+    """Every column of the tables, ruled or not, with its range and the figures of the load before."""
     p = _profiles(spark, d, False, every=True)
     counts, ends, cuts = ["n_rows", "n_null", "n_distinct", "n_pattern", "n_range"], ["min_value", "max_value", "min_text", "max_text"], ["q1", "q2", "q3"]
     return p.select(
@@ -107,7 +110,18 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("p2_drift")
+@query(
+    "p2_drift",
+    f"""WITH {_P2_FIGURES},
+v AS (SELECT table_name, load_id, column_name, s, x, count(*) AS n FROM cells WHERE s IS NOT NULL OR x IS NOT NULL GROUP BY ALL),
+pr AS (SELECT f.table_name, f.load_id, f.column_name, f.num, p.load_id AS prev_id, f.n_rows - f.n_null AS ma, p.n_rows - p.n_null AS mb, p.q1 AS c1, p.q2 AS c2, p.q3 AS c3
+  FROM fig f JOIN runs r USING (load_id) JOIN fig p ON p.table_name = f.table_name AND p.column_name = f.column_name AND p.load_id = r.prev_id),
+cell AS (SELECT pr.table_name, pr.load_id, pr.column_name, ma, mb, CASE WHEN num THEN ((x > c1)::INT + (x > c2)::INT + (x > c3)::INT)::VARCHAR ELSE s END AS c,
+    sum(CASE WHEN v.load_id = pr.load_id THEN n ELSE 0 END) AS a, sum(CASE WHEN v.load_id = pr.prev_id THEN n ELSE 0 END) AS b
+  FROM pr JOIN v ON v.table_name = pr.table_name AND v.column_name = pr.column_name AND v.load_id IN (pr.load_id, pr.prev_id) WHERE ma > 0 AND mb > 0 GROUP BY ALL)
+SELECT table_name, load_id, column_name, round(sum((sqrt(mb / ma) * a - b / sqrt(mb / ma)) ** 2 / (a + b)), 6) AS chi2,
+  round(sum((greatest(a / ma, 1e-4) - greatest(b / mb, 1e-4)) * ln(greatest(a / ma, 1e-4) / greatest(b / mb, 1e-4))), 6) AS psi FROM cell GROUP BY ALL""",
+)
 def p2_drift(spark: SparkSession, d: str) -> DataFrame:
     """Chi-square and population stability index of every column against the load before."""
     return _profiles(spark, d, True, every=True).where("psi is not null").select("table_name", "load_id", "column_name", F.round("chi2", 6).alias("chi2"), F.round("psi", 6).alias("psi"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from voxtide.operators import evaluation as ev, frames as fr, transcription as tr
+from voxtide.operators.nonlinear import nonlinear
 from voxtide.plans.relations import TOK_SQL, UTT_SQL, tokens, utterances
 from voxtide.plans.speech_queries import _TURNS, KEY, clusters, rounded
 from voxtide.sources.tables import table
@@ -36,7 +37,15 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("edit_rates")
+@query(
+    "edit_rates",
+    f"""WITH RECURSIVE {_PAIR}, items AS (SELECT 'syer' AS kind, {KEY}, utt_idx, list_filter(g, lambda w: w <> '') AS g, list_filter(coalesce(p, []), lambda w: w <> '') AS p FROM pair
+  UNION ALL SELECT 'cer', {KEY}, utt_idx, list_filter(string_split(array_to_string(g, ''), ''), lambda c: c <> ''), list_filter(string_split(array_to_string(coalesce(p, []), ''), ''), lambda c: c <> '') FROM pair),
+dp AS (SELECT *, 0 AS i, range(len(p) + 1) AS r FROM items
+  UNION ALL
+  SELECT kind, {KEY}, utt_idx, g, p, i + 1, list_reduce(range(1, len(p) + 1), lambda acc, j: list_append(acc, least(acc[j] + 1, r[j + 1] + 1, r[j] + CASE WHEN g[i + 1] = p[j] THEN 0 ELSE 1 END)), [i + 1]) FROM dp WHERE i < len(g))
+SELECT {KEY}, {', '.join(f"sum(CASE WHEN kind = '{k}' THEN r[len(p) + 1] END)::BIGINT AS {k}_edits, sum(CASE WHEN kind = '{k}' THEN len(g) END)::BIGINT AS {k}_ref" for k in ('syer', 'cer'))} FROM dp WHERE i = len(g) GROUP BY ALL""",
+)
 def edit_rates(spark: SparkSession, d: str) -> DataFrame:
     """Token and character edits of every utterance, summed by speaker."""
     e = ev.edit_counts(_pairs(spark, d), "gold", "predicted")
@@ -68,10 +77,12 @@ hyp0 AS (SELECT recording_id, CASE cls WHEN 0 THEN 'PAR' ELSE 'INV' END AS speak
 
 @query(
     "der_collar",
-    f"""WITH {_DER}, rm AS ({_merged_sql('ref0', 'recording_id, speaker')}), hm AS ({_merged_sql('hyp0', 'recording_id, speaker')}),
-c AS (SELECT rm.recording_id, rm.speaker, sum(greatest(0, least(rm.e, hm.e) - greatest(rm.s, hm.s))) AS covered FROM rm JOIN hm ON rm.recording_id = hm.recording_id AND rm.speaker = hm.speaker AND hm.s < rm.e AND hm.e > rm.s GROUP BY ALL),
-t AS (SELECT recording_id, speaker, sum(e - s) AS total FROM rm GROUP BY ALL)
-SELECT recording_id, sum(total)::BIGINT AS reference_ms, sum(total - coalesce(covered, 0))::BIGINT AS uncovered_ms, round(least(1, sum(total - coalesce(covered, 0)) / sum(total)), 6) AS der FROM t LEFT JOIN c USING (recording_id, speaker) GROUP BY ALL""",
+    f"""WITH {_DER}, r AS (SELECT *, row_number() OVER () AS k FROM ref0 WHERE end_ms > start_ms),
+m AS (SELECT r.recording_id, r.k, any_value(r.end_ms - r.start_ms) AS total, coalesce(sum(CASE WHEN h.start_ms IS NOT NULL THEN greatest(0, least(r.end_ms, h.end_ms) - greatest(r.start_ms, h.start_ms)) END), 0) AS matched
+  FROM r LEFT JOIN hyp0 h ON h.recording_id = r.recording_id AND h.speaker = r.speaker AND h.start_ms < r.end_ms AND h.end_ms > r.start_ms GROUP BY ALL),
+s AS (SELECT recording_id, sum(total) AS total, sum(greatest(0, total - matched)) AS gone FROM m GROUP BY ALL),
+every AS (SELECT recording_id FROM utt WHERE start_s IS NOT NULL AND end_s IS NOT NULL UNION SELECT recording_id FROM hyp0)
+SELECT recording_id, coalesce(total, 0)::BIGINT AS reference_ms, coalesce(gone, 0)::BIGINT AS uncovered_ms, round(CASE WHEN total > 0 THEN least(1, gone / total) ELSE 0 END, 6) AS der FROM every LEFT JOIN s USING (recording_id)""",
 )
 def der_collar(spark: SparkSession, d: str) -> DataFrame:
     ms = lambda c: F.round(F.col(c) * 1000).cast("long")
@@ -382,15 +393,34 @@ def semitone_mad(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "pitch_summary",
     f"""WITH {_SER} SELECT user_id, round(avg(value), 6) AS voice_f0_mean_hz, round(quantile_cont(value, 0.5), 6) AS voice_f0_median_hz, round(CASE WHEN count(*) > 1 THEN stddev_pop(value) END, 6) AS voice_f0_sd_hz, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS voice_f0_iqr_hz,
-  round(quantile_cont(value, 0.95) - quantile_cont(value, 0.05), 6) AS voice_f0_range_5_95_hz, round(stddev_pop(value) / avg(value), 6) AS voice_f0_cv FROM s GROUP BY ALL""",
+  round(quantile_cont(value, 0.95) - quantile_cont(value, 0.05), 6) AS voice_f0_range_5_95_hz, round(stddev_pop(value) / avg(value), 6) AS voice_f0_cv, round(regr_slope(value, t - 1704067200), 9) AS voice_f0_slope_hz_per_s FROM s GROUP BY ALL""",
 )
 def pitch_summary(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(fr.pitch_summary(_series(spark, d), ["user_id"], "value", "t").drop("voice_f0_slope_hz_per_s"))
+    s = _series(spark, d).withColumn("t", F.col("t") - 1704067200)  # from the first day on, so that the slope keeps its digits
+    out = fr.pitch_summary(s, ["user_id"], "value", "t").withColumnRenamed("voice_f0_slope_hz_per_s", "slope")
+    return rounded(out.drop("slope")).join(out.select("user_id", F.round("slope", 9).alias("voice_f0_slope_hz_per_s")), "user_id")
 
 
-@query("nonlinear_voice")
+@query(
+    "nonlinear_voice",
+    f"""WITH {_SER}, p AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, avg(value) OVER (PARTITION BY user_id) AS mean, stddev_pop(value) OVER (PARTITION BY user_id) AS sd FROM s),
+x AS (SELECT * FROM p WHERE n >= 64),
+line AS (SELECT user_id, regr_slope(ln(v), i) AS b, regr_intercept(ln(v), i) AS a FROM x GROUP BY ALL), res AS (SELECT user_id, n, ln(v) - a - b * i AS r FROM x JOIN line USING (user_id)),
+cell AS (SELECT user_id, n, least(31, floor((r - min(r) OVER w) / (max(r) OVER w - min(r) OVER w) * 32)) AS c FROM res WINDOW w AS (PARTITION BY user_id)),
+ppe AS (SELECT user_id, sum(-k / n * ln(k / n)) / ln(32) AS e FROM (SELECT user_id, n, c, count(*) AS k FROM cell GROUP BY ALL) GROUP BY ALL),
+lag_ AS (SELECT a.user_id, a.n, b.i - a.i AS k, count(*) AS c FROM x a JOIN x b ON a.user_id = b.user_id AND b.i - a.i BETWEEN 1 AND least(100, a.n // 2) AND abs(b.v - a.v) <= 0.1 * a.sd GROUP BY ALL),
+rp AS (SELECT user_id, sum(-c / t * ln(c / t)) / ln(least(100, any_value(n) // 2)) AS e FROM (SELECT *, sum(c) OVER (PARTITION BY user_id) AS t FROM lag_) GROUP BY ALL),
+prof AS (SELECT user_id, i, n, sum(v - mean) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS y FROM x),
+box AS (SELECT user_id, size, i // size AS b, regr_syy(y, i) - regr_sxy(y, i) ** 2 / regr_sxx(y, i) AS rss FROM prof, (VALUES (4), (8), (16), (32), (64)) AS z(size) WHERE i < n // size * size GROUP BY ALL),
+df AS (SELECT user_id, regr_slope(ln(f), ln(size)) AS e FROM (SELECT user_id, size, sqrt(sum(rss) / (count(*) * size)) AS f FROM box GROUP BY user_id, size) GROUP BY ALL),
+emb AS (SELECT *, lead(v) OVER (PARTITION BY user_id ORDER BY i) AS v2 FROM x), dist AS (SELECT a.user_id, sqrt((a.v - b.v) ** 2 + (a.v2 - b.v2) ** 2) AS d FROM emb a JOIN emb b ON a.user_id = b.user_id AND a.i < b.i AND a.v2 IS NOT NULL AND b.v2 IS NOT NULL),
+pc AS (SELECT user_id, quantile_cont(d, 0.1) AS lo, quantile_cont(d, 0.6) AS hi, count(*) AS m FROM dist GROUP BY ALL), rad AS (SELECT user_id, lo * pow(hi / lo, k / 7) AS r, m FROM pc, generate_series(0, 7) AS g(k)),
+cs AS (SELECT rad.user_id, r, count(*) / any_value(m) AS c FROM rad JOIN dist ON dist.user_id = rad.user_id AND d <= r GROUP BY ALL), cd AS (SELECT user_id, regr_slope(ln(c), ln(r)) AS e FROM cs GROUP BY ALL)
+SELECT k.user_id, round(ppe.e, 6) AS voice_pitch_period_entropy, round(rp.e, 6) AS voice_rpde, round(df.e, 6) AS voice_dfa, round(cd.e, 6) AS voice_correlation_dimension
+FROM (SELECT DISTINCT user_id FROM s) k LEFT JOIN ppe USING (user_id) LEFT JOIN rp USING (user_id) LEFT JOIN df USING (user_id) LEFT JOIN cd USING (user_id)""",
+)
 def nonlinear_voice(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(fr.nonlinear(_series(spark, d), "user_id", "event_id", "value"))
+    return rounded(nonlinear(_series(spark, d), "user_id", "event_id", "value"))
 
 
 @query(
@@ -406,13 +436,16 @@ def f0_moments(spark: SparkSession, d: str) -> DataFrame:
 # Table utilities: the catalog, issues, targets and digests.
 
 
-def _catalog_values() -> str:
-    from voxtide import catalog
-
-    return ", ".join(f"('{f.key}', '{f.pack}', '{f.level}', '{f.domain}')" for f in catalog.features() if f.pack == "motor_neuro")
+# The articulation keys, spelled out here once more.
+_ARTICULATION = """
+  ('artic_consonant_duration_mean_s'), ('artic_consonant_duration_sd_s'), ('artic_f1_within_vowel_sd_hz'), ('artic_f2_within_vowel_sd_hz'),
+  ('artic_formant_centralization_ratio'), ('artic_formant_transition_slope_mean_hz_s'), ('artic_fricative_m1_mean'), ('artic_fricative_m2_mean'),
+  ('artic_fricative_m3_mean'), ('artic_fricative_m4_mean'), ('artic_resonance_attenuation_mean_db'), ('artic_stop_gap_mean_s'), ('artic_stop_gap_sd_s'),
+  ('artic_vot_mean_s'), ('artic_vot_sd_s'), ('artic_vowel_articulation_index'), ('artic_vowel_dispersion_mean_hz'), ('artic_vowel_dispersion_sd_hz'),
+  ('artic_vowel_space_area_hz2')"""
 
 
-@query("catalog_filter", f"SELECT * FROM (VALUES {_catalog_values()}) v(key, pack, level, domain) WHERE domain = 'articulation'")
+@query("catalog_filter", f"SELECT key, 'motor_neuro' AS pack, 'recording' AS level, 'articulation' AS domain FROM (VALUES {_ARTICULATION}) v(key)")
 def catalog_filter(spark: SparkSession, d: str) -> DataFrame:
     from voxtide import catalog
 

@@ -24,10 +24,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_TAGS = ", ".join(f"'{t}'" for t in morph.UPOS)
-_RELS = ("nsubj", "obj", "nmod", "advmod", "ccomp", "conj", "case", "xcomp", "discourse", "acl")
+# Fixed values, spelled out here once more so that the SQL doesn't read the operators' own.
+_UPOS = ("ADJ", "ADP", "ADV", "AUX", "CCONJ", "DET", "INTJ", "NOUN", "NUM", "PART", "PRON", "PROPN", "PUNCT", "SCONJ", "SYM", "VERB", "X")
+_TAGS = ", ".join(f"'{t}'" for t in _UPOS)
+_RELS = ("nsubj", "obj", "nmod", "advmod", "ccomp", "conj", "case", "xcomp", "discourse", "acl", "obl", "obl:agent", "dobj", "nummod", "det", "clf", "compound", "nmod:poss", "dislocated", "advcl", "parataxis", "csubj", "iobj")
 _REL_LIST = ", ".join(f"'{r}'" for r in _RELS)
-_ERR_LIST = ", ".join(f"'{e}'" for e in clinical.ERRORS)
+_ERRORS = ("phonemic", "phonetic", "semantic", "visual", "morphological", "inflectional", "syntactic", "closed_class", "neologism", "perseveration", "circumlocution", "indefinite_term", "word_finding")
+_ERR_LIST = ", ".join(f"'{e}'" for e in _ERRORS)
 
 # One derivation, in words that both engines know: every layer is a function of the token's id and place.
 _LAYERS = f"""
@@ -81,7 +84,7 @@ def _share(cond: str) -> str:
 
 @query(
     "upos_ratios",
-    f"""WITH {LAY_SQL} SELECT {KEY}, {', '.join(f"round({_share(f"upos = '{t}'")} / count(*), 6) AS morph_upos_{t.lower()}_ratio" for t in morph.UPOS)},
+    f"""WITH {LAY_SQL} SELECT {KEY}, {', '.join(f"round({_share(f"upos = '{t}'")} / count(*), 6) AS morph_upos_{t.lower()}_ratio" for t in _UPOS)},
   round({_share("upos IN ('ADJ','ADV','NOUN','PROPN','VERB')")} / count(*), 6) AS morph_content_word_ratio, round({_share("upos IN ('ADP','AUX','CCONJ','DET','PART','PRON','SCONJ')")} / count(*), 6) AS morph_function_word_ratio,
   round({_share("upos IN ('NOUN','PROPN')")} / nullif({_share("upos = 'VERB'")}, 0), 6) AS morph_noun_verb_ratio, round({_share("upos = 'PRON'")} / nullif({_share("upos IN ('NOUN','PROPN')")}, 0), 6) AS morph_pronoun_noun_ratio FROM rep GROUP BY ALL""",
 )
@@ -121,7 +124,10 @@ def _dependency_tokens(spark: SparkSession, d: str) -> DataFrame:
     return t.join(heads, ["recording_id", "token_id"], "left").fillna(False, ["is_word"])
 
 
-_GROUP = " ".join(f"WHEN rel IN ({', '.join(repr(r) for r in rs)}) THEN '{g}'" for g, rs in morph.DEP_GROUPS.items())
+_GROUP = """WHEN rel = 'root' THEN 'root' WHEN rel IN ('nsubj', 'nsubj:pass', 'csubj', 'csubj:pass') THEN 'subject' WHEN rel IN ('obj', 'iobj') THEN 'object'
+  WHEN rel IN ('amod', 'nmod', 'nmod:poss', 'appos', 'compound') THEN 'nominal_modifier' WHEN rel IN ('advmod', 'obl', 'obl:agent', 'dislocated') THEN 'adverbial_modifier'
+  WHEN rel IN ('ccomp', 'xcomp', 'advcl', 'acl', 'acl:relcl') THEN 'clausal_complement' WHEN rel IN ('conj', 'cc') THEN 'coordination' WHEN rel IN ('case', 'mark', 'det', 'aux', 'aux:pass', 'cop', 'clf') THEN 'function'"""
+_GROUPS = ("root", "subject", "object", "nominal_modifier", "adverbial_modifier", "clausal_complement", "coordination", "function", "other")
 
 
 @query(
@@ -134,9 +140,9 @@ dp AS (SELECT {KEY}, token_id, max(depth) AS depth FROM walk GROUP BY ALL),
 pos AS (SELECT recording_id, token_id, row_number() OVER (PARTITION BY {KEY}, utt_idx ORDER BY tok_idx) AS i FROM tok),
 e AS (SELECT d.*, CASE {_GROUP} ELSE 'other' END AS grp, dp.depth, abs(a.i - b.i) AS edge FROM dep d JOIN dp USING ({KEY}, token_id) JOIN pos a ON a.token_id = d.token_id AND a.recording_id = d.recording_id LEFT JOIN pos b ON b.token_id = d.head AND b.recording_id = d.recording_id),
 n AS (SELECT {KEY}, count(*) AS n_utt FROM utt GROUP BY ALL),
-c AS (SELECT {KEY}, count(*) AS n, {', '.join(f"{_share(f"grp = '{g}'")} AS {g}_n" for g in [*morph.DEP_GROUPS, 'other'])}, avg(edge) AS em, CASE WHEN count(edge) > 1 THEN stddev_pop(edge) END AS es, avg(depth) AS dm, max(depth)::BIGINT AS dx,
-  {_share("rel IN ('root','csubj','csubj:pass','ccomp','xcomp','advcl','acl','acl:relcl','parataxis')")} AS cl, {_share("rel IN ('csubj','csubj:pass','ccomp','xcomp','advcl','acl','acl:relcl','parataxis')")} AS sub FROM e GROUP BY ALL)
-SELECT {KEY}, {', '.join(f"round({g}_n / n, 6) AS morph_dep_{g}_ratio" for g in [*morph.DEP_GROUPS, 'other'])}, round(em, 6) AS morph_dependency_length_mean_tokens, round(es, 6) AS morph_dependency_length_sd_tokens, round(dm, 6) AS morph_tree_depth_mean, dx AS morph_tree_depth_max,
+c AS (SELECT {KEY}, count(*) AS n, {', '.join(f"{_share(f"grp = '{g}'")} AS {g}_n" for g in _GROUPS)}, avg(edge) AS em, CASE WHEN count(edge) > 1 THEN stddev_pop(edge) END AS es, avg(depth) AS dm, max(depth)::BIGINT AS dx,
+  {_share("rel IN ('root','csubj','csubj:pass','ccomp','xcomp','advcl','acl','acl:relcl')")} AS cl, {_share("rel IN ('csubj','csubj:pass','ccomp','xcomp','advcl','acl','acl:relcl')")} AS sub FROM e GROUP BY ALL)
+SELECT {KEY}, {', '.join(f"round({g}_n / n, 6) AS morph_dep_{g}_ratio" for g in _GROUPS)}, round(em, 6) AS morph_dependency_length_mean_tokens, round(es, 6) AS morph_dependency_length_sd_tokens, round(dm, 6) AS morph_tree_depth_mean, dx AS morph_tree_depth_max,
   cl AS morph_clause_count, sub AS morph_subordinate_clause_count, round(cl / n_utt, 6) AS morph_clause_rate_per_utterance, round(sub / nullif(cl, 0), 6) AS morph_subordination_ratio FROM c JOIN n USING ({KEY})""",
 )
 def dep_structure(spark: SparkSession, d: str) -> DataFrame:
@@ -210,7 +216,7 @@ def info_units(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "error_types",
-    f"""WITH {LAY_SQL} SELECT {KEY}, {', '.join(f"{_share(f"error_type = '{e}'")} AS disfluency_{e}_error_count, round({_share(f"error_type = '{e}'")} / nullif({_share("kind = 'word'")}, 0), 6) AS disfluency_{e}_error_ratio" for e in clinical.ERRORS)} FROM lay GROUP BY ALL""",
+    f"""WITH {LAY_SQL} SELECT {KEY}, {', '.join(f"{_share(f"error_type = '{e}'")} AS disfluency_{e}_error_count, round({_share(f"error_type = '{e}'")} / nullif({_share("kind = 'word'")}, 0), 6) AS disfluency_{e}_error_ratio" for e in _ERRORS)} FROM lay GROUP BY ALL""",
 )
 def error_types(spark: SparkSession, d: str) -> DataFrame:
     return rounded(clinical.errors(layered(spark, d)))
@@ -226,26 +232,28 @@ def _aliases(spark: SparkSession) -> DataFrame:
 
 
 _ALIAS_SQL = f"al(key, key_pos, alias) AS (VALUES {', '.join(f"('{k}', {CONCEPTS.index(k)}, '{a}')" for k, a in ALIASES)})"
-_ASCII = "norm = regexp_replace(norm, '[^a-z]', '', 'g') AND norm <> ''"
-_MATCH_SQL = f"""{TOK_SQL}, {_ALIAS_SQL}, v AS (SELECT DISTINCT norm FROM tok WHERE kind = 'word' AND {_ASCII}),
+_MATCH_SQL = f"""{TOK_SQL}, {_ALIAS_SQL}, v AS (SELECT DISTINCT norm FROM tok WHERE kind = 'word' AND norm <> ''),
 ex AS (SELECT norm, arg_min(key, key_pos) AS key FROM v JOIN al ON alias = norm GROUP BY 1),
-nr AS (SELECT norm, arg_min(key, key_pos) AS key FROM v, al WHERE norm NOT IN (SELECT norm FROM ex) AND 1 - levenshtein(norm, alias) / greatest(length(norm), length(alias)) >= 0.85 GROUP BY 1),
+dp AS (SELECT norm, alias, key, key_pos, string_split(norm, '') AS g, string_split(alias, '') AS p, 0 AS i, range(length(alias) + 1) AS r FROM v, al
+    WHERE norm NOT IN (SELECT norm FROM ex) AND least(length(norm), length(alias)) >= 0.85 * greatest(length(norm), length(alias))
+  UNION ALL SELECT norm, alias, key, key_pos, g, p, i + 1, list_reduce(range(1, len(p) + 1), lambda acc, j: list_append(acc, least(acc[j] + 1, r[j + 1] + 1, r[j] + CASE WHEN g[i + 1] = p[j] THEN 0 ELSE 1 END)), [i + 1]) FROM dp WHERE i < len(g)),
+nr AS (SELECT norm, arg_min(key, key_pos) AS key FROM dp WHERE i = len(g) AND 1 - r[len(p) + 1] / greatest(len(g), len(p)) >= 0.85 GROUP BY 1),
 m AS (SELECT * FROM ex UNION ALL SELECT * FROM nr)"""
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    """Words of any letters; the SQL of ``alias_match`` and ``picture_coverage`` has those of a to z only."""
+    """Words of any letters."""
     return tokens(spark, d).where("kind = 'word' and norm <> ''")
 
 
-@query("alias_match", f"WITH {_MATCH_SQL} SELECT norm, key FROM m")
+@query("alias_match", f"WITH RECURSIVE {_MATCH_SQL} SELECT norm, key FROM m")
 def alias_match(spark: SparkSession, d: str) -> DataFrame:
     return tasks.match_aliases(_words(spark, d), "norm", _aliases(spark))
 
 
 @query(
     "picture_coverage",
-    f"""WITH {_MATCH_SQL}, w AS (SELECT * FROM tok WHERE kind = 'word' AND {_ASCII}), n AS (SELECT {KEY}, count(*) AS n FROM w GROUP BY ALL), h AS (SELECT {KEY}, count(*) AS h, count(DISTINCT key) AS u FROM w JOIN m USING (norm) GROUP BY ALL)
+    f"""WITH RECURSIVE {_MATCH_SQL}, w AS (SELECT * FROM tok WHERE kind = 'word' AND norm <> ''), n AS (SELECT {KEY}, count(*) AS n FROM w GROUP BY ALL), h AS (SELECT {KEY}, count(*) AS h, count(DISTINCT key) AS u FROM w JOIN m USING (norm) GROUP BY ALL)
 SELECT {KEY}, round(coalesce(u, 0) / {len(CONCEPTS)}, 6) AS task_picture_concept_coverage, round(coalesce(u, 0) / n, 6) AS task_picture_concept_density, round((h - u) / h, 6) AS task_repeat_ratio FROM n LEFT JOIN h USING ({KEY})""",
 )
 def picture_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -254,7 +262,12 @@ def picture_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tasks.coverage(hits, w, len(CONCEPTS), "task_picture_concept"))
 
 
-@query("recall_order")
+@query(
+    "recall_order",
+    f"""WITH RECURSIVE {_MATCH_SQL}, f AS (SELECT {KEY}, key_pos, min(utt_idx * 1000000 + tok_idx) AS place FROM tok JOIN m USING (norm) JOIN (SELECT DISTINCT key, key_pos FROM al) USING (key) WHERE kind = 'word' GROUP BY ALL),
+lis AS (SELECT {KEY}, key_pos, place, 1 AS n FROM f UNION SELECT f.recording_id, f.speaker_id, f.key_pos, f.place, n + 1 FROM lis JOIN f ON f.recording_id = lis.recording_id AND f.speaker_id = lis.speaker_id AND f.place > lis.place AND f.key_pos > lis.key_pos)
+SELECT {KEY}, round(max(n) / {len(CONCEPTS)}, 6) AS task_recall_order_score FROM lis GROUP BY ALL""",
+)
 def recall_order(spark: SparkSession, d: str) -> DataFrame:
     w = _words(spark, d)
     keys = _aliases(spark).select("key", "key_pos").distinct()
@@ -336,17 +349,14 @@ def consonant_layers(spark: SparkSession, d: str) -> DataFrame:
     return rounded(motor.consonants(_segments(spark, d), {"artic_vot": ("stop", "vot_s"), "artic_fricative_m1": ("fricative", "spectral_moment_1")}), nudge=1e-9)
 
 
-_RH = "segment_type IN ('stop', 'fricative')"
-
-
 @query(
     "rhythm_varco_pvi",
-    f"""WITH {_SEG}, x AS (SELECT recording_id, start_s, end_s, CASE WHEN segment_type = 'vowel' THEN 'v' ELSE 'c' END AS cls FROM seg WHERE segment_type = 'vowel' OR {_RH}),
-n AS (SELECT *, CASE WHEN lag(cls) OVER w = cls AND start_s <= lag(end_s) OVER w + 1e-12 THEN 0 ELSE 1 END AS new FROM x WINDOW w AS (PARTITION BY recording_id ORDER BY start_s, end_s, cls)),
-e AS (SELECT recording_id, any_value(cls) AS cls, min(start_s) AS s, max(end_s) AS t FROM (SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY start_s, end_s, cls ROWS UNBOUNDED PRECEDING) AS run FROM n) GROUP BY recording_id, run),
-d AS (SELECT *, t - s AS d, lag(t - s) OVER (PARTITION BY recording_id, cls ORDER BY s, t) AS p FROM e)
-SELECT recording_id, round(100 * sum(CASE WHEN cls = 'v' THEN d ELSE 0 END) / sum(d), 6) AS rhythm_percent_vocalic,
-  {', '.join(f"round(100 * stddev_pop(d) FILTER (WHERE cls = '{c}') / avg(d) FILTER (WHERE cls = '{c}'), 6) AS rhythm_varco_{c}, round(avg(abs(d - p)) FILTER (WHERE cls = '{c}'), 6) AS rhythm_rpvi_{c}, round(100 * avg(abs(d - p) / ((d + p) / 2)) FILTER (WHERE cls = '{c}'), 6) AS rhythm_npvi_{c}" for c in 'vc')} FROM d GROUP BY ALL""",
+    f"""WITH {_SEG}, x AS (SELECT *, end_s - start_s AS len, CASE WHEN segment_type = 'vowel' THEN 'v' WHEN segment_type IN ('stop', 'fricative') THEN 'c' ELSE '-' END AS cls FROM seg),
+n AS (SELECT *, CASE WHEN lag(cls) OVER (PARTITION BY recording_id ORDER BY start_s, token_id) = cls THEN 0 ELSE 1 END AS new FROM x),
+e AS (SELECT recording_id, run, any_value(cls) AS cls, sum(len) AS d FROM (SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY start_s, token_id ROWS UNBOUNDED PRECEDING) AS run FROM n) WHERE cls <> '-' GROUP BY recording_id, run),
+d AS (SELECT *, lag(d) OVER (PARTITION BY recording_id, cls ORDER BY run) AS p FROM e)
+SELECT recording_id, r.* EXCLUDE (recording_id) FROM (SELECT DISTINCT recording_id FROM seg) LEFT JOIN (SELECT recording_id, round(100 * sum(CASE WHEN cls = 'v' THEN d ELSE 0 END) / sum(d), 6) AS rhythm_percent_vocalic,
+  {', '.join(f"round(100 * stddev_pop(d) FILTER (WHERE cls = '{c}') / avg(d) FILTER (WHERE cls = '{c}'), 6) AS rhythm_varco_{c}, round(avg(abs(d - p)) FILTER (WHERE cls = '{c}'), 6) AS rhythm_rpvi_{c}, round(100 * avg(abs(d - p) / ((d + p) / 2)) FILTER (WHERE cls = '{c}'), 6) AS rhythm_npvi_{c}" for c in 'vc')} FROM d GROUP BY ALL) r USING (recording_id)""",
 )
 def rhythm_varco_pvi(spark: SparkSession, d: str) -> DataFrame:
     return rounded(motor.rhythm(_segments(spark, d)))
@@ -354,12 +364,11 @@ def rhythm_varco_pvi(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "ddk_intervals",
-    f"""WITH {_SEG}, g AS (SELECT *, lead(start_s) OVER w - start_s AS g, lag(segment_label) OVER w AS pl FROM seg WINDOW w AS (PARTITION BY recording_id ORDER BY start_s, token_id)),
-h AS (SELECT *, abs(g - lag(g) OVER (PARTITION BY recording_id ORDER BY start_s, token_id)) AS dg FROM g)
-SELECT recording_id, round(count(*) / (max(end_s) - min(start_s)), 6) AS task_ddk_rate_syllables_s, round(avg(g), 6) AS task_ddk_inter_onset_mean_s, round(quantile_cont(g, 0.5), 6) AS task_ddk_inter_onset_median_s, round(CASE WHEN count(g) > 1 THEN stddev_pop(g) END, 6) AS task_ddk_inter_onset_sd_s,
-  round(CASE WHEN avg(g) <> 0 THEN stddev_pop(g) / avg(g) END, 6) AS task_ddk_inter_onset_cv, round(avg(dg), 6) AS task_ddk_instability_s, round(regr_slope(1 / g, start_s + g / 2) FILTER (WHERE g > 0), 6) AS task_ddk_acceleration_syllables_s2,
-  round(CASE WHEN arg_max(g, (start_s, token_id)) FILTER (WHERE g IS NOT NULL) <> 0 THEN arg_min(g, (start_s, token_id)) FILTER (WHERE g IS NOT NULL) / arg_max(g, (start_s, token_id)) FILTER (WHERE g IS NOT NULL) END, 6) AS task_ddk_decay_ratio,
-  round(avg(end_s - start_s), 6) AS task_ddk_voiced_interval_mean_s, round(avg(CASE WHEN pl IS NOT NULL THEN (pl <> segment_label)::INT END), 6) AS task_ddk_sequential_alternating_ratio FROM h GROUP BY ALL""",
+    f"""WITH {_SEG}, g AS (SELECT *, lead(start_s) OVER w - start_s AS g, lead(segment_label) OVER w AS nl, row_number() OVER w AS k, count(*) OVER (PARTITION BY recording_id) AS n FROM seg WINDOW w AS (PARTITION BY recording_id ORDER BY start_s, token_id)),
+h AS (SELECT *, abs(g - lag(g) OVER (PARTITION BY recording_id ORDER BY k)) AS dg FROM g),
+f AS (SELECT recording_id, any_value(n) AS n, max(end_s) FILTER (WHERE k = n) - min(start_s) AS span, avg(g) AS m, quantile_cont(g, 0.5) AS md, stddev_pop(g) AS sd, avg(dg) AS dg, regr_slope(1 / g, start_s + g / 2) FILTER (WHERE g > 0) AS acc,
+  max(g) FILTER (WHERE k = 1) AS g1, max(g) FILTER (WHERE k = n - 1) AS g2, avg(end_s - start_s) AS len, avg((nl <> segment_label)::INT) AS alt, coalesce(bool_and(g > 0), false) AS rising FROM h GROUP BY ALL)
+SELECT recording_id, {', '.join(f"CASE WHEN rising AND span > 0{c} THEN round({e}, 6) END AS task_ddk_{k}" for k, e, c in (("rate_syllables_s", "n / span", ""), ("inter_onset_mean_s", "m", ""), ("inter_onset_median_s", "md", ""), ("inter_onset_sd_s", "sd", ""), ("inter_onset_cv", "sd / m", ""), ("instability_s", "dg", ""), ("acceleration_syllables_s2", "acc", " AND n > 2"), ("decay_ratio", "g1 / g2", ""), ("voiced_interval_mean_s", "len", ""), ("sequential_alternating_ratio", "alt", "")))} FROM f""",
 )
 def ddk_intervals(spark: SparkSession, d: str) -> DataFrame:
     return rounded(motor.syllable_train(_segments(spark, d)))

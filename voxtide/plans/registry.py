@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from voxtide.plans import core_queries, eval_queries, layer_queries, speech_queries
+from voxtide.plans import core_queries, eval_queries, layer_queries, speech_queries, transcribe_queries
 
 
 def _modules() -> list:
-    return [core_queries, speech_queries, layer_queries, eval_queries]
+    return [core_queries, speech_queries, layer_queries, eval_queries, transcribe_queries]
 
 
 def queries() -> dict[str, Callable]:

@@ -267,13 +267,13 @@ def syllable_npvi(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "session_split_700ms",
-    f"""WITH {TOK_SQL}, w AS (SELECT recording_id, token_id, norm, round(start_s * 1000)::BIGINT AS s, round(end_s * 1000)::BIGINT AS e FROM tok WHERE start_s IS NOT NULL AND end_s IS NOT NULL),
-c AS (SELECT *, CASE WHEN lag(s) OVER q IS NULL OR s - lag(e) OVER q > 700 THEN 1 ELSE 0 END AS cut FROM w WINDOW q AS (PARTITION BY recording_id ORDER BY s, e, token_id)),
-r AS (SELECT *, sum(cut) OVER (PARTITION BY recording_id ORDER BY s, e, token_id ROWS UNBOUNDED PRECEDING) AS session_no FROM c)
+    """WITH w AS (SELECT DISTINCT recording_id, word_id, start_ms AS s, end_ms AS e FROM word_timing WHERE recording_id IS NOT NULL AND start_ms IS NOT NULL AND end_ms IS NOT NULL),
+c AS (SELECT *, CASE WHEN lag(s) OVER q IS NULL OR s - lag(e) OVER q > 700 THEN 1 ELSE 0 END AS cut FROM w WINDOW q AS (PARTITION BY recording_id ORDER BY s, e, word_id)),
+r AS (SELECT *, sum(cut) OVER (PARTITION BY recording_id ORDER BY s, e, word_id ROWS UNBOUNDED PRECEDING) AS session_no FROM c)
 SELECT recording_id, session_no::BIGINT AS session_no, count(*) AS words, min(s) AS start_ms, max(e) AS end_ms FROM r GROUP BY recording_id, session_no""",
 )
 def session_split_700ms(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions of all timed words, also those without a segment, which the SQL leaves out."""
+    """Sessions of all timed words, also those without a segment."""
     w = table(spark, d, "word_timing").where("recording_id is not null and start_ms is not null and end_ms is not null")
     w = w.select("recording_id", F.col("word_id").alias("token_id"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e")).distinct()
     return conv.sessions(w, ["recording_id"], "s", "e", 700, order=["token_id"]).groupBy("recording_id", "session_no").agg(F.count("*").alias("words"), F.min("s").alias("start_ms"), F.max("e").alias("end_ms"))

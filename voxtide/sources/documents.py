@@ -6,7 +6,6 @@ one bad file never stops a batch.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -14,10 +13,11 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from voxtide.sources.tiers import item_kind, tier_roles
+
 # Token kinds of both formats, and the language that documents may have.
 KINDS = ("word", "filler", "fragment", "noise", "retracing", "revision", "error")
 LANGUAGE = "vie"
-UNTRANSCRIBED = ("xxx", "yyy", "www")
 
 
 @dataclass
@@ -103,10 +103,12 @@ def read_json(files: DataFrame) -> Documents:
         "utterance ids must be unique and not empty": none(us, lambda u: u["id"].isNull() | (u["id"] == "")) | uniq(F.transform(us, lambda u: u["id"])),
         "utterance references unknown speaker": F.size(F.array_except(F.transform(us, lambda u: u["speaker_id"]), F.coalesce(F.transform(ss, lambda s: s["id"]), F.array().cast("array<string>")))) > 0,
         "utterance times must be finite and in order": none(us, lambda u: u["start_s"].isNull() | u["end_s"].isNull() | bad_num(u["start_s"]) | bad_num(u["end_s"]) | (u["end_s"] < u["start_s"])),
+        "token kind is unknown": F.exists(toks, lambda t: ~F.coalesce(t["kind"], F.lit("word")).isin(list(KINDS))),
         "token ids must be unique and not empty": F.exists(toks, lambda t: t["id"].isNull() | (t["id"] == "")) | uniq(F.transform(toks, lambda t: t["id"])),
         "token times outside utterance or out of order": none(us, lambda u: F.exists(F.coalesce(u["tokens"], F.array().cast(f"array<{_TOKEN}>")), lambda t: F.coalesce((t["start_s"] < u["start_s"]) | (t["end_s"] > u["end_s"]) | (t["end_s"] < t["start_s"]), F.lit(False)))),
         "token dep_head references unknown token": F.size(F.array_except(F.filter(F.transform(toks, lambda t: t["dep_head"]), lambda h: h.isNotNull()), F.transform(toks, lambda t: t["id"]))) > 0,
         "annotation confidence must be in [0, 1]": none(F.col("annotations"), lambda a: (a["confidence"] < 0) | (a["confidence"] > 1)),
+        "annotation references unknown token": none(F.col("annotations"), lambda a: F.size(F.array_except(F.map_keys(a["values"]), F.transform(toks, lambda t: t["id"]))) > 0),
         "annotation layer must be a non-empty string": none(F.col("annotations"), lambda a: a["layer"].isNull() | (a["layer"] == "")),
     }
     d = d.withColumn("message", _first_error(rules))
@@ -129,51 +131,6 @@ def read_json(files: DataFrame) -> Documents:
 # --- CHAT ---
 
 
-def token_roles(items: list[str]) -> list[str]:
-    """What dependent tiers make of each item of a main tier: word, filler, retraced, untranscribed or skip.
-
-    Annotations in brackets, pauses, events and fragments are skipped; [/] and [//] make the words before them
-    retraced: the last one, or the group in angle brackets that ends there.
-    """
-    roles, inside = [], False
-    for x in items:
-        if inside or x.startswith("["):
-            role, inside = "skip", not x.endswith("]")
-        elif re.fullmatch(r"\((?:\.{1,}|\d+(?:\.\d+)?)\)", x) or x[:2] in ("&=", "&+", "&~") or (x[:1] == "&" and x[:2] != "&-") or (len(x) > 1 and x[-1] == "-"):
-            role = "skip"
-        elif x[:2] == "&-":
-            role = "filler"
-        else:
-            role = "untranscribed" if x.strip(".,!?…").lower() in UNTRANSCRIBED else "word"
-        roles.append(role)
-    for mark in (k for k, x in enumerate(items) if x in ("[/]", "[//]")):
-        spoken = [k for k in range(mark) if roles[k] != "skip"]
-        if not spoken:
-            continue
-        last = first = spoken[-1]
-        if items[last].endswith(">"):
-            opened = [k for k in range(last + 1) if items[k].startswith("<")]
-            first = opened[-1] if opened else mark - 1
-        roles[first : last + 1] = ["retraced" if r == "word" else r for r in roles[first : last + 1]]
-    return roles
-
-
-def item_kind(c: Column) -> Column:
-    """The kind of an item of a main tier."""
-    return (
-        F.when(c.startswith("&="), "noise").when(c.startswith("&"), "filler").when(c.endswith("-") & (F.length(c) > 1), "fragment").when(c == "[/]", "retracing").when(c == "[//]", "revision").when(c == "[*]", "error").otherwise("word")
-    )
-
-
-def _roles(items: str) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield pd.Series([token_roles(list(a)) for a in b], dtype=object)
-
-    return run(F.col(items))
-
-
 def read_chat(files: DataFrame, require_timing: bool = True) -> Documents:
     """CHAT texts as relations, from (path, content): tiers are lines, told apart and put together by windows over line numbers.
 
@@ -206,9 +163,9 @@ def read_chat(files: DataFrame, require_timing: bool = True) -> Documents:
     ms = lambda g: F.nullif(F.regexp_extract("rest", bullet, g), F.lit("")).cast("double") / 1000
     main = main.join(xaud, ["recording_id", "utt_idx"], "left").withColumns({"start_s": F.coalesce(F.get("x", F.lit(0)).cast("double"), ms(1)), "end_s": F.coalesce(F.get("x", F.lit(1)).cast("double"), ms(2))})
     main = main.withColumn("items", F.filter(F.split(F.trim(F.regexp_replace("rest", bullet, " ")), r"\s+"), lambda x: x != ""))
-    main = main.withColumn("roles", _roles("items")).withColumn("utterance_id", F.format_string("u%04d", F.col("utt_idx") + 1))
-    tok = main.select("recording_id", "utt_idx", "utterance_id", "speaker_id", F.posexplode(F.arrays_zip(F.col("items").alias("text"), F.col("roles").alias("tier_role"))).alias("tok_idx", "t"))
-    tok = tok.select("recording_id", "utt_idx", "utterance_id", "speaker_id", "tok_idx", F.col("t.text").alias("text"), F.col("t.tier_role").alias("tier_role")).withColumn("token_id", F.format_string("%s_t%04d", "utterance_id", F.col("tok_idx") + 1)).withColumn("kind", item_kind(F.col("text")))
+    main = main.withColumn("utterance_id", F.format_string("u%04d", F.col("utt_idx") + 1))
+    tok = main.select("recording_id", "utt_idx", "utterance_id", "speaker_id", F.posexplode("items").alias("tok_idx", "text"))
+    tok = tier_roles(tok, ["recording_id", "utt_idx"]).drop("opened").withColumn("token_id", F.format_string("%s_t%04d", "utterance_id", F.col("tok_idx") + 1)).withColumn("kind", item_kind(F.col("text")))
 
     # Dependent tiers: the convention whose size fits, words alone or with fillers and retraced words, numbers the members.
     chunks = F.regexp_extract_all("rest", F.lit(r"\S+(?:\s+[\x15•]\d+_\d+[\x15•])?"), F.lit(0))
