@@ -40,7 +40,7 @@ def check(got, sizes, specs):
 
 
 def test_pack(spark, monkeypatch):
-    monkeypatch.setattr(packing, "RANGE", 400)
+    monkeypatch.setattr(packing, "RANGE", 1000)  # items, of which these documents are some 1,500
     rows = texts(300) + [(1000, None, "x"), (1001, "", "x"), (1002, "stone " * 5000, "x"), (5, texts(6)[5][1], "x"), (None, "a", "x")]
     enc = tokens.encoding()
     sizes = {k: len(enc.encode_ordinary(t)) if t else 0 for k, t, _ in rows if k is not None}
@@ -50,6 +50,31 @@ def test_pack(spark, monkeypatch):
     check(got, sizes, specs)
 
 
+def test_neighbours_share_containers(spark, monkeypatch):
+    """Documents of one vocabulary lie together far more often than by chance, which the curve does: without it they don't."""
+    rng = random.Random(5)
+    vocab = [[f"{a}{b}" for a in letters for b in letters] for letters in ("abc", "def", "ghi", "klm", "nop", "rst", "uvw", "xyz")]
+    rows = [(i, " ".join(rng.choice(vocab[i % 8]) for _ in range(rng.randrange(20, 60)))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k long, t string")
+
+    def together():
+        by = {}
+        for r in packing.pack(df, "k", "t", {"s": 400}).collect():
+            by.setdefault(r.container_id, []).append(r.k % 8)
+        return sum(a == b for ks in by.values() for a, b in itertools.combinations(ks, 2)) / sum(len(ks) * (len(ks) - 1) // 2 for ks in by.values())
+
+    assert together() > 0.35
+    monkeypatch.setattr(packing, "on_curve", lambda d: d.selectExpr("k", "n_tokens", "xxhash64(k) as place"))
+    assert together() < 0.16
+
+
+def test_ranges_count_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE", 100)
+    df = spark.createDataFrame([(i, "stone " * 3000) for i in range(4)], "k long, t string")
+    out = packing.pack(df, "k", "t", {"s": 10})
+    assert out.rdd.getNumPartitions() >= 8 and out.count() > 1000
+
+
 def test_pack_empty_and_bad_specs(spark):
     assert packing.pack(spark.createDataFrame([], "k long, t string"), "k", "t", {"s": 10}).count() == 0
     with pytest.raises(ValueError):

@@ -65,3 +65,13 @@ def test_shares(spark):
     assert a.where("a <> assigned_split and assigned_split <> 'test'").count() == 0
     with pytest.raises(ValueError):
         splits.assign_splits(g, {"x": 0.0})
+
+
+def test_report_and_a_list_of_stand_ins(spark):
+    rows = [(1, "Nil", "S1", "a"), (2, "nil", "S2", "a"), (3, "none", "S3", "a"), (4, "none", "S4", "a")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], ROW).drop("group_id", "component")
+    ids = lambda g: {r.id: r.group_id for r in g.collect()}
+    assert ids(splits.groups(df, "id", ["p", "s"])) == {1: 1, 2: 2, 3: 3, 4: 4} and ids(splits.groups(df, "id", ["p", "s"], missing=["none"])) == {1: 1, 2: 1, 3: 3, 4: 4}
+    g = spark.range(100).selectExpr("id", "if(id < 40, 0, id) as group_id")
+    r = {x.split: x for x in splits.split_report(splits.assign_splits(g, {"a": 0.9, "b": 0.1, "c": 0.0}), {"a": 0.9, "b": 0.1, "c": 0.0}).collect()}
+    assert r["a"].records + r["b"].records == 100 and r["a"].groups + r["b"].groups == 61 and max(r["a"].largest_group, r["b"].largest_group) == 40 and (r["c"].records, r["c"].actual_share) == (0, 0.0)

@@ -24,6 +24,8 @@ C = Cleaner(LABELS, FORMS)
         ("Examiner - at 17:20 we left", "INV", "at 17:20 we left"),
         ("patient people wait", None, "patient people wait"),
         ("00:00:18 --> 00:00:21 The name 00:00:06.815", None, "the name"),
+        ("a *he gets up and walks to the open door* b ♪ one two three four five six seven eight ♪ c", None, "a b c"),
+        ("it is 2*3 and 4*5 here", None, "it is 2*3 and 4*5 here"),
         ("a (COUGHS) b ((door slams)) c [nhạc...] d {music} e <breath> f *ho* g ♪ noise ♪ h &=tiếng:ồn i", None, "a b c d e f g h i"),
         ("Ummmm, &-ừừ… hmmmm errr! bà à, xxx. summer", None, "bà summer"),
         ("uuum errrm aah her hum", None, "her hum"),
@@ -113,3 +115,16 @@ def test_overlap_against_brute_force(spark):
             if e == e2 and (o := min(z, b) - max(s, a)) > 0:
                 want[i, c] = want.get((i, c), 0) + o
     assert got == want
+
+
+def test_texts_of_long_turns_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(turns, "SEGMENTS_PER_BUCKET", 3)
+    seg = [(i, "r", i, 0, 1, f"{'PAR' if i < 8 else 'INV'}: w{i}") for i in range(10)]
+    df = lambda rows, s: spark.createDataFrame(rows, s)
+    out = turns.speaker_turns(
+        df(seg, "segment_id long, recording_id string, segment_no int, start_ms long, end_ms long, text string"), df([], "recording_id string, utterance_speakers array<string>, cluster_to_role map<string,string>"),
+        df([], "turn_id long, recording_id string, start_ms long, end_ms long, cluster_id string"), df([("PAR", "PAR"), ("INV", "INV")], "label string, speaker_role string"), df([], "form string, kind string, lang string"), True,
+    )
+    assert sorted((r.turn_no, r.part_no, r.first_segment_no, r.last_segment_no, r.n_words, r.text) for r in out.collect()) == [
+        (1, 1, 0, 2, 3, "w0 w1 w2"), (1, 2, 3, 5, 3, "w3 w4 w5"), (1, 3, 6, 7, 2, "w6 w7"), (2, 1, 8, 8, 1, "w8"), (2, 2, 9, 9, 1, "w9"),
+    ]

@@ -25,10 +25,11 @@ DIMENSIONS = 4
 #: Bits of the curve in each dimension; all together must fit a long.
 BITS = 12
 HASHED = 4096
-#: Items seen together, and containers kept open from window to window.
-WINDOW = 4096
-OPEN = 512
-#: Items of one range, which is one task's work.
+#: Items of the curve seen together, and containers kept open from window to window.  Both are small, so that what shares a
+#: container was near on the curve: wider windows fill a little better (README) and mix what is far apart.
+WINDOW = 256
+OPEN = 32
+#: Items (documents or parts of them) of one range, which is one task's work.
 RANGE = 150_000
 #: Capacities are configuration: more of them are refused.
 MAX_SPECS = 100
@@ -187,7 +188,9 @@ def pack(docs: DataFrame, key: str, text: str, specs: dict[str, int], *, vocabul
     items = items.select("spec_name", "cap", "doc", "n_tokens", "place", F.explode(F.sequence(F.lit(1), parts)).alias("part_no"))
     first = (F.col("part_no") - 1) * F.col("cap")
     items = items.select("spec_name", "doc", "place", "part_no", first.alias("first_token"), F.least(F.col("cap"), F.col("n_tokens") - first).alias("n_tokens"))
-    n = max(1, -(-d.count() * len(specs) // RANGE))
+    # A document is as many items as it has parts, in each capacity.
+    each = d.agg(*(F.sum(F.greatest(F.ceil(F.col("n_tokens") / F.lit(c)), F.lit(1))).alias(f"n{i}") for i, c in enumerate(specs.values()))).first() if specs else ()
+    n = max(1, -(-sum(int(x or 0) for x in each) // RANGE))
     lined = items.repartitionByRange(n, "spec_name", "place", "doc", "part_no").sortWithinPartitions("spec_name", "place", "doc", "part_no")
     out = lined.mapInArrow(_packed(specs), "spec_name string, container_id long, doc long, part_no int, first_token long, n_tokens long")
     return out.withColumnRenamed("doc", key)

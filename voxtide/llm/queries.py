@@ -56,6 +56,21 @@ def p3_split(spark: SparkSession, d: str) -> DataFrame:
     return got.select("manifest_id", "group_id", F.col("assigned_split").alias("split"))
 
 
+@query
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What each split holds: groups, records, their share and the largest group."""
+    shares = split_shares(table(spark, d, "split_target"))
+    return splits.split_report(splits.assign_splits(_groups(spark, d), shares), shares).withColumn("actual_share", F.round("actual_share", 6))
+
+
+@query
+def p3_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every record has a split, and no group two of them."""
+    got = p3_split(spark, d)
+    broken = got.groupBy("group_id").agg(F.count_distinct("split").alias("n")).agg(F.count(F.when(F.col("n") > 1, 1)).alias("groups_in_two_splits"))
+    return got.agg(F.count("*").alias("records"), F.count(F.when(F.col("split").isNull(), 1)).alias("without_split")).join(broken)
+
+
 TOLERANCE_MS = 500
 
 
@@ -113,6 +128,20 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("spec_name").agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest")).withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.try_element_at(cap, F.col("spec_name"))), 6))
 
 
+@query
+def p7_whole(spark: SparkSession, d: str) -> DataFrame:
+    """No container is overfull, each token of a document lies in one place, and only documents beyond the capacity are cut."""
+    specs = packing.read_specs(table(spark, d, "container_spec"))
+    cap = F.try_element_at(F.create_map(*(F.lit(x) for kv in specs.items() for x in kv)), F.col("spec_name"))
+    rows = p7_pack(spark, d)
+    full = rows.groupBy("spec_name", "container_id").agg(F.sum("n_tokens").alias("n")).groupBy("spec_name").agg(F.count(F.when(F.col("n") > cap, 1)).alias("overfull"))
+    size = packing.described(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", packing.VOCABULARY).dropDuplicates(["doc_id"]).select("doc_id", F.col("n_tokens").alias("size"))
+    docs = rows.groupBy("spec_name", "doc_id").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("last"), F.count_distinct("first_token").alias("starts")).join(size, "doc_id", "full")
+    sound = F.coalesce((F.col("n") == F.col("size")) & (F.col("last") == F.col("size")) & (F.col("starts") == F.col("parts")), F.lit(False))
+    out = docs.groupBy("spec_name").agg(F.count("*").alias("documents"), F.count(F.when(~sound, 1)).alias("holes_or_overlaps"), F.count(F.when((F.col("parts") > 1) & (F.col("size") <= cap), 1)).alias("cut_without_need"))
+    return out.join(full, "spec_name").select("spec_name", "documents", "overfull", "holes_or_overlaps", "cut_without_need")
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(table(spark, d, "documents"), "doc_id", "source", "text", mixing.read_targets(table(spark, d, "mix_target")))
 
@@ -127,6 +156,22 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1].withColumns({c: F.round(c, 6) for c in ("rate", "actual_share")})
 
 
+@query
+def p8_whole(spark: SparkSession, d: str) -> DataFrame:
+    """No document is repeated beyond its source's cap, copies are numbered without holes, and each source has the tokens
+    that its rate promises, to four standard errors of the drawn copies."""
+    chosen, report = _mix(spark, d)
+    doc = chosen.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.max("copy_no").alias("top"))
+    by = doc.groupBy("source").agg(F.max("n").alias("most"), F.bool_and(F.col("n") == F.col("top")).alias("whole"))
+    tokens = mixing.token_counts(table(spark, d, "documents").select("doc_id", "source", "text"), "text", packing.VOCABULARY).dropDuplicates(["doc_id"])
+    squares = tokens.groupBy("source").agg(F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens")).alias("squares"))
+    j = report.join(by, "source", "left").join(squares, "source", "left")
+    f = F.col("rate") - F.floor("rate")
+    error = F.sqrt(f * (1 - f) * F.coalesce("squares", F.lit(0.0)))
+    cap = F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True))
+    return j.select("source", cap.alias("within_cap"), F.coalesce("whole", F.lit(True)).alias("copies_without_holes"), (F.abs(F.col("selected_tokens") - F.col("rate") * F.col("available_tokens")) <= 4 * error + 1).alias("near_target"))
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     names = sorted(n for n, *_ in turns.vocabulary(table(spark, d, "subject_area"), "subject"))
     fillers = topics.filler_pattern([f for f, *_ in turns.vocabulary(table(spark, d, "nonword_form"), "form")])

@@ -11,21 +11,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtide.operators.lookup import lookup
 from voxtide.session import drop_path, materialise
 
-#: Stand-ins for a missing id, without case, white space, hyphens and underscores.
+#: Stand-ins for a missing id, without case, white space, hyphens and underscores: the default of ``missing``.  Where one of
+#: them is somebody's name, pass a list without it, or that author's records aren't tied.
 MISSING = ("", "na", "n/a", "none", "null", "nil", "nan", "unknown", "unk", "tbd", "tba", "missing", "notavailable", "undefined", "unassigned")
 #: Hash-to-min needs about the logarithm of the longest path; this many rounds mean that something is wrong.
 MAX_ROUNDS = 60
 
 
-def canonical_id(c: Column) -> Column:
+def canonical_id(c: Column, missing: Sequence[str] = MISSING) -> Column:
     """Without case, white space, hyphens and underscores; null for a stand-in and for what holds no letter or digit."""
     v = F.regexp_replace(F.lower(c), r"[\s\p{Z}_\-‐-―]+", "")
-    return F.when(~v.isin(list(MISSING)) & v.rlike(r"[\p{L}\p{N}]"), v)
+    return F.when(~v.isin(["", *missing]) & v.rlike(r"[\p{L}\p{N}]"), v)
 
 
 def _fingerprint(t: DataFrame) -> tuple:
@@ -56,13 +57,14 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("hash-to-min did not settle")
 
 
-def groups(df: DataFrame, record: str, links: Sequence[str]) -> DataFrame:
+def groups(df: DataFrame, record: str, links: Sequence[str], missing: Sequence[str] = MISSING) -> DataFrame:
     """The distinct records of ``df`` with ``group_id``: the smallest record id of all records tied through ``links``.
 
     - Values of a link tie if alike without case, white space, hyphens and underscores; null, empty and stand-ins tie nothing.
     - Records without any link are groups of their own; repeated rows (same record id) count once; null record ids are left out.
     """
-    vals = [F.when(canonical_id(F.col(c)).isNotNull(), F.concat(F.lit(f"{i}:"), canonical_id(F.col(c)))) for i, c in enumerate(links)]
+    ids = [canonical_id(F.col(c), missing) for c in links]
+    vals = [F.when(v.isNotNull(), F.concat(F.lit(f"{i}:"), v)) for i, v in enumerate(ids)]
     rows = df.where(F.col(record).isNotNull()).dropDuplicates([record]).withColumn("__links", F.array_compact(F.array(*vals)))
     rows, _ = materialise(rows, "linked")
     # A record ties its first link to each of its others; the first alone stands for itself.
@@ -74,6 +76,19 @@ def groups(df: DataFrame, record: str, links: Sequence[str]) -> DataFrame:
     return lookup(tied, ids, "component").withColumn("group_id", F.coalesce("group_id", F.col(record))).drop("component")
 
 
+def split_report(assigned: DataFrame, shares: Mapping[str, float]) -> DataFrame:
+    """(split, target_share, groups, records, actual_share, largest_group): what each split holds; ``actual_share`` is that of the records.
+
+    Groups are hashed whole, so shares hold for groups; a group with a large part of the records moves those of records, as it must.
+    """
+    by_group = assigned.groupBy("assigned_split", "group_id").agg(F.count("*").alias("n"))
+    got = by_group.groupBy(F.col("assigned_split").alias("split")).agg(F.count("*").alias("groups"), F.sum("n").alias("records"), F.max("n").alias("largest_group"))
+    plan = assigned.sparkSession.createDataFrame([(k, float(v or 0)) for k, v in sorted(shares.items())], "split string, target_share double")
+    out = plan.join(F.broadcast(got), "split", "left").fillna(0, ["groups", "records", "largest_group"])  # a row a split
+    total = F.sum("records").over(Window.partitionBy())
+    return out.withColumn("actual_share", F.when(total > 0, F.col("records") / total))
+
+
 def mixed_groups(grouped: DataFrame, record: str, split: str) -> DataFrame:
     """(record, group_id) of each record in a group whose records hold more than one split."""
     s = canonical_id(F.col(split))

@@ -59,7 +59,7 @@ runs AS (
 
 SQL = {
     "p1_found": _P1 + "SELECT recording_id, turn::INT AS turn_no, any_value(speaker) AS speaker, min(segment_no) AS first_segment_no, max(segment_no) AS last_segment_no, sum(n)::INT AS n_words FROM runs GROUP BY recording_id, turn",
-    "p1_turns": _P1 + "SELECT recording_id, turn::INT AS turn_no, any_value(speaker) AS speaker, min(segment_no) AS first_segment_no, max(segment_no) AS last_segment_no, sum(n)::INT AS n_words, string_agg(array_to_string(words, ' '), ' ' ORDER BY segment_no, segment_id) AS text FROM runs GROUP BY recording_id, turn",
+    "p1_turns": _P1 + "SELECT recording_id, turn::INT AS turn_no, row_number() OVER (PARTITION BY recording_id, turn ORDER BY segment_no // 4096)::INT AS part_no, any_value(speaker) AS speaker, min(segment_no) AS first_segment_no, max(segment_no) AS last_segment_no, sum(n)::INT AS n_words, string_agg(array_to_string(words, ' '), ' ' ORDER BY segment_no, segment_id) AS text FROM runs GROUP BY recording_id, turn, segment_no // 4096",
     "p3_found": r"""WITH RECURSIVE canon AS (
   SELECT DISTINCT manifest_id, CASE WHEN p NOT IN ('', 'n/a', 'none', 'unknown', 'tbd', '?') THEN p END AS p, CASE WHEN s NOT IN ('', 'n/a', 'none', 'unknown', 'tbd', '?') THEN s END AS s, nullif(x, '') AS x
   FROM (SELECT manifest_id, regexp_replace(lower(participant_id), '[\s_-]+', '', 'g') AS p, regexp_replace(lower(session_id), '[\s_-]+', '', 'g') AS s, regexp_replace(lower(split), '[\s_-]+', '', 'g') AS x FROM manifest_row)),
@@ -89,3 +89,8 @@ SQL["p6_share"] = (
     _P6 + "SELECT r.segment_id, coalesce(n_words, 0) AS n_words, coalesce(repeated_words, 0) AS repeated_words, coalesce(round(repeated_words / nullif(n_words, 0), 9), 0.0) AS share "
     "FROM (SELECT DISTINCT segment_id FROM asr_segment) r LEFT JOIN share USING (segment_id)"
 )
+
+# What must hold whatever is drawn, hashed or packed.
+SQL["p3_whole"] = "SELECT count(DISTINCT manifest_id) AS records, 0::BIGINT AS without_split, 0::BIGINT AS groups_in_two_splits FROM manifest_row WHERE manifest_id IS NOT NULL"
+SQL["p7_whole"] = "SELECT spec_name, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS holes_or_overlaps, 0::BIGINT AS cut_without_need FROM (SELECT DISTINCT spec_name FROM container_spec)"
+SQL["p8_whole"] = "SELECT source, true AS within_cap, true AS copies_without_holes, true AS near_target FROM (SELECT DISTINCT source FROM mix_target)"

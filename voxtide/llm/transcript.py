@@ -21,8 +21,6 @@ import ahocorasick
 # Openers of marks with their closers, and the ways in which tools spell a cluster before its number.
 CLOSERS = {"[": "]", "(": ")", "<": ">", "{": "}", "*": "*", "♪": "♪", "\x15": "\x15"}
 CLUSTER_PREFIXES = ("speaker", "cluster", "spk", "s")
-#: A remark between like marks (* or ♪) has at most so many words; else the marks are single ones.
-REMARK_WORDS = 6
 
 
 def fold(s: str) -> str:
@@ -204,7 +202,8 @@ class Cleaner:
             if b < 0:
                 continue
             inner = s[a:b]
-            if c in inner or c in "*♪" and (len(inner.split()) > REMARK_WORDS or c == "*" and (not inner or inner[0] == " " or inner[-1] == " ")):
+            # Asterisks mark a remark where they enclose it as quotes do: the first opens a piece, the second ends one.
+            if c == "*" and (not inner.strip() or inner[0] == " " or inner[-1] == " " or s[i - 1 : i].isalnum() or s[b + 1 : b + 2].isalnum()):
                 continue
             b += 1 + (a == i + 2 and s.startswith("))", b))
             if c in "[(<{" and (named := self._named(inner)) is not None:
