@@ -53,6 +53,20 @@ def test_quartiles_are_exact(spark, seed):
         assert np.allclose(got[i], np.percentile(xs, [25, 50, 75]), rtol=1e-12, atol=1e-12)
 
 
+def test_quartiles_of_values_close_together(spark, monkeypatch):
+    """One per cent of a value, one bucket: it is cut until no part holds many values; other loads stay as they are."""
+    monkeypatch.setattr(p, "BUCKET_VALUES", 20)
+    monkeypatch.setattr(p, "CUTS", 7)
+    rng = random.Random(6)
+    groups = {1: [1.7e12 + rng.randrange(10**7) for _ in range(700)], 2: [1.0 + rng.random() / 100 for _ in range(301)], 3: [5.0] * 40, 4: [-rng.random() for _ in range(90)], 5: [float("inf"), 1.0, 2.0, -float("inf")]}
+    df = spark.createDataFrame([(i, x) for i, xs in groups.items() for x in xs], "load_id long, num double")
+    got = {r.load_id: (r.q1, r.q2, r.q3) for r in p.quartiles(p.value_counts(df, "t", "load_id", [p.Rule("t", "num")])).collect()}
+    assert set(got) == set(groups)
+    for i in (1, 2, 3, 4):
+        assert np.allclose(got[i], np.percentile(groups[i], [25, 50, 75]), rtol=1e-12, atol=1e-12)
+    assert got[5][1] == 1.5
+
+
 def test_drift_against_brute_force(spark):
     rng = random.Random(1)
     a, b = [rng.choice("aab") for _ in range(50)], [rng.choice("abbc") for _ in range(80)]

@@ -52,4 +52,5 @@ def test_query(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.sql())))
 def test_runs(spark, duck, name):
-    assert registry.queries()[name](spark, DATA).count() >= 0
+    """Queries without SQL have tests of their operators; here they must give rows."""
+    assert registry.queries()[name](spark, DATA).count() > 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtide.functions.exprs import count_if, cv, iqr, quantile, ratio, sd
-from voxtide.operators.intervals import meet, periods_and_gaps
+from voxtide.operators.intervals import meet, nearest_values, periods_and_gaps
 
 KEY = ["recording_id", "speaker_id"]
 
@@ -35,8 +35,7 @@ def asof_latency(utt: DataFrame) -> DataFrame:
     timed = utt.where("start_s is not null and end_s is not null")
     ends = timed.select("recording_id", F.col("end_s").alias("t"), F.lit(0).alias("side"), F.col("utt_idx").alias("i"), F.struct(F.col("end_s").alias("e"), F.col("speaker_id").alias("s")).alias("end"), F.lit(None).cast(utt.schema["speaker_id"].dataType).alias("speaker_id"))
     starts = timed.select("recording_id", F.col("start_s").alias("t"), F.lit(1).alias("side"), F.col("utt_idx").alias("i"), F.lit(None).cast(ends.schema["end"].dataType).alias("end"), "speaker_id")
-    w = Window.partitionBy("recording_id").orderBy("t", "side", F.col("i").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = ends.unionByName(starts).withColumn("last", F.last("end", ignorenulls=True).over(w)).where("side = 1")
+    seen = nearest_values(ends.unionByName(starts), ["recording_id"], "t", [F.col("side"), -F.col("i")], "end", 600.0, "last").where("side = 1")
     return seen.groupBy(*KEY).agg(F.avg(F.when(F.col("last.s") != F.col("speaker_id"), F.col("t") - F.col("last.e"))).alias("time_response_latency_s"))
 
 

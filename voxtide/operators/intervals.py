@@ -39,6 +39,31 @@ def carry_in(df: DataFrame, keys: Sequence[str], bucket: str, totals: dict[str,
     return df.join(before, cond).drop(*(f"__b_{k}" for k in (*keys, bucket)))
 
 
+def nearest_values(df: DataFrame, keys: Sequence[str], at: str, tie: Sequence[Column], value: str, width: float, before: str, after: str | None = None) -> DataFrame:
+    """``df`` with ``before``: the last non-null ``value`` at or before each row in order of (``at``, *tie) among its keys' rows; and ``after``, if named: the next one behind it.
+
+    Windows see a bucket of ``at``; what lies in other buckets is carried by a row each.  ``at`` is a number without nulls.
+    """
+    ks = list(keys)
+    order = F.struct(F.col(at).alias("o"), *(c.alias(f"t{i}") for i, c in enumerate(tie)))
+    df = df.withColumns({"__b": F.floor(F.col(at) / width), "__o": order})
+    there = F.when(F.col(value).isNotNull(), F.col("__o"))
+    per = df.groupBy(*ks, "__b").agg(F.max_by(value, there).alias("__last"), F.min_by(value, there).alias("__first"))
+    line = Window.partitionBy(*ks).orderBy("__b")
+    per = per.select(
+        *(F.col(k).alias(f"__k_{k}") for k in (*ks, "__b")), F.last("__last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+        F.first("__first", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+    )
+    cond = F.lit(True)
+    for k in (*ks, "__b"):
+        cond = cond & df[k].eqNullSafe(per[f"__k_{k}"])
+    w = Window.partitionBy(*ks, "__b").orderBy("__o")
+    out = df.join(per, cond).withColumn(before, F.coalesce(F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__before"))
+    if after:
+        out = out.withColumn(after, F.coalesce(F.first(value, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), "__after"))
+    return out.drop("__b", "__o", "__before", "__after", *(f"__k_{k}" for k in (*ks, "__b")))
+
+
 #: Ranks in a bucket of boundaries.
 RANKS = 100_000
 

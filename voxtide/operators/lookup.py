@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 #: A key is hot from this share of the rows on, so there are at most HOT_KEYS of them, which bounds the broadcast.
 HOT_KEYS = 256
@@ -16,11 +16,12 @@ def lookup(big: DataFrame, small: DataFrame, key: str, hot_keys: int = HOT_KEYS)
     where they are and meet the broadcast rows of ``small``; all others are
     joined by shuffle.  Rows with a null key keep nulls and are not shuffled.
     """
-    counts = big.where(F.col(key).isNotNull()).groupBy(key).count()
-    total = big.count()
-    if not total:
-        return big.join(small, key, "left")
-    hot = [r[0] for r in counts.where(F.col("count") > total / hot_keys).select(key).collect()]
+    # One pass: the commonest keys, and the sum of all counts beside them.
+    seen = Observation()
+    counts = big.groupBy(key).count().observe(seen, F.sum("count").alias("total"))
+    top = counts.where(F.col(key).isNotNull()).orderBy(F.desc("count")).limit(hot_keys).collect()
+    total = seen.get.get("total") or 0
+    hot = [r[0] for r in top if r["count"] > total / hot_keys]
     if not hot:
         return big.join(small, key, "left")
     in_hot = F.coalesce(F.col(key).isin(hot), F.lit(True))  # null keys go with the broadcast side

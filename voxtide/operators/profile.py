@@ -76,32 +76,52 @@ def value_counts(df: DataFrame, table: str, load: str, rules: Sequence[Rule]) ->
     )
 
 
+#: A bucket of more distinct values than this is cut into CUTS even parts of its range, until none is.
+BUCKET_VALUES, CUTS = 100_000, 1024
+
+
 def quartiles(counts: DataFrame) -> DataFrame:
     """(table_name, load_id, column_name, q1, q2, q3) of the number columns, exact and linearly interpolated.
 
     Rank p*(n-1) lies between two neighbouring values.  Values are first counted
     by bucket (sign, exponent and leading bits, in order); only the buckets that
-    hold a wanted rank are ranked value by value.
+    hold a wanted rank are ranked value by value, and one that holds too many
+    values, as where a column lies within one per cent, is cut until it doesn't.
     """
     keys = KEYS
     v = counts.where("num and x is not null").select(*keys, "x", "n")
     # Order-preserving bucket: about three decimal digits of the value.
     mag = F.when(F.col("x") == 0, F.lit(0)).otherwise(F.floor(F.least(F.log2(F.abs("x")), F.lit(2000.0)) * 64) + 80_000)
-    v = v.withColumn("__b", (F.signum("x") * mag).cast("long"))
+    v = v.withColumn("__b", (F.signum("x") * mag).cast("long").cast("string"))
     # log2 rounds alike for equal values and never decreases, so buckets never cross.
-    per = v.groupBy(*keys, "__b").agg(F.sum("n").alias("m"))
-    w = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = per.withColumn("hi", F.sum("m").over(w)).withColumn("lo", F.col("hi") - F.col("m"))
+    figures = (F.sum("n").alias("m"), F.count("*").alias("d"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    upto = lambda w: F.sum("m").over(w.orderBy("x0").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    per = v.groupBy(*keys, "__b").agg(*figures)
+    per = per.withColumn("hi", upto(Window.partitionBy(*keys))).withColumn("lo", F.col("hi") - F.col("m"))
     tot = per.groupBy(*keys).agg(F.sum("m").alias("total"))
     want = tot.select(*keys, F.explode(F.array(*(F.struct(F.lit(i).alias("q"), ((F.col("total") - 1) * p).alias("at")) for i, p in ((1, 0.25), (2, 0.5), (3, 0.75))))).alias("w"))
     want = want.select(*keys, "w.q", F.floor("w.at").alias("below"), (F.col("w.at") - F.floor("w.at")).alias("frac"))
     want = want.select(*keys, "q", "frac", F.explode(F.array(F.col("below"), F.when(F.col("frac") > 0, F.col("below") + 1))).alias("r"), F.col("below")).where("r is not null")
     # Six ranks a group at most, so these tables grow with loads and columns only.
-    hits, _ = materialise(per.join(want, keys).where("r >= lo and r < hi").select(*keys, "__b", "lo", "q", "frac", "r", "below"), "ranks")
+    rank = ["q", "frac", "r", "below"]
+    hits, _ = materialise(per.join(want, keys).where("r >= lo and r < hi").select(*keys, "__b", "lo", "d", "x0", "x1", *rank), "ranks")
+    wide = (F.col("d") > BUCKET_VALUES) & (F.col("x0") < F.col("x1"))
+    while hits.where(wide).limit(1).count():
+        need = hits.where(wide).select(*keys, "__b", "lo", "x0", "x1").distinct()
+        part = F.least(F.floor((F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0")) * CUTS), F.lit(CUTS - 1))
+        inner = v.join(_small(need), [*keys, "__b"]).select(*keys, F.col("__b").alias("was"), F.col("lo").alias("base"), "x", "n", F.concat_ws("/", "__b", part.cast("string")).alias("__b"))
+        inner, _ = materialise(inner, "cut")
+        finer = inner.groupBy(*keys, "was", "base", "__b").agg(*figures)
+        finer = finer.withColumn("hi", F.col("base") + upto(Window.partitionBy(*keys, "was"))).withColumn("lo", F.col("hi") - F.col("m")).drop("base", "m")
+        asked = hits.where(wide).select(*keys, F.col("__b").alias("was"), *rank)
+        again = finer.join(asked, [*keys, "was"]).where("r >= lo and r < hi").select(*hits.columns)
+        rest = v.join(_small(hits.where(~wide).select(*keys, "__b").distinct()), [*keys, "__b"], "left_semi").select(*keys, "x", "n", "__b")
+        v = rest.unionByName(inner.select(*keys, "x", "n", "__b"))
+        hits, _ = materialise(hits.where(~wide).unionByName(again), "ranks")
     need = hits.select(*keys, "__b", F.col("lo").alias("n0")).distinct()
     w = Window.partitionBy(*keys, "__b").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = v.join(_small(need), [*keys, "__b"]).withColumn("hi", F.col("n0") + F.sum("n").over(w))
-    got = ranked.join(hits.drop("lo"), [*keys, "__b"]).where("r < hi and r >= hi - n")
+    got = ranked.join(hits.drop("lo", "d", "x0", "x1"), [*keys, "__b"]).where("r < hi and r >= hi - n")
     got = got.groupBy(*keys, "q").agg(F.first("frac").alias("f"), F.max(F.when(F.col("r") == F.col("below"), F.col("x"))).alias("a"), F.max(F.when(F.col("r") > F.col("below"), F.col("x"))).alias("b"))
     value = F.when(F.col("f") > 0, F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).otherwise(F.col("a"))
     return got.groupBy(*keys).agg(*(F.max(F.when(F.col("q") == i, value)).alias(f"q{i}") for i in (1, 2, 3)))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from voxtide.functions.streams import each_group
-from voxtide.operators.intervals import meet, periods_and_gaps
+from voxtide.operators.intervals import meet, nearest_values, periods_and_gaps
 
 LOOP = 8
 RETRACE = 4
@@ -30,15 +30,14 @@ def overlap_argmax(spans: DataFrame, turns: DataFrame, slice_ms: int = 60_000) -
 
 
 def nearest_midpoint(spans: DataFrame, turns: DataFrame) -> DataFrame:
-    """(id, turn_id): the turn whose midpoint is nearest to the span's, by one sorted pass (ties go to the smaller id).
+    """(id, turn_id): the turn whose midpoint is nearest to the span's (ties go to the smaller id).
 
     Midpoints are doubled, so that they stay whole numbers.  The nearest is the last before or the first after.
     """
     t = turns.groupBy("recording_id", (F.col("start_ms") + F.col("end_ms")).alias("m")).agg(F.min("turn_id").alias("turn_id"))
     t = t.select("recording_id", "m", F.lit(0).alias("side"), F.struct("m", "turn_id").alias("turn"), F.lit(None).cast("long").alias("id"))
     s = spans.where("start_ms is not null and end_ms is not null").select("recording_id", (F.col("start_ms") + F.col("end_ms")).alias("m"), F.lit(1).alias("side"), F.lit(None).cast(t.schema["turn"].dataType).alias("turn"), "id")
-    w = Window.partitionBy("recording_id").orderBy("m", "side", "id")
-    j = t.unionByName(s).withColumns({"a": F.last("turn", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first("turn", True).over(w.rowsBetween(1, Window.unboundedFollowing))}).where("side = 1")
+    j = nearest_values(t.unionByName(s), ["recording_id"], "m", [F.col("side"), F.col("id")], "turn", 1_200_000, "a", "b").where("side = 1")
     da, db = F.col("m") - F.col("a.m"), F.col("b.m") - F.col("m")
     pick = F.when(F.col("a").isNull(), F.col("b.turn_id")).when(F.col("b").isNull() | (da < db), F.col("a.turn_id")).when(db < da, F.col("b.turn_id")).otherwise(F.least("a.turn_id", "b.turn_id"))
     return j.select("id", pick.alias("turn_id"))

@@ -279,7 +279,16 @@ def loop_collapse(spark: SparkSession, d: str) -> DataFrame:
     return tr.loops(t, ["recording_id", "utt_idx"], "at", "norm", 3)
 
 
-@query("retrace_ngrams")
+_AGAIN = " ".join(f"WHEN i + {2 * n} <= len(l) AND l[i + 1:i + {n}] = l[i + {n + 1}:i + {2 * n}] THEN {n}" for n in (4, 3, 2, 1))
+
+
+@query(
+    "retrace_ngrams",
+    f"""WITH RECURSIVE {TOK_SQL}, u AS (SELECT {KEY}, utt_idx, list(CASE WHEN kind = 'word' THEN norm ELSE chr(1) || tok_idx END ORDER BY tok_idx) AS l, list(tok_idx ORDER BY tok_idx) AS places FROM tok WHERE kind <> 'filler' GROUP BY ALL),
+s AS (SELECT {KEY}, utt_idx, l, places, 0 AS i, -1 AS was, 0 AS n FROM u
+  UNION ALL SELECT {KEY}, utt_idx, l, places, i + greatest(m, 1), i, m FROM (SELECT *, CASE {_AGAIN} ELSE 0 END AS m FROM s WHERE i < len(l)))
+SELECT {KEY}, utt_idx, places[was + 1] AS tok_idx, n, array_to_string(l[was + 1:was + n], ' ') AS text FROM s WHERE n > 0""",
+)
 def retrace_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return tr.retraces(tokens(spark, d))
 
@@ -305,7 +314,23 @@ def comma_cleanup(spark: SparkSession, d: str) -> DataFrame:
     return tr.comma_cleanup(t, ["recording_id", "utt_idx"], "tok_idx", "c").drop("c")
 
 
-@query("number_spelling")
+# Fixed values, spelled out here once more: Vietnamese digits.
+_DIGITS = "['không', 'một', 'hai', 'ba', 'bốn', 'năm', 'sáu', 'bảy', 'tám', 'chín']"
+
+
+def _triple(g: str, full: str) -> str:
+    """Three digits in words; ``full`` where others stand before them."""
+    h, t, u = f"({g} // 100)", f"({g} // 10 % 10)", f"({g} % 10)"
+    return f"""concat_ws(' ', CASE WHEN {full} OR {h} > 0 THEN {_DIGITS}[{h} + 1] || ' trăm' END,
+      CASE WHEN {t} > 1 THEN {_DIGITS}[{t} + 1] || ' mươi' WHEN {t} = 1 THEN 'mười' WHEN {u} > 0 AND ({full} OR {h} > 0) THEN 'lẻ' END,
+      CASE WHEN {u} = 0 THEN NULL WHEN {t} > 1 AND {u} = 1 THEN 'mốt' WHEN {t} > 1 AND {u} = 4 THEN 'tư' WHEN {t} > 0 AND {u} = 5 THEN 'lăm' ELSE {_DIGITS}[{u} + 1] END)"""
+
+
+_PLACES = ((10**9, " tỷ"), (10**6, " triệu"), (10**3, " nghìn"), (1, ""))
+_SPELLED = "CASE WHEN n = 0 THEN 'không' ELSE concat_ws(' ', " + ", ".join(f"CASE WHEN n // {x} % 1000 > 0 THEN {_triple(f'(n // {x} % 1000)', f'(n >= {x * 1000})')} || '{name}' END" for x, name in _PLACES) + ") END"
+
+
+@query("number_spelling", f"SELECT n AS l_orderkey, {_SPELLED} AS spelled FROM (SELECT DISTINCT l_orderkey AS n FROM lineitem)")
 def number_spelling(spark: SparkSession, d: str) -> DataFrame:
     return tr.spelled(table(spark, d, "lineitem").select("l_orderkey").distinct(), "l_orderkey")
 

@@ -89,7 +89,18 @@ def lex_mattr20(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lex.ordered_diversity(tokens(spark, d).where("kind = 'word'"), "norm", ["utt_idx", "tok_idx"], "lex_token").drop("lex_token_mtld").where("lex_token_mattr_20 is not null"))
 
 
-@query("lex_mtld")
+@query(
+    "lex_mtld",
+    f"""WITH RECURSIVE {TOK_SQL}, seq AS (SELECT {KEY}, list(norm ORDER BY utt_idx, tok_idx) AS l FROM tok WHERE kind = 'word' GROUP BY ALL),
+win AS (SELECT {KEY}, avg(len(list_distinct(l[i:i + 19])) / 20) AS r FROM seq, (SELECT unnest(range(1, 200000)) AS i) x WHERE i <= len(l) - 19 GROUP BY ALL),
+f AS (SELECT {KEY}, way, v, 0 AS i, 0 AS k, []::VARCHAR[] AS t, 0 AS n FROM (SELECT {KEY}, 1 AS way, l AS v FROM seq UNION ALL SELECT {KEY}, 2, list_reverse(l) FROM seq)
+  UNION ALL
+  SELECT {KEY}, way, v, i + 1, CASE WHEN n > 0 AND len(u) / (n + 1) <= 0.72 THEN k + 1 ELSE k END, CASE WHEN n > 0 AND len(u) / (n + 1) <= 0.72 THEN [] ELSE u END, CASE WHEN n > 0 AND len(u) / (n + 1) <= 0.72 THEN 0 ELSE n + 1 END
+  FROM (SELECT *, CASE WHEN list_contains(t, v[i + 1]) THEN t ELSE list_append(t, v[i + 1]) END AS u FROM f WHERE i < len(v))),
+e AS (SELECT {KEY}, way, len(v) AS m, k + CASE WHEN n > 0 THEN (1 - len(t) / n) / (1 - 0.72) ELSE 0 END AS factors FROM f WHERE i = len(v)),
+g AS (SELECT {KEY}, max(CASE WHEN way = 1 AND factors > 0 THEN m / factors END) AS a, max(CASE WHEN way = 2 AND factors > 0 THEN m / factors END) AS b FROM e GROUP BY ALL)
+SELECT {KEY}, round(r, 6) AS lex_token_mattr_20, round((a + b) / 2, 6) AS lex_token_mtld FROM g LEFT JOIN win USING ({KEY})""",
+)
 def lex_mtld(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lex.ordered_diversity(tokens(spark, d).where("kind = 'word'"), "norm", ["utt_idx", "tok_idx"], "lex_token"))
 

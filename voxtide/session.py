@@ -38,9 +38,11 @@ def session(app: str = "voxtide", master: str | None = None, **conf: str) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or in its absence a local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; only a local session may do without it and gets one of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         where = _own_dir.get(app) or _own_dir.setdefault(app, "file://" + tempfile.mkdtemp(prefix="voxtide-"))
     return where.rstrip("/") + "/voxtide-" + spark.sparkContext.applicationId
@@ -62,6 +64,13 @@ def _clean(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that ``materialise`` has written so far; results that still read them become unreadable."""
+    base = shared_dir(spark)
+    if base in _registered:
+        drop_path(spark, base)
+
+
 _registered: set[str] = set()
 
 
