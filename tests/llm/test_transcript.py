@@ -128,3 +128,26 @@ def test_texts_of_long_turns_come_in_parts(spark, monkeypatch):
     assert sorted((r.turn_no, r.part_no, r.first_segment_no, r.last_segment_no, r.n_words, r.text) for r in out.collect()) == [
         (1, 1, 0, 7, 8, "w0 w1 w2"), (1, 2, 0, 7, 8, "w3 w4 w5"), (1, 3, 0, 7, 8, "w6 w7"), (2, 1, 8, 9, 2, "w8"), (2, 2, 8, 9, 2, "w9"),
     ]
+
+
+def test_no_join_is_broadcast(spark, tmp_path, monkeypatch):
+    # Alike entries compress so well that Spark takes the exploded results for a small table.
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(turns, "materialise", lambda df, *a, f=turns.materialise: (plan(df), f(df, *a))[1])
+
+    def stored(name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    n, roles = 300, {"0": "INV", "1": "PAR"}
+    seg = [(3 * i + k, f"r{i}", k, 10 * k, 10 * k + 10, t, "", "") for i in range(n) for k, t in enumerate(("INV: a b", "c", "d"))]
+    out = turns.speaker_turns(
+        stored("seg", seg, SEG), stored("res", [(f"r{i}", ["INV", "PAR", None] + ["PAR"] * 200, roles) for i in range(n)], RES), stored("dia", [(i, f"r{i}", 0, 99, "spk0" if i % 2 else "spk1") for i in range(n)], TURN),
+        stored("lab", LABELS, "label string, speaker_role string"), stored("forms", [(f,) for f in FORMS], "form string"), False,
+    )
+    plan(out)
+    got = {tuple(r) for r in out.select("recording_id", "turn_no", "speaker", "first_segment_no", "last_segment_no", "n_words").collect()}
+    want = [((1, "INV", 0, 0, 2), (2, "PAR", 1, 1, 1), (3, "INV", 2, 2, 1)) if i % 2 else ((1, "INV", 0, 0, 2), (2, "PAR", 1, 2, 2)) for i in range(n)]
+    assert got == {(f"r{i}", *t) for i, ts in enumerate(want) for t in ts}
+    assert len(plans) == 4 and not [p for p in plans if "BroadcastHashJoin" in p]

@@ -22,6 +22,11 @@ BUCKET_MS = 600_000
 MAX_FORMS = 10_000
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast: Spark estimates it from compressed files, before lists are exploded, and a few hundred KB of those may be GB."""
+    return df.hint("merge")
+
+
 def vocabulary(df: DataFrame, *columns: str) -> list[tuple]:
     """Rows of a small vocabulary table; refuses one that isn't small."""
     rows = df.select(*columns).distinct().limit(MAX_FORMS + 1).collect()
@@ -67,7 +72,7 @@ def overlap_by_class(spans: DataFrame, turns: DataFrame) -> DataFrame:
     """
     classes = turns.select("entity", "class").distinct().groupBy("entity").agg(F.collect_set("class").alias("classes"))
     classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    q = spans.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(classes, ["entity", "salt"])
+    q = spans.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(by_shuffle(classes), ["entity", "salt"])
     q = q.select("id", "entity", F.explode("classes").alias("class"), "start", "end")
     point = lambda t, sign: F.struct(F.col(t).alias("t"), F.lit(sign).alias("sign"))
     ask = q.select("entity", "class", "id", F.explode(F.array(point("start", -1), point("end", 1))).alias("p")).select("entity", "class", "id", "p.*")
@@ -77,7 +82,7 @@ def overlap_by_class(spans: DataFrame, turns: DataFrame) -> DataFrame:
     # covered(x) = x * open(x) - (sum of starts - sum of ends before x)
     n, st = F.when(is_turn, F.col("sign")).otherwise(0), F.when(is_turn, F.col("sign") * F.col("t")).otherwise(F.lit(0).cast("long"))
     ev = ev.withColumns({"n": n.cast("long"), "st": st})
-    ev = carry_in(ev, ["entity", "class"], "__b", {"n0": F.sum("n"), "st0": F.sum("st")})
+    ev = carry_in(by_shuffle(ev), ["entity", "class"], "__b", {"n0": F.sum("n"), "st0": F.sum("st")})
     w = Window.partitionBy("entity", "class", "__b").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     covered = F.col("t") * (F.col("n0") + F.sum("n").over(w)) - (F.col("st0") + F.sum("st").over(w))
     at = ev.withColumn("covered", covered).where(~is_turn)
@@ -109,7 +114,7 @@ def speaker_turns(segments: DataFrame, results: DataFrame, diarization: DataFram
     res = results.where("recording_id is not null").dropDuplicates(["recording_id"])
     res = res.select("recording_id", "cluster_to_role", "utterance_speakers", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     res = res.select("recording_id", "cluster_to_role", "salt", F.filter("utterance_speakers", lambda _, i: i % SALTS == F.col("salt")).alias("entries"))
-    named = seg.withColumn("salt", F.pmod("segment_no", F.lit(SALTS)).cast("int")).join(res, ["recording_id", "salt"], "left")
+    named = seg.withColumn("salt", F.pmod("segment_no", F.lit(SALTS)).cast("int")).join(by_shuffle(res), ["recording_id", "salt"], "left")
     entry = F.get("entries", F.floor(F.col("segment_no") / SALTS).cast("int"))
     number = F.when(F.col("label").startswith("#"), F.substring("label", 2, 20))
     speaker = F.coalesce(F.when(number.isNull(), F.col("label")), F.try_element_at("cluster_to_role", number), named_role(entry, by_label, F.col("cluster_to_role")))
@@ -119,10 +124,10 @@ def speaker_turns(segments: DataFrame, results: DataFrame, diarization: DataFram
 
     mute = named.where("speaker is null and end_ms > start_ms")
     turns = diarization.select("turn_id", F.col("recording_id").alias("entity"), cluster(F.col("cluster_id")).alias("class"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
-    turns = turns.where("end > start and class is not null").distinct().join(mute.select(F.col("recording_id").alias("entity")).distinct(), "entity", "left_semi")
+    turns = turns.where("end > start and class is not null").distinct().join(by_shuffle(mute.select(F.col("recording_id").alias("entity")).distinct()), "entity", "left_semi")
     heard = overlap_by_class(mute.select(F.col("segment_id").alias("id"), F.col("recording_id").alias("entity"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end")), turns)
     best = heard.groupBy("id").agg(F.max(F.struct("overlap", (-F.col("class").cast("long")).alias("order"))).alias("m")).select(F.col("id").alias("segment_id"), (-F.col("m.order")).cast("string").alias("number"))
-    found = named.where("speaker is null").drop("speaker").join(best, "segment_id").withColumn("speaker", F.try_element_at("cluster_to_role", F.col("number")))
+    found = named.where("speaker is null").drop("speaker").join(by_shuffle(best), "segment_id").withColumn("speaker", F.try_element_at("cluster_to_role", F.col("number")))
     done = named.where("speaker is not null").select(*cols, "speaker").unionByName(found.where("speaker is not null").select(*cols, "speaker"))
     # Roles as numbers: windows and hash aggregates carry them without sorting by text.
     names = sorted({r for _, r in roles})
@@ -144,7 +149,7 @@ def build_turns(seg: DataFrame, with_text: bool) -> DataFrame:
     wb = Window.partitionBy("recording_id").orderBy("__b")
     ends = ends.withColumn("opens", F.when(F.lag("last").over(wb) == F.col("first"), 0).otherwise(1))
     base = (F.sum(F.col("opens") + F.col("inside")).over(wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("inside")).alias("base")
-    seg = seg.join(ends.select("recording_id", "__b", base), ["recording_id", "__b"])
+    seg = seg.join(by_shuffle(ends.select("recording_id", "__b", base)), ["recording_id", "__b"])
     turn = F.col("base") + F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     seg = seg.withColumn("turn_no", turn.cast("int"))
     figures = [F.first("speaker").alias("speaker"), F.min("segment_no").alias("first_segment_no"), F.max("segment_no").alias("last_segment_no"), F.sum("n_words").cast("int").alias("n_words")]
